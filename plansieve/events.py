@@ -24,40 +24,42 @@ COMMON_EVENT_TYPES = (
     PLAN_UPDATE,
 )
 
-# Short kind -> (event tag, DDL of the fields used). Only used fields are listed, so the JSON reader
-# skips everything else, notably the textual plan description that repeats each plan.
+# Short kind -> (event tag, the fields used and their types). Only used fields are listed, so the JSON
+# reader skips everything else, notably the textual plan description that repeats each plan. A field
+# means the same in every kind that has it, so several kinds can be decoded together.
+_ACCUMULABLES = "ARRAY<STRUCT<ID: BIGINT, Name: STRING, Value: STRING>>"
+_PLAN_HEAD = "STRUCT<nodeName: STRING, simpleString: STRING>"
 KINDS = {
     "app": (
         APPLICATION_START,
-        "`App ID` STRING, `App Attempt ID` STRING, `App Name` STRING, `Timestamp` BIGINT",
+        {"App ID": "STRING", "App Attempt ID": "STRING", "App Name": "STRING", "Timestamp": "BIGINT"},
     ),
     "sql_start": (
         SQL_START,
-        "executionId BIGINT, description STRING, time BIGINT, "
-        "sparkPlanInfo STRUCT<nodeName: STRING, simpleString: STRING>",
+        {"executionId": "BIGINT", "description": "STRING", "time": "BIGINT", "sparkPlanInfo": _PLAN_HEAD},
     ),
-    "sql_end": (SQL_END, "executionId BIGINT, time BIGINT"),
+    "sql_end": (SQL_END, {"executionId": "BIGINT", "time": "BIGINT"}),
     "job": (
         JOB_START,
-        "`Job ID` BIGINT, Properties STRUCT<`spark.sql.execution.id`: STRING, `spark.jobGroup.id`: STRING>",
+        {"Job ID": "BIGINT", "Properties": "STRUCT<`spark.sql.execution.id`: STRING, `spark.jobGroup.id`: STRING>"},
     ),
     "stage": (
         STAGE_COMPLETED,
-        "`Stage Info` STRUCT<`Stage ID`: BIGINT, `Stage Attempt ID`: BIGINT, "
-        "Accumulables: ARRAY<STRUCT<ID: BIGINT, Name: STRING, Value: STRING>>>",
-    ),
-    "driver": (DRIVER_METRICS, "executionId BIGINT, accumUpdates ARRAY<ARRAY<BIGINT>>"),
-    "plan": (
-        PLAN_UPDATE,
-        "executionId BIGINT, sparkPlanInfo STRUCT<nodeName: STRING, simpleString: STRING>",
+        {"Stage Info": f"STRUCT<`Stage ID`: BIGINT, `Stage Attempt ID`: BIGINT, Accumulables: {_ACCUMULABLES}>"},
     ),
+    "driver": (DRIVER_METRICS, {"executionId": "BIGINT", "accumUpdates": "ARRAY<ARRAY<BIGINT>>"}),
+    "plan": (PLAN_UPDATE, {"executionId": "BIGINT", "sparkPlanInfo": _PLAN_HEAD}),
     "task": (
         TASK_END,
-        "`Stage ID` BIGINT, `Stage Attempt ID` BIGINT, `Task End Reason` STRUCT<Reason: STRING>, "
-        "`Task Info` STRUCT<`Task ID`: BIGINT, `Launch Time`: BIGINT, `Getting Result Time`: BIGINT, "
-        "`Finish Time`: BIGINT, `Executor ID`: STRING, Host: STRING>, "
-        "`Task Metrics` STRUCT<`Executor Deserialize Time`: BIGINT, `Executor Run Time`: BIGINT, "
-        "`Result Serialization Time`: BIGINT, `JVM GC Time`: BIGINT, `Result Size`: BIGINT>",
+        {
+            "Stage ID": "BIGINT",
+            "Stage Attempt ID": "BIGINT",
+            "Task End Reason": "STRUCT<Reason: STRING>",
+            "Task Info": "STRUCT<`Task ID`: BIGINT, `Launch Time`: BIGINT, `Getting Result Time`: BIGINT, "
+            "`Finish Time`: BIGINT, `Executor ID`: STRING, Host: STRING>",
+            "Task Metrics": "STRUCT<`Executor Deserialize Time`: BIGINT, `Executor Run Time`: BIGINT, "
+            "`Result Serialization Time`: BIGINT, `JVM GC Time`: BIGINT, `Result Size`: BIGINT>",
+        },
     ),
 }
 

@@ -51,36 +51,37 @@ def sql_executions(tables: EventTables) -> DataFrame:
     """(log_id, execution_id, query_id, sql, start_ms, end_ms, duration_ms), one row per started execution.
 
     The last start wins and forgets what came before it: an end or a job counts only when it follows that
-    start in line order. Because the last end (job) is after the last start whenever any is, one aggregate
-    over the union of the three event types is enough; nothing is joined.
+    start in line order. Because the last end (job) is after the last start whenever any is, one scan and
+    one aggregate over the three event types are enough; nothing is joined.
     """
-    null = F.lit(None)
-    starts = tables.of("sql_start").select(
-        "log_id", F.col("executionId").alias("execution_id"), "ord",
-        F.lit("start").alias("what"), F.col("time").alias("ms"), F.col("description").alias("text"),
-    )
-    ends = tables.of("sql_end").select(
-        "log_id", F.col("executionId").alias("execution_id"), "ord",
-        F.lit("end").alias("what"), F.col("time").alias("ms"), null.cast("string").alias("text"),
-    )
-    jobs = query_id_links(tables).select(
-        "log_id", "execution_id", "ord",
-        F.lit("job").alias("what"), null.cast("bigint").alias("ms"), F.col("query_id").alias("text"),
+    properties = F.col("Properties")
+    is_job = F.col("kind") == "job"
+    events = (
+        tables.of("sql_start", "sql_end", "job")
+        .select(
+            "log_id",
+            "ord",
+            "kind",
+            F.when(is_job, properties["spark.sql.execution.id"].try_cast("bigint"))
+            .otherwise(F.col("executionId"))
+            .alias("execution_id"),
+            F.col("time").alias("ms"),
+            F.when(is_job, properties["spark.jobGroup.id"]).otherwise(F.col("description")).alias("text"),
+        )
+        .filter(F.col("execution_id").isNotNull() & (~is_job | F.col("text").isNotNull()))
     )
 
     def at(what: str) -> Column:
-        return F.when(F.col("what") == what, F.col("ord"))
+        return F.when(F.col("kind") == what, F.col("ord"))
 
     last = (
-        starts.unionByName(ends)
-        .unionByName(jobs)
-        .groupBy("log_id", "execution_id")
+        events.groupBy("log_id", "execution_id")
         .agg(
-            F.max(at("start")).alias("started"),
-            F.max_by("ms", at("start")).alias("start_ms"),
-            F.max_by("text", at("start")).alias("sql"),
-            F.max(at("end")).alias("ended"),
-            F.max_by("ms", at("end")).alias("end_ms"),
+            F.max(at("sql_start")).alias("started"),
+            F.max_by("ms", at("sql_start")).alias("start_ms"),
+            F.max_by("text", at("sql_start")).alias("sql"),
+            F.max(at("sql_end")).alias("ended"),
+            F.max_by("ms", at("sql_end")).alias("end_ms"),
             F.max(at("job")).alias("linked"),
             F.max_by("text", at("job")).alias("query_id"),
         )
@@ -114,13 +115,11 @@ def _explode_pairs(events: DataFrame) -> DataFrame:
     )
 
 
-def driver_metric_updates(tables: EventTables) -> DataFrame:
-    """(log_id, accumulator_id, value, ord) of metrics the driver posted."""
-    pairs = F.transform(
+def _driver_pairs() -> Column:
+    return F.transform(
         "accumUpdates",
         lambda u: F.struct(F.get(u, F.lit(0)).alias("id"), F.get(u, F.lit(1)).alias("value")),
     )
-    return _explode_pairs(tables.of("driver").select("log_id", "ord", pairs.alias("pairs")))
 
 
 def _metric_number(text: Column) -> Column:
@@ -128,18 +127,27 @@ def _metric_number(text: Column) -> Column:
     return F.coalesce(F.when(F.trim(text) == text, text).try_cast("bigint"), F.lit(0))
 
 
-def stage_metric_updates(tables: EventTables) -> DataFrame:
-    """(log_id, accumulator_id, value, ord) of metrics in completed stages; entries without a value are skipped."""
+def _stage_pairs() -> Column:
     with_value = F.filter(F.col("Stage Info.Accumulables"), lambda a: a["Value"].isNotNull())
-    pairs = F.transform(
+    return F.transform(
         with_value, lambda a: F.struct(a["ID"].alias("id"), _metric_number(a["Value"]).alias("value"))
     )
-    return _explode_pairs(tables.of("stage").select("log_id", "ord", pairs.alias("pairs")))
+
+
+def driver_metric_updates(tables: EventTables) -> DataFrame:
+    """(log_id, accumulator_id, value, ord) of metrics the driver posted."""
+    return _explode_pairs(tables.of("driver").select("log_id", "ord", _driver_pairs().alias("pairs")))
+
+
+def stage_metric_updates(tables: EventTables) -> DataFrame:
+    """(log_id, accumulator_id, value, ord) of metrics in completed stages; entries without a value are skipped."""
+    return _explode_pairs(tables.of("stage").select("log_id", "ord", _stage_pairs().alias("pairs")))
 
 
 def metrics(tables: EventTables) -> DataFrame:
     """(log_id, accumulator_id, value): the last value written by a stage or by the driver."""
-    updates = stage_metric_updates(tables).unionByName(driver_metric_updates(tables))
+    pairs = F.when(F.col("kind") == "stage", _stage_pairs()).otherwise(_driver_pairs())
+    updates = _explode_pairs(tables.of("stage", "driver").select("log_id", "ord", pairs.alias("pairs")))
     return updates.groupBy("log_id", "accumulator_id").agg(F.max_by("value", "ord").alias("value"))
 
 
@@ -164,9 +172,8 @@ def lookup_metric(rows: DataFrame, id_column: str, metric_values: DataFrame, out
 
 def execution_marks(tables: EventTables) -> DataFrame:
     """(log_id, ord, mark): the id a start makes current, or NULL-standing -1 where an end clears it."""
-    starts = tables.of("sql_start").select("log_id", "ord", F.col("executionId").alias("mark"))
-    ends = tables.of("sql_end").select("log_id", "ord", F.lit(-1).cast("bigint").alias("mark"))
-    return starts.unionByName(ends)
+    mark = F.when(F.col("kind") == "sql_start", F.col("executionId")).otherwise(F.lit(-1))
+    return tables.of("sql_start", "sql_end").select("log_id", "ord", mark.alias("mark"))
 
 
 def attribute_to_execution(events: DataFrame, tables: EventTables, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -236,15 +236,15 @@ def costly_small_side_join(
     base_url: str = DEFAULT_BASE_URL,
 ) -> DataFrame:
     """Large inner joins that keep only as many rows as their small side, with both cost trees drawn."""
-    trees = tree.plan_trees(long_final_plans(tables, min_duration_ms, ("Join", "Inner")))
+    updates = long_final_plans(tables, min_duration_ms, ("Join", "Inner"))
     metric_values = metrics(tables)
-    simplified = costs.simplified_cost(trees, metric_values)
-    joins = costs.small_side_joins(simplified, big_rows, small_rows, agg_input_rows)
-    join_text = costs.cost_text(simplified, joins).withColumnRenamed("text", "join_cost")
-    # The whole tree is drawn only for plans that hold a finding, and those are filtered before the parse.
-    plan_keys = joins.select(*tree.PLAN_KEY).distinct()
-    found_trees = trees.join(plan_keys, tree.PLAN_KEY, "left_semi")
-    plan_text = costs.cost_text(costs.plan_cost(found_trees, metric_values)).withColumnRenamed("text", "plan_cost")
+    joins = costs.small_side_joins(
+        costs.simplified_cost(tree.plan_trees(updates), metric_values), big_rows, small_rows, agg_input_rows
+    )
+    # Only plans that hold a finding are drawn, and they are picked out while still text.
+    drawn = tree.plan_trees(updates.join(joins.select(*tree.PLAN_KEY).distinct(), tree.PLAN_KEY, "left_semi"))
+    join_text = costs.cost_text(costs.simplified_cost(drawn, metric_values), joins).withColumnRenamed("text", "join_cost")
+    plan_text = costs.cost_text(costs.plan_cost(drawn, metric_values)).withColumnRenamed("text", "plan_cost")
     found = joins.join(join_text, [*tree.PLAN_KEY, "node_no"], "left").join(plan_text, tree.PLAN_KEY, "left")
     return as_findings(
         with_context(found, tables, base_url),

@@ -83,5 +83,9 @@ def flatten_plan(lines: pa.Array) -> pa.Array:
     return _lists(plan_at, node)
 
 
+# Not declared for randomness, but so that Catalyst never copies the call into a filter it pushes down (an
+# unfolded array alone makes it infer one), which would unfold every plan twice.
+flatten_plan = flatten_plan.asNondeterministic()
+
 # Ship the helper with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

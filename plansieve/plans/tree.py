@@ -32,18 +32,14 @@ def plan_updates(tables: EventTables, include_initial_plans: bool = False) -> Da
 
     Initial plans, logged with the start of an execution, are left out unless asked for.
     """
-    kinds = ["plan", "sql_start"] if include_initial_plans else ["plan"]
-    updates = None
-    for kind in kinds:
-        part = tables.of(kind, keep_line=True).select(
-            "log_id",
-            F.col("executionId").alias("execution_id"),
-            "ord",
-            F.coalesce(F.col("sparkPlanInfo.simpleString") == FINAL_PLAN_TEXT, F.lit(False)).alias("is_final"),
-            "value",
-        )
-        updates = part if updates is None else updates.unionByName(part)
-    return updates
+    kinds = ("plan", "sql_start") if include_initial_plans else ("plan",)
+    return tables.of(*kinds, keep_line=True).select(
+        "log_id",
+        F.col("executionId").alias("execution_id"),
+        "ord",
+        F.coalesce(F.col("sparkPlanInfo.simpleString") == FINAL_PLAN_TEXT, F.lit(False)).alias("is_final"),
+        "value",
+    )
 
 
 def mentioning(updates: DataFrame, *words: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansieve.events import KINDS
@@ -10,26 +10,37 @@ from plansieve.sources.lines import event_type_of, filter_event_types
 
 BAD_LINE = "_bad_line"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
-KIND_OF_TAG = {tag: kind for kind, (tag, _) in KINDS.items()}
 
 
-def _schema(kind: str) -> str:
-    return f"{KINDS[kind][1]}, {BAD_LINE} STRING"
+def _fields(kinds: tuple[str, ...]) -> dict[str, str]:
+    return {field: ddl for kind in kinds for field, ddl in KINDS[kind][1].items()}
 
 
-def decode(lines: DataFrame, kind: str, keep_line: bool = False) -> DataFrame:
-    """(log_id, ord, fields of the kind) of one event type.
+def _schema(*kinds: str) -> str:
+    return ", ".join(f"`{field}` {ddl}" for field, ddl in _fields(kinds).items()) + f", {BAD_LINE} STRING"
+
+
+def _kind(tag: Column, kinds: tuple[str, ...]) -> Column:
+    known = F.lit(None).cast("string")
+    for kind in kinds:
+        known = F.when(tag == KINDS[kind][0], F.lit(kind)).otherwise(known)
+    return known
+
+
+def decode(lines: DataFrame, *kinds: str, keep_line: bool = False) -> DataFrame:
+    """(log_id, ord, kind[, value], fields of the kinds) of one or several event types in one scan.
 
     The tag test runs on the text before any JSON is parsed. Lines whose JSON is broken are left out
     here and listed by :func:`corrupt_lines`.
     """
-    tag = KINDS[kind][0]
-    event = F.from_json("value", _schema(kind), JSON_OPTIONS)
+    event = F.from_json("value", _schema(*kinds), JSON_OPTIONS)
+    # A plain filter on the parsed event would be pushed below the projection and parse every line twice;
+    # unfolding a list that is empty for a bad line parses once.
+    good = F.filter(F.array(event), lambda e: e[BAD_LINE].isNull())
+    line = ["value"] if keep_line else []
     return (
-        filter_event_types(lines, [tag])
-        .select("log_id", "ord", *(["value"] if keep_line else []), event.alias("e"))
-        .filter(F.col(f"e.{BAD_LINE}").isNull())
-        .select("log_id", "ord", *(["value"] if keep_line else []), "e.*")
+        filter_event_types(lines, [KINDS[k][0] for k in kinds])
+        .select("log_id", "ord", _kind(F.col("event_type"), kinds).alias("kind"), *line, F.inline(good))
         .drop(BAD_LINE)
     )
 
@@ -46,7 +57,7 @@ def decode_all(lines: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     bad = F.lit(False)
     for k in kinds:
         bad = bad | F.coalesce(F.col(f"{k}.{BAD_LINE}").isNotNull(), F.lit(False))
-    kind = F.create_map(*[F.lit(x) for k in kinds for x in (KINDS[k][0], k)])[F.col("event_type")]
+    kind = _kind(F.col("event_type"), tuple(kinds))
     keep = bad | kind.isin("plan", "sql_start")
     return (
         tagged.select("log_id", "ord", "event_type", "value", *columns)
@@ -99,13 +110,17 @@ class EventTables:
             raise ValueError("these tables are saved already")
         decode_all(self._lines, kinds).write.partitionBy("kind").parquet(path)
 
-    def of(self, kind: str, keep_line: bool = False) -> DataFrame:
-        """(log_id, ord[, value], fields) of one kind of event."""
+    def of(self, *kinds: str, keep_line: bool = False) -> DataFrame:
+        """(log_id, ord, kind[, value], fields) of one or several kinds of event, in one scan."""
         if self._lines is not None:
-            return decode(self._lines, kind, keep_line)
-        return self._saved.filter(F.col("kind") == kind).select(
-            "log_id", "ord", *(["value"] if keep_line else []), f"{kind}.*"
-        )
+            return decode(self._lines, *kinds, keep_line=keep_line)
+        # A saved row has a value in its own kind's column only.
+        fields = [
+            F.coalesce(*[F.col(k)[field] for k in kinds if field in KINDS[k][1]]).alias(field)
+            for field in _fields(kinds)
+        ]
+        rows = self._saved.filter(F.col("kind").isin(*kinds))
+        return rows.select("log_id", "ord", "kind", *(["value"] if keep_line else []), *fields)
 
     def corrupt(self) -> DataFrame:
         if self._lines is not None:
