@@ -326,9 +326,7 @@ def search_raw_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query(EXECUTIONS + "SELECT * FROM x")
 def save_and_open_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Events parsed once into a saved table, then read from it."""
-    path = scratch_path(spark, "events")
-    _context(spark, sf).save(path)
-    return context.sql_executions(EventTables.open(spark, path))
+    return context.sql_executions(_context(spark, sf).save(scratch_path(spark, "events")))
 
 
 # --- context -------------------------------------------------------------------------------------------
@@ -500,7 +498,7 @@ def first_shuffle_under_join(spark: SparkSession, sf: str) -> DataFrame:
     """O29."""
     tables = _plans(spark, sf)
     trees = tree.plan_trees(tree.mentioning(tree.plan_updates(tables), "SortMergeJoin"))
-    return tree.first_shuffles(trees, context.metrics(tables)).select(
+    return tree.first_shuffles(tree.shuffles_below_inputs(trees), context.metrics(tables)).select(
         "log_id", "execution_id", *_long("parent_no", "side", "node_no"), "node_name", "hash_partitions", "partitions"
     )
 
@@ -511,7 +509,8 @@ SELECT log_id, k AS execution_id, parent_no, exchange_side, hash_partitions, par
 def match_join_shape(spark: SparkSession, sf: str) -> DataFrame:
     """O30."""
     tables = _plans(spark, sf)
-    joins = tree.uneven_joins(tree.plan_trees(tree.plan_updates(tables)), context.metrics(tables))
+    reached = tree.shuffles_below_inputs(tree.plan_trees(tree.plan_updates(tables)))
+    joins = tree.uneven_joins(reached, context.metrics(tables))
     return joins.select(
         "log_id", "execution_id", *_long("parent_no", "exchange_side"), "hash_partitions", "partitions", "unclear"
     )
@@ -690,14 +689,19 @@ WITH t AS (
   SELECT *, CAST(l_quantity * 1000 AS BIGINT) AS run,
          (CASE WHEN l_linenumber % 2 = 0 AND l_partkey * 100 - 50 > 0 THEN l_partkey * 100 - 50 ELSE l_partkey * 100 END)
            - (l_partkey % 10 + CAST(l_quantity * 1000 AS BIGINT) + 1) AS delay_ms FROM lineitem)
-SELECT 'application_' || l_suppkey AS log_id, l_orderkey AS stage_id, CAST(l_linenumber AS BIGINT) AS stage_attempt, l_partkey AS task_id,
+SELECT DISTINCT 'application_' || l_suppkey AS log_id, 'http://h/history/application_' || l_suppkey || '/stages/stage/?id=' || l_orderkey || '&attempt=' || l_linenumber AS url,
+       l_orderkey AS stage_id, CAST(l_linenumber AS BIGINT) AS stage_attempt, l_partkey AS task_id,
        CAST(l_suppkey % 7 AS VARCHAR) AS executor_id, 'h' || l_suppkey % 3 AS host, delay_ms, 2 AS gc_ms, l_partkey AS result_size
 FROM t WHERE l_returnflag <> 'R' AND delay_ms > 4000
 """)
 def schedule_delay(spark: SparkSession, sf: str) -> DataFrame:
     """O43."""
-    return detectors.schedule_delays(_tasks(spark, sf), threshold_ms=4000).select(
-        "log_id", "stage_id", "stage_attempt", "task_id", "executor_id", "host", "delay_ms", "gc_ms", "result_size"
+    detail = F.col("detail")
+    return detectors.schedule_delay(_tasks(spark, sf), threshold_ms=4000, base_url=BASE_URL).select(
+        "log_id",
+        "url",
+        *[detail[n].cast("bigint").alias(n) for n in ("stage_id", "stage_attempt", "task_id", "delay_ms", "gc_ms", "result_size")],
+        *[detail[n].alias(n) for n in ("executor_id", "host")],
     )
 
 
@@ -715,6 +719,19 @@ def costly_small_side_join(spark: SparkSession, sf: str) -> DataFrame:
     return joins.select("log_id", "execution_id", *_long("node_no"), "rows", "left_rows", "right_rows")
 
 
+@query(SHUFFLES + """
+SELECT 'dynamic_pruning' AS detector, count(*) AS n FROM q WHERE k % 6 = 0 AND k % 12 <> 0
+UNION ALL SELECT 'nested_loop_string_match', count(*) FROM q WHERE k % 5 IN (2, 3)
+UNION ALL SELECT 'outer_join_over', count(*) FROM q WHERE k % 5 = 1 AND k % 3 = 0
+UNION ALL SELECT 'uneven_shuffle', count(*) FROM v
+""")
+def all_detectors_on_saved_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Several detectors over tables for which the text was read and parsed once."""
+    names = ["dynamic_pruning", "nested_loop_string_match", "outer_join_over", "uneven_shuffle"]
+    found = detectors.run_detectors(_plans(spark, sf), names, save_to=scratch_path(spark, "events"))
+    return found.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- console output and findings -----------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plansieve.operators.narrow import keep_needed
 from plansieve.operators.ordered import CHUNK_ROWS, running
 from plansieve.sources.decode import EventTables
 
@@ -20,7 +21,12 @@ def applications(tables: EventTables) -> DataFrame:
 
     A missing attempt is ``''``. A log whose start events carry no id keeps a row with NULLs.
     """
-    starts = tables.of("app").select(
+    return last_applications(tables.of("app"))
+
+
+def last_applications(starts: DataFrame) -> DataFrame:
+    """The applications among start events already at hand."""
+    starts = starts.select(
         "log_id",
         F.when(F.col("App ID").isNotNull(), F.col("ord")).alias("named_at"),
         F.col("App ID").alias("app_id"),
@@ -47,9 +53,11 @@ def query_id_links(tables: EventTables) -> DataFrame:
     )
 
 
-def sql_executions(tables: EventTables) -> DataFrame:
+def sql_executions(tables: EventTables, needed: DataFrame | None = None) -> DataFrame:
     """(log_id, execution_id, query_id, sql, start_ms, end_ms, duration_ms), one row per started execution.
 
+    ``needed`` may name the (log_id, execution_id) keys that will be looked up; others may then be missing.
+
     The last start wins and forgets what came before it: an end or a job counts only when it follows that
     start in line order. Because the last end (job) is after the last start whenever any is, one scan and
     one aggregate over the three event types are enough; nothing is joined.
@@ -75,7 +83,8 @@ def sql_executions(tables: EventTables) -> DataFrame:
         return F.when(F.col("kind") == what, F.col("ord"))
 
     last = (
-        events.groupBy("log_id", "execution_id")
+        keep_needed(events, needed)
+        .groupBy("log_id", "execution_id")
         .agg(
             F.max(at("sql_start")).alias("started"),
             F.max_by("ms", at("sql_start")).alias("start_ms"),
@@ -144,11 +153,14 @@ def stage_metric_updates(tables: EventTables) -> DataFrame:
     return _explode_pairs(tables.of("stage").select("log_id", "ord", _stage_pairs().alias("pairs")))
 
 
-def metrics(tables: EventTables) -> DataFrame:
-    """(log_id, accumulator_id, value): the last value written by a stage or by the driver."""
+def metrics(tables: EventTables, needed: DataFrame | None = None) -> DataFrame:
+    """(log_id, accumulator_id, value): the last value written by a stage or by the driver.
+
+    ``needed`` may name the (log_id, accumulator_id) keys that will be looked up; others may then be missing.
+    """
     pairs = F.when(F.col("kind") == "stage", _stage_pairs()).otherwise(_driver_pairs())
     updates = _explode_pairs(tables.of("stage", "driver").select("log_id", "ord", pairs.alias("pairs")))
-    return updates.groupBy("log_id", "accumulator_id").agg(F.max_by("value", "ord").alias("value"))
+    return keep_needed(updates, needed).groupBy("log_id", "accumulator_id").agg(F.max_by("value", "ord").alias("value"))
 
 
 def lookup_metric(rows: DataFrame, id_column: str, metric_values: DataFrame, out: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Detectors: questions over the event tables whose answers are findings.
 
 A detector takes the event tables and returns findings. All of them narrow the events down first, drop
-repeats, and only then look up the application and the SQL execution of what is left.
+repeats, and only then look up the application and the SQL execution of what is left. Since that takes
+several passes over the events, the log text itself is read and parsed once, by whichever runs first.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from plansieve.events import POSITION_CALLS, SORT_MERGE_JOINS
 from plansieve.functions.links import DEFAULT_BASE_URL, execution_link, stage_link
-from plansieve.operators.context import applications, metrics, sql_executions
+from plansieve.operators.context import applications, last_applications, metrics, sql_executions
 from plansieve.operators.findings import as_findings
+from plansieve.operators.narrow import keep_needed, stash
 from plansieve.plans import cost as costs
 from plansieve.plans import tree
 from plansieve.sources.decode import EventTables
@@ -32,8 +34,15 @@ def detector(name: str) -> Callable:
     return register
 
 
-def run_detectors(tables: EventTables, names: list[str] | None = None, **options: dict) -> DataFrame:
-    """Findings of the named detectors (all by default); ``options`` maps a name to its arguments."""
+def run_detectors(
+    tables: EventTables, names: list[str] | None = None, save_to: str | None = None, **options: dict
+) -> DataFrame:
+    """Findings of the named detectors (all by default); ``options`` maps a name to its arguments.
+
+    The log text is read and parsed once for all of them, into ``save_to`` or else the scratch folder.
+    """
+    if save_to:
+        tables = tables.save(save_to)
     findings = None
     for name in names or sorted(DETECTORS):
         found = DETECTORS[name](tables, **options.get(name, {}))
@@ -42,10 +51,15 @@ def run_detectors(tables: EventTables, names: list[str] | None = None, **options
 
 
 def with_context(found: DataFrame, tables: EventTables, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
-    """Add ``url`` and the SQL execution's columns to (log_id, execution_id, ...) rows."""
+    """Add ``url`` and the SQL execution's columns to (log_id, execution_id, ...) rows.
+
+    ``found`` is stored first; while it is small, only its own executions are gathered from the logs.
+    """
+    found, tables = stash(found, "found"), tables.once()
     apps = applications(tables).select("log_id", "app_id", "attempt_id")
+    executions = sql_executions(tables, needed=found.select("log_id", "execution_id"))
     return (
-        found.join(sql_executions(tables), ["log_id", "execution_id"], "left")
+        found.join(executions, ["log_id", "execution_id"], "left")
         .join(apps, "log_id", "left")
         .withColumn("url", execution_link(F.col("app_id"), F.col("attempt_id"), F.col("execution_id"), base_url))
         .drop("app_id", "attempt_id")
@@ -59,7 +73,7 @@ def match_nodes(
 
     ``words`` are texts every matching plan must contain; other plans are then skipped unparsed.
     """
-    updates = tree.mentioning(tree.plan_updates(tables, include_initial_plans), *words)
+    updates = tree.mentioning(tree.plan_updates(tables.once(), include_initial_plans), *words)
     return tree.plan_nodes(tree.plan_trees(updates)).filter(predicate)
 
 
@@ -91,7 +105,7 @@ def dynamic_pruning(tables: EventTables, base_url: str = DEFAULT_BASE_URL) -> Da
 @detector("outer_join_over")
 def outer_join_over(tables: EventTables, child_name: str = "PartitionRecombination", base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Outer sort-merge joins whose preserved side is directly a node of the given name."""
-    updates = tree.mentioning(tree.plan_updates(tables), "SortMergeJoin", *_words(child_name))
+    updates = tree.mentioning(tree.plan_updates(tables.once()), "SortMergeJoin", *_words(child_name))
     nodes = F.col("nodes")
 
     def outer_over(child: Column) -> Column:
@@ -119,8 +133,12 @@ def uneven_shuffle(
     tables: EventTables, parents: tuple[str, ...] = SORT_MERGE_JOINS, base_url: str = DEFAULT_BASE_URL
 ) -> DataFrame:
     """Sort-merge joins of a plain shuffle with a shuffle whose partitions were coalesced."""
+    tables = tables.once()
     updates = tree.mentioning(tree.plan_updates(tables), "SortMergeJoin", " coalesced")
-    joins = tree.uneven_joins(tree.plan_trees(updates), metrics(tables), parents)
+    # Only readers below such joins name a metric of interest, so few of all metrics are gathered.
+    reached = stash(tree.shuffles_below_inputs(tree.plan_trees(updates), parents), "reached")
+    needed = reached.select("log_id", F.col("partitions_id").alias("accumulator_id"))
+    joins = tree.uneven_joins(reached, metrics(tables, needed))
     found = joins.groupBy("log_id", "execution_id").agg(F.bool_or("unclear").alias("unclear"))
     return as_findings(with_context(found, tables, base_url), "uneven_shuffle", ["unclear"])
 
@@ -152,11 +170,10 @@ def nested_loop_string_match(tables: EventTables, base_url: str = DEFAULT_BASE_U
     )
 
 
-def task_ends(tables: EventTables) -> DataFrame:
-    """(log_id, stage_id, stage_attempt, reason, task_id, executor_id, host, times in ms, result_size)."""
+def _task_columns() -> list[Column]:
     info, took = F.col("Task Info"), F.col("Task Metrics")
-    return tables.of("task").select(
-        "log_id",
+    return [
+        F.col("log_id"),
         F.col("Stage ID").alias("stage_id"),
         F.col("Stage Attempt ID").alias("stage_attempt"),
         F.col("Task End Reason")["Reason"].alias("reason"),
@@ -171,29 +188,44 @@ def task_ends(tables: EventTables) -> DataFrame:
         took["Result Serialization Time"].alias("serialize_ms"),
         took["JVM GC Time"].alias("gc_ms"),
         took["Result Size"].alias("result_size"),
-    )
+    ]
 
 
-def schedule_delays(tables: EventTables, threshold_ms: int = 4 * 60 * 1000) -> DataFrame:
-    """Successful tasks that spent more than ``threshold_ms`` neither running nor moving data, with ``delay_ms``."""
+def task_ends(tables: EventTables) -> DataFrame:
+    """(log_id, stage_id, stage_attempt, reason, task_id, executor_id, host, times in ms, result_size)."""
+    return tables.of("task").select(*_task_columns())
+
+
+def _delay() -> Column:
+    """Time a task spent neither running nor moving data; NULL unless it succeeded."""
     handed_over = F.when(F.col("getting_result_ms") > F.col("launch_ms"), F.col("getting_result_ms"))
     on_driver = F.coalesce(handed_over, F.col("finish_ms")) - F.col("launch_ms")
     delay = on_driver - (F.col("deserialize_ms") + F.col("run_ms") + F.col("serialize_ms"))
-    return (
-        task_ends(tables)
-        .filter(F.col("reason") == "Success")
-        .withColumn("delay_ms", delay)
-        .filter(F.col("delay_ms") > threshold_ms)
-    )
+    return F.when(F.col("reason") == "Success", delay)
+
+
+def schedule_delays(tables: EventTables, threshold_ms: int = 4 * 60 * 1000) -> DataFrame:
+    """Successful tasks whose ``delay_ms``, time spent neither running nor moving data, is above a threshold."""
+    return task_ends(tables).withColumn("delay_ms", _delay()).filter(F.col("delay_ms") > threshold_ms)
 
 
 @detector("schedule_delay")
 def schedule_delay(tables: EventTables, threshold_ms: int = 4 * 60 * 1000, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Tasks that waited too long to be scheduled."""
     details = ["stage_id", "stage_attempt", "task_id", "executor_id", "host", "delay_ms", "gc_ms", "result_size"]
-    apps = applications(tables).select("log_id", "app_id")
+    # Tasks are the bulk of a log. One pass picks the slow ones and the application ids out together.
+    app_fields = ["App ID", "App Attempt ID", "App Name", "Timestamp"]
+    picked = (
+        tables.of("task", "app")
+        .select("ord", "kind", *app_fields, *_task_columns())
+        .withColumn("delay_ms", _delay())
+        .filter((F.col("kind") == "app") | (F.col("delay_ms") > threshold_ms))
+        .select("log_id", "ord", "kind", *app_fields, *details)
+    )
+    picked = stash(picked, "delays")
+    apps = last_applications(picked.filter(F.col("kind") == "app")).select("log_id", "app_id")
     found = (
-        schedule_delays(tables, threshold_ms)
+        picked.filter(F.col("kind") == "task")
         .select("log_id", *details)
         .dropDuplicates()
         .join(apps, "log_id", "left")
@@ -221,6 +253,7 @@ def costly_small_side_joins(
     agg_input_rows: int = 1_000_000,
 ) -> DataFrame:
     """(plan key, node_no, rows, left_rows, right_rows) of inner joins that a small side should have made cheap."""
+    tables = tables.once()
     trees = tree.plan_trees(long_final_plans(tables, min_duration_ms, ("Join", "Inner")))
     simplified = costs.simplified_cost(trees, metrics(tables))
     return costs.small_side_joins(simplified, big_rows, small_rows, agg_input_rows)
@@ -236,13 +269,18 @@ def costly_small_side_join(
     base_url: str = DEFAULT_BASE_URL,
 ) -> DataFrame:
     """Large inner joins that keep only as many rows as their small side, with both cost trees drawn."""
+    tables = tables.once()
+    joins = stash(costly_small_side_joins(tables, min_duration_ms, big_rows, small_rows, agg_input_rows), "joins")
+    # Only plans that hold a finding are drawn: they are picked out while still text, and only their metrics count.
     updates = long_final_plans(tables, min_duration_ms, ("Join", "Inner"))
-    metric_values = metrics(tables)
-    joins = costs.small_side_joins(
-        costs.simplified_cost(tree.plan_trees(updates), metric_values), big_rows, small_rows, agg_input_rows
+    drawn = stash(
+        tree.plan_trees(keep_needed(updates, joins.select(*tree.PLAN_KEY))).join(
+            joins.select(*tree.PLAN_KEY).distinct(), tree.PLAN_KEY, "left_semi"
+        ),
+        "drawn",
     )
-    # Only plans that hold a finding are drawn, and they are picked out while still text.
-    drawn = tree.plan_trees(updates.join(joins.select(*tree.PLAN_KEY).distinct(), tree.PLAN_KEY, "left_semi"))
+    ids = F.explode(F.flatten(F.transform("nodes", lambda n: n["metrics"]["accumulator_id"])))
+    metric_values = metrics(tables, drawn.select("log_id", ids.alias("accumulator_id")))
     join_text = costs.cost_text(costs.simplified_cost(drawn, metric_values), joins).withColumnRenamed("text", "join_cost")
     plan_text = costs.cost_text(costs.plan_cost(drawn, metric_values)).withColumnRenamed("text", "plan_cost")
     found = joins.join(join_text, [*tree.PLAN_KEY, "node_no"], "left").join(plan_text, tree.PLAN_KEY, "left")

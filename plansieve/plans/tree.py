@@ -162,32 +162,31 @@ def shuffles_below_inputs(trees: DataFrame, parents: tuple[str, ...] = SORT_MERG
     return trees.select(*PLAN_KEY, F.inline(F.flatten(F.transform(shuffles, reached))))
 
 
-def _hits(trees: DataFrame, metrics: DataFrame, parents: tuple[str, ...]) -> DataFrame:
+def _hits(reached: DataFrame, metrics: DataFrame) -> DataFrame:
     """Reached nodes that count as a shuffle: plain exchanges, and readers that changed their exchange's count."""
-    reached = lookup_metric(shuffles_below_inputs(trees, parents), "partitions_id", metrics, "partitions")
-    return reached.filter(
+    return lookup_metric(reached, "partitions_id", metrics, "partitions").filter(
         (F.col("node_name") == "Exchange") | (F.col("hash_partitions") != F.col("partitions"))
     ).withColumn(
         "unclear", F.coalesce((F.col("partitions") == -1) | (F.col("hash_partitions") == 0), F.lit(False))
     )
 
 
-def first_shuffles(trees: DataFrame, metrics: DataFrame, parents: tuple[str, ...] = SORT_MERGE_JOINS) -> DataFrame:
+def first_shuffles(reached: DataFrame, metrics: DataFrame) -> DataFrame:
     """(plan key, parent_no, side, node_no, node_name, simple_string, hash_partitions, partitions, unclear).
 
-    The first shuffle below each input of each ``parents`` node, in depth-first order: a plain exchange, or
-    a shuffle reader whose partition count is known and differs from its exchange's. ``unclear`` marks
+    Of the ``reached`` nodes (:func:`shuffles_below_inputs`), the first shuffle below each join input in
+    depth-first order: a plain exchange, or a shuffle reader whose partition count is known and differs from its exchange's. ``unclear`` marks
     readers whose count was never written or whose exchange text could not be read.
     """
     fields = ["node_name", "simple_string", "hash_partitions", "partitions", "unclear"]
     return (
-        _hits(trees, metrics, parents)
+        _hits(reached, metrics)
         .groupBy(*PLAN_KEY, "parent_no", "side")
         .agg(F.min("node_no").alias("node_no"), *[F.min_by(f, "node_no").alias(f) for f in fields])
     )
 
 
-def uneven_joins(trees: DataFrame, metrics: DataFrame, parents: tuple[str, ...] = SORT_MERGE_JOINS) -> DataFrame:
+def uneven_joins(reached: DataFrame, metrics: DataFrame) -> DataFrame:
     """(plan key, parent_no, exchange_side, hash_partitions, partitions, unclear) of unevenly shuffled joins.
 
     One input's first shuffle is a plain exchange, the other's a reader that coalesced its partitions.
@@ -195,7 +194,7 @@ def uneven_joins(trees: DataFrame, metrics: DataFrame, parents: tuple[str, ...]
     first = F.struct("node_name", "simple_string", "hash_partitions", "partitions", "unclear")
     # Both inputs of a join meet in one aggregate, keyed by the join: no self-join of the two sides.
     sides = (
-        _hits(trees, metrics, parents)
+        _hits(reached, metrics)
         .groupBy(*PLAN_KEY, "parent_no")
         .agg(
             F.min_by(first, F.when(F.col("side") == 0, F.col("node_no"))).alias("left"),

@@ -51,6 +51,11 @@ def _text(template: str, **columns: str) -> str:
     return f"concat({', '.join(pieces)})"
 
 
+def _opaque(value: Column) -> Column:
+    """Line text as a generator's output: filters then see text that is built once, as they would in a file."""
+    return F.explode(F.array(value)).alias("value")
+
+
 def _application_lines(keys: DataFrame, key: str) -> DataFrame:
     """One application-start line per distinct key; odd keys have an attempt id."""
     head = f'{{"Event":"{APPLICATION_START}","App Name":"app <<k>>","App ID":"application_<<k>>",'
@@ -62,7 +67,7 @@ def _application_lines(keys: DataFrame, key: str) -> DataFrame:
         .select(
             F.concat(F.lit("application_"), F.col(key)).alias("log_id"),
             F.lit(-1).cast("decimal(38,0)").alias("ord"),
-            _sql(f"CASE WHEN {key} % 2 = 1 THEN {with_attempt} ELSE {without} END").alias("value"),
+            _opaque(_sql(f"CASE WHEN {key} % 2 = 1 THEN {with_attempt} ELSE {without} END")),
         )
     )
 
@@ -104,7 +109,7 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _spread(events).select(
         F.concat(F.lit("application_"), F.col("user_id")).alias("log_id"),
         F.col("event_id").cast("decimal(38,0)").alias("ord"),
-        _sql(value).alias("value"),
+        _opaque(_sql(value)),
     )
     return lines.unionByName(_application_lines(events, "user_id"))
 
@@ -129,7 +134,7 @@ def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _spread(tasks).select(
         F.concat(F.lit("application_"), F.col("l_suppkey")).alias("log_id"),
         F.col("l_orderkey").cast("decimal(38,0)").alias("ord"),
-        _sql(value).alias("value"),
+        _opaque(_sql(value)),
     )
     return lines.unionByName(_application_lines(tasks, "l_suppkey"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansieve.events import KINDS
+from plansieve.events import COMMON_EVENT_TYPES, KINDS
+from plansieve.session import scratch_path
 from plansieve.sources.lines import event_type_of, filter_event_types
 
 BAD_LINE = "_bad_line"
@@ -95,6 +96,7 @@ class EventTables:
             raise ValueError("give either lines or a saved table")
         self._lines = lines
         self._saved = saved
+        self._once: EventTables | None = None
 
     @classmethod
     def from_lines(cls, lines: DataFrame) -> EventTables:
@@ -104,11 +106,28 @@ class EventTables:
     def open(cls, spark: SparkSession, path: str) -> EventTables:
         return cls(saved=spark.read.parquet(path))
 
-    def save(self, path: str, kinds: list[str] | None = None) -> None:
-        """Parse every line once and write the events partitioned by kind; no shuffle is needed."""
+    def save(self, path: str, kinds: list[str] | None = None) -> EventTables:
+        """Parse every line once, write the events partitioned by kind, and return the saved tables.
+
+        Nothing is shuffled: each task writes its own lines.
+        """
         if self._lines is None:
             raise ValueError("these tables are saved already")
         decode_all(self._lines, kinds).write.partitionBy("kind").parquet(path)
+        return EventTables.open(self._lines.sparkSession, path)
+
+    def once(self) -> EventTables:
+        """These tables in a form that any number of questions can share without reading the text again.
+
+        Text is parsed into the shared scratch folder the first time; the default event types are kept,
+        which leaves out the many task events.
+        """
+        if self._lines is None:
+            return self
+        if self._once is None:
+            kinds = [kind for kind, (tag, _) in KINDS.items() if tag in COMMON_EVENT_TYPES]
+            self._once = self.save(scratch_path(self._lines.sparkSession, "events"), kinds)
+        return self._once
 
     def of(self, *kinds: str, keep_line: bool = False) -> DataFrame:
         """(log_id, ord, kind[, value], fields) of one or several kinds of event, in one scan."""

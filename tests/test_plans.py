@@ -103,11 +103,14 @@ class Model:
         rows = [k["rows"] for k in c["kids"]]
         if not rows or c["rows"] in rows:
             return 10000
-        return 10000 * c["rows"] // max(rows) if max(rows) else None
+        if not max(rows):
+            return None
+        whole = abs(10000 * c["rows"]) // abs(max(rows))
+        return whole if c["rows"] * max(rows) >= 0 else -whole
 
     def draw(self, c, lead="", mark=""):
         p = self.priority(c)
-        tail = f"priority = {float(p)}" if p not in (10000, None) else ""
+        tail = f"priority = {as_double(p)}" if p not in (10000, None) else ""
         out = f"{mark}{c['name']} rows = {c['rows']} {tail}\n"
         for i, kid in enumerate(c["kids"]):
             last = i == len(c["kids"]) - 1
@@ -115,6 +118,14 @@ class Model:
         return out
 
 
+def as_double(n):
+    """A whole number as the JVM prints a double."""
+    digits, sign = str(abs(n)), "-" if n < 0 else ""
+    if len(digits) < 8:
+        return f"{sign}{digits}.0"
+    return f"{sign}{digits[0]}.{digits[1:].rstrip('0') or '0'}E{len(digits) - 1}"
+
+
 def walk(c, parent=None):
     yield c, parent
     for kid in c["kids"]:
@@ -199,7 +210,7 @@ def test_subtree_hash_partitions(forest):
 
 def test_first_shuffles(forest):
     trees, metrics, models = forest
-    found = {(r.execution_id, r.parent_no, r.side): r.node_no for r in tree.first_shuffles(trees, metrics).collect()}
+    found = {(r.execution_id, r.parent_no, r.side): r.node_no for r in tree.first_shuffles(tree.shuffles_below_inputs(trees), metrics).collect()}
     want = {}
     for i, m in models.items():
         for n in m.nodes:
@@ -213,7 +224,7 @@ def test_first_shuffles(forest):
 
 def test_uneven_joins(forest):
     trees, metrics, models = forest
-    found = {(r.execution_id, r.parent_no): r.exchange_side for r in tree.uneven_joins(trees, metrics).collect()}
+    found = {(r.execution_id, r.parent_no): r.exchange_side for r in tree.uneven_joins(tree.shuffles_below_inputs(trees), metrics).collect()}
     coalesced = ("AQEShuffleRead coalesced", "CustomShuffleReader coalesced")
     want = {}
     for i, m in models.items():
