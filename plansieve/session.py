@@ -12,6 +12,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Events are saved by kind: keep one writer per kind open, and spare each task a sort by kind.
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
     # Plan lines can be megabytes each: bound the Arrow batches by bytes as well as by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",

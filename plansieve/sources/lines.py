@@ -76,6 +76,22 @@ def line_order(part: Column, block: Column, row: Column) -> Column:
     ).cast("decimal(38,0)")
 
 
+def _refuse_unreadable(spark: SparkSession, paths: str | list[str], file_glob: str) -> None:
+    """Stop before any task starts if some log needs a codec the text source lacks."""
+    suffixes = "{" + ",".join(UNREADABLE_SUFFIXES) + "}"
+    # The listing keeps only the offending files, so nothing grows with the number of good ones.
+    bad = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", file_glob.rstrip("*") + "*" + suffixes)
+        .load(paths)
+        .select("path")
+        .head(1)
+    )
+    if bad:
+        raise ValueError(f"logs use a codec the text source cannot read, e.g. {bad[0].path}")
+
+
 def read_log_lines(
     spark: SparkSession,
     paths: str | list[str],
@@ -96,10 +112,7 @@ def read_log_lines(
         .option("pathGlobFilter", file_glob)
         .text(paths)
     )
-    unreadable = [f for f in text.inputFiles() if f.endswith(UNREADABLE_SUFFIXES)]
-    if unreadable:
-        raise ValueError(f"{len(unreadable)} logs use a codec the text source cannot read, e.g. {unreadable[0]}")
-
+    _refuse_unreadable(spark, paths, file_glob)
     meta = F.col("_metadata")
     text = text.filter(~meta["file_name"].endswith(".inprogress"))
     if now_ms is not None:

@@ -202,7 +202,7 @@ spark.stop()
 """
 
 
-@pytest.mark.parametrize("compress", ["false", "true"])
+@pytest.mark.parametrize("compress", ["true"])
 def test_log_written_by_spark_itself(spark, tmp_path, compress):
     d = str(tmp_path / "own")
     os.makedirs(d)
