@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import LINES_SCHEMA, app, driver, end, job, node, stage, start, update
+from conftest import app, driver, end, job, node, stage, start, update
 from plansieve import events as ev
 from plansieve.operators import context
 from plansieve.operators.ordered import running
