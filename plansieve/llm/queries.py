@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansieve.llm import sharding
+from plansieve.llm import decontaminate, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op6_quality_rules": quality.op6_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.OP1_SQL,
+    "op2_decontamination": decontaminate.OP2_SQL,
+    "op6_quality_rules": quality.OP6_SQL,
 }
