@@ -6,7 +6,7 @@ column besides the ones an operator names is ignored (or carried inside one stru
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,3 +40,21 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     Results that depend on the text alone can be computed once per key and counted out to its rows.
     """
     return [doc_id.alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash")]
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], bucket: str) -> DataFrame:
+    """``slot``: gapless from 0 within each group, in the order of (bucket, order).
+
+    Only a bucket of a group is sorted by one task; where it begins is the running sum of the sizes of the buckets before it,
+    a table of at most groups x buckets rows, which the caller keeps small by the number of buckets.
+    """
+    sizes = rows.groupBy(group, bucket).agg(F.count("*").alias("n_rows"))
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, bucket, F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first_slot"))
+    within = Window.partitionBy(group, bucket).orderBy(*order)
+    ranked = rows.withColumn("nth", F.row_number().over(within))
+    return (
+        ranked.join(F.broadcast(starts), [group, bucket])
+        .withColumn("slot", F.col("first_slot") + F.col("nth") - 1)
+        .drop("first_slot", "nth", bucket)
+    )

@@ -65,18 +65,18 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broadca
     if not sizes:
         nothing = F.array().cast("array<struct<start:int,size:int>>").alias("hits")
         return docs.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), nothing, F.array().cast("array<string>").alias("item_ids"))
-    probes = F.concat(
-        F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("window_hash"))),
-        *[
-            F.transform(
-                _window_starts(F.col("words"), size),
-                lambda i, size=size: F.struct(
-                    i.alias("start"), F.lit(size).alias("size"), F.xxhash64(_window(F.col("words"), i, size)).alias("window_hash")
-                ),
-            )
-            for size in sizes
-        ],
-    )
+    words = F.col("words")
+
+    def probes_of(size: int) -> Column:
+        return F.transform(
+            _window_starts(words, size),
+            lambda i: F.struct(
+                i.alias("start"), F.lit(size).alias("size"), F.xxhash64(_window(words, i, size)).alias("window_hash")
+            ),
+        )
+
+    header = F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("window_hash"))
+    probes = F.concat(F.array(header), *[probes_of(size) for size in sizes])
     # Each document's first probe is its header: it meets no window and keeps the document, hit or not.
     scanned = docs.select("doc_id", "text_hash", "words", F.explode(probes).alias("probe")).select(
         "doc_id", "text_hash", "words", "probe.*"

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansieve.llm import decontaminate, quality, sharding
+from plansieve.llm import decontaminate, packing, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op4_warc": warc.op4_warc,
+    "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op6_quality_rules": quality.OP6_SQL,
 }

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansieve.llm.common import text_of
+from plansieve.llm.common import numbered, table, text_of
 from plansieve.operators.narrow import stash
 
 # Rows of a shard are numbered bucket by bucket; a bucket of a shard is what one task sorts.
@@ -46,24 +46,6 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
     return -F.array_max(F.array(*scored))["neg"]
 
 
-def numbered(rows: DataFrame, shard: str, order: list[str], bucket: str) -> DataFrame:
-    """``slot``: gapless from 0 within each shard, in the order of (bucket, order).
-
-    Only a bucket of a shard is sorted by one task; where it begins is the running sum of the sizes of the buckets before it,
-    a table of at most shards x buckets rows.
-    """
-    sizes = rows.groupBy(shard, bucket).agg(F.count("*").alias("n_rows"))
-    before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(shard, bucket, F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first_slot"))
-    within = Window.partitionBy(shard, bucket).orderBy(*order)
-    ranked = rows.withColumn("nth", F.row_number().over(within))
-    return (
-        ranked.join(F.broadcast(starts), [shard, bucket])
-        .withColumn("slot", F.col("first_slot") + F.col("nth") - 1)
-        .drop("first_slot", "nth", bucket)
-    )
-
-
 def shard_documents(docs: DataFrame, weights: Mapping[int, float], grown_weights: Mapping[int, float]) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; no text is shuffled or stored."""
     key, text = F.col("doc_id"), F.col("text")
@@ -87,8 +69,6 @@ N_SHARDS = 8
 
 
 def op1_sharding(spark, sf_dir):
-    from plansieve.llm.common import table
-
     return shard_documents(
         table(spark, sf_dir, "documents"),
         {s: 1.0 for s in range(N_SHARDS)},
