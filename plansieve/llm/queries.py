@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansieve.llm import decontaminate, packing, quality, sharding, warc
+from plansieve.llm import decontaminate, licenses, mainhtml, packing, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_html_extraction": mainhtml.op8_html_extraction,
+    "op9_license_scan": licenses.op9_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.OP1_SQL,
