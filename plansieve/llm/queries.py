@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansieve.llm import decontaminate, licenses, mainhtml, packing, quality, sharding, warc
+from plansieve.llm import decontaminate, lattice, licenses, mainhtml, packing, quality, sharding, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_lattice_score": lattice.op3_lattice_score,
     "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_html_extraction": mainhtml.op8_html_extraction,
     "op9_license_scan": licenses.op9_license_scan,
 }
