@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansieve.llm.common import row_key, table, text_of
+from plansieve.llm.hashes import lowered_words_of
 from plansieve.operators.narrow import stash
 
 SPACE_MARK = "▁"
@@ -34,11 +35,6 @@ FREQUENT_WORDS = 200_000  # about 250 bytes each in a worker
 COUNTED_WORDS = 200_000  # a task hands on its counts when it has so many words
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words with A-Z lowered; both steps act on ASCII bytes only."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 # --- counting ------------------------------------------------------------------------------------------
 
 
@@ -58,7 +54,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for held_out, text in zip(batch.column("held_out").to_pylist(), batch.column("text")):
-                (seen if held_out else trained).update(words_of(text.as_py()))
+                (seen if held_out else trained).update(lowered_words_of(text.as_py()))
                 if len(trained) + len(seen) >= COUNTED_WORDS:
                     yield hand_on()
         if trained or seen:
@@ -172,7 +168,7 @@ def _sum_frequent(docs: DataFrame, frequent: dict[bytes, tuple[bool, float, floa
 
             ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             for doc_id, text_hash, text in zip(ids, hashes, batch.column("text")):
-                words = words_of(text.as_py())
+                words = lowered_words_of(text.as_py())
                 n_known, base_sum, score_sum, rare = 0, 0.0, 0.0, []
                 for word, tf in Counter(words).items():
                     if entry := get(word):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansieve.llm import decontaminate, lattice, licenses, mainhtml, packing, quality, sharding, substrings, warc
+from plansieve.llm import decontaminate, lattice, licenses, mainhtml, neardup, packing, quality, sharding, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_html_extraction": mainhtml.op8_html_extraction,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_minhash_forest": neardup.op10_minhash_forest,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.OP1_SQL,

@@ -31,41 +31,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansieve.llm.common import table, text_of
+from plansieve.llm.hashes import MIX, MIX2, mixed, run_hashes, word_hashes, word_slices, words_of
 from plansieve.operators.narrow import stash
 
 WIDTH = 13
 GRAM = 5
 CELL_BITS = 30  # the bitmap has 2 ** CELL_BITS bits, 128 MB if all of it is used
 BLOCK_BITS = 20
-BATCH_WORDS = 400_000
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _MIX2
-    return x ^ (x >> np.uint64(32))
-
-
-def _runs(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
-    """A hash of the n values from each position on (as many results as there are whole runs)."""
-    m = len(h) - n + 1
-    out = h[:m].copy()
-    for k in range(1, n):
-        out *= factor
-        out += h[k : k + m]
-    return _mixed(out)
-
-
 class Windows:
     """The windows of some documents: of each its document's number, its start there, its rarest gram and its hash."""
 
     def __init__(self, words: list[list[bytes]], width: int, gram: int):
-        import xxhash
-
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter((h for w in words for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, int(sizes.sum()))
+        flat, sizes = word_hashes(words)
         first = np.cumsum(sizes) - sizes
         count = np.maximum(sizes - width + 1, 0)
         self.doc = np.repeat(np.arange(len(words)), count)
@@ -74,30 +51,16 @@ class Windows:
         if not len(at):
             self.rare = self.hash = np.zeros(0, np.uint64)
             return
-        grams = _runs(flat, gram, _MIX)
+        grams = run_hashes(flat, gram, MIX)
         m = len(flat) - width + 1
         rare = grams[:m].copy()
         for k in range(1, width - gram + 1):
             np.minimum(rare, grams[k : k + m], out=rare)
-        self.rare, self.hash = rare[at], _runs(flat, width, _MIX2)[at]
+        self.rare, self.hash = rare[at], run_hashes(flat, width, MIX2)[at]
 
     def cells(self) -> np.ndarray:
         # Small hashes crowd at the low end: mix them before taking the top bits.
-        return (_mixed(self.rare * _MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def _batches_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of the input with their words, about ``BATCH_WORDS`` at a time."""
-    for batch in batches:
-        words, size, begin = [], 0, 0
-        for k, text in enumerate(batch.column("text")):
-            words.append(text.as_py().encode("utf-8", "surrogatepass").split())
-            size += len(words[-1])
-            if size >= BATCH_WORDS:
-                yield batch.slice(begin, k + 1 - begin), words
-                words, size, begin = [], 0, k + 1
-        if words:
-            yield batch.slice(begin), words
+        return (mixed(self.rare * MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 # --- first pass ----------------------------------------------------------------------------------------
@@ -108,7 +71,7 @@ def repeated_cells(docs: DataFrame, width: int, gram: int) -> dict[int, bytes]:
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int32())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _batches_of_documents(batches):
+        for _, words in word_slices(batches):
             w = Windows(words, width, gram)
             cells = w.cells()
             new = np.ones(len(cells), bool)
@@ -178,7 +141,7 @@ def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataF
         from pyspark import TaskContext
 
         bitmap, row_id = _bitmap(name, blocks.value), TaskContext.get().partitionId() << 40
-        for batch, words in _batches_of_documents(batches):
+        for batch, words in word_slices(batches):
             n = len(words)
             w = Windows(words, width, gram)
             cells = w.cells()
@@ -258,7 +221,7 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     removed.append(0)
                     shas.append(sha.as_py())
                     continue
-                words = text.as_py().encode("utf-8", "surrogatepass").split()
+                words = words_of(text.as_py())
                 gone = covered_words(len(words), width, repeats.as_py(), more.as_py())
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone) if not g])).hexdigest())
