@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansieve.llm.common import table, text_of
@@ -158,23 +158,20 @@ def forest_links(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, before, None, last), _LINKS_ARROW)], schema=_LINKS_ARROW)
 
     found = stash(ordered.mapInArrow(run, "part int, key binary, a long, b long"), "forest")
-    # Two rows per part: the last of one is the neighbour of the first of the next one that has rows.
+    # Two rows per part: where one part's last region goes on in the next part, that part's first node follows its last.
     ends = found.where("part is not null").select(
-        "part", F.substring("key", 1, key_bytes).alias("region"), F.col("a").alias("first"), F.col("b").alias("last")
+        "part", F.substring("key", 1, key_bytes).alias("region"), F.coalesce("a", "b").alias("node"), F.col("a").isNull().alias("is_last")
     )
-    firsts = ends.where("first is not null").select(F.col("part").alias("at"), "region", "first")
-    # Regions that go on over several parts begin some of them: joined by region, each begins where the one before ends.
-    lasts = ends.where("last is not null").select(F.col("part").alias("ended"), "region", "last")
-    before = lasts.join(firsts, "region").where("ended < at").groupBy("at", "first").agg(F.max_by("last", "ended").alias("last"))
-    across = before.select(F.col("first").alias("a"), F.col("last").alias("b"))
-    return found.where("part is null").select("a", "b").union(across).distinct()
+    order = Window.partitionBy("region").orderBy("part", "is_last")
+    across = ends.withColumn("before", F.lag("node").over(order)).where("not is_last and before is not null")
+    return found.where("part is null").select("a", "b").union(across.select(F.col("node").alias("a"), F.col("before").alias("b"))).distinct()
 
 
 # --- exact comparison ----------------------------------------------------------------------------------
 
 
-def linked_pairs(sets: list[np.ndarray], label: list[int], kind: Similarity) -> list[tuple[int, int]]:
-    """Confirmed links that connect what is not connected yet, by positions; equal labels are connected already."""
+def connected(sets: list[np.ndarray], label: list[int], kind: Similarity) -> dict[int, int]:
+    """Each label with the smallest one its sets are linked to, directly or in steps; equal labels are connected already."""
     parent = {x: x for x in label}
 
     def root(x: int) -> int:
@@ -191,7 +188,6 @@ def linked_pairs(sets: list[np.ndarray], label: list[int], kind: Similarity) ->
         small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
         likely = np.flatnonzero((estimate >= kind.least_estimate) & (100 * small >= kind.percent * large))
         pairs += [(-estimate[k], i, i + 1 + int(k)) for k in likely]
-    found = []
     for _, i, j in sorted(pairs):
         a, b = root(label[i]), root(label[j])
         if a == b:
@@ -201,58 +197,70 @@ def linked_pairs(sets: list[np.ndarray], label: list[int], kind: Similarity) ->
         common = int((both[1:] == both[:-1]).sum())
         if 100 * common >= kind.percent * (len(both) - common):
             parent[max(a, b)] = min(a, b)
-            found.append((i, j))
-    return found
+    return {x: root(x) for x in parent}
 
 
-_PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_CONNECTED_ARROW = pa.schema([("cluster", pa.int64()), ("label", pa.int64()), ("head", pa.int64())])
 
 
-def compare_cells(cells: DataFrame, docs: DataFrame, kind: Similarity) -> DataFrame:
-    """a, b: confirmed links; ``cells`` has cell, node and label, each cell with a bounded number of nodes."""
+def compare_cells(cells: DataFrame, texts: DataFrame, kind: Similarity) -> DataFrame:
+    """cluster, label, head: what is connected within each cell.
+
+    ``cells`` has cell, cluster, node and label, each cell with a bounded number of nodes; ``texts`` has node and text.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_pylist()
         sets = shingle_sets([lowered_words_of(t) for t in group.column("text").to_pylist()], kind.width)
-        full = [k for k, s in enumerate(sets) if len(s)]
-        found = linked_pairs([sets[k] for k in full], [group.column("label")[k].as_py() for k in full], kind) if len(full) > 1 else []
-        pairs = [(nodes[full[i]], nodes[full[j]]) for i, j in found]
-        return pa.Table.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], schema=_PAIRS_ARROW)
+        label = group.column("label").to_pylist()
+        heads = connected(sets, label, kind)
+        cluster = [group.column("cluster")[0].as_py()] * len(heads)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (cluster, [*heads], [*heads.values()])], schema=_CONNECTED_ARROW)
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    return cells.join(texts, "node").groupBy("cell").applyInArrow(run, "a long, b long")
+    return cells.hint("shuffle_hash").join(texts, "node").groupBy("cell").applyInArrow(run, "cluster long, label long, head long")
 
 
 def _part(node: Column, size: Column) -> Column:
     """A part of half a cell: parts of a cluster are numbered from 0."""
-    return F.pmod(F.xxhash64(node), F.ceil(size / (CELL // 2))).cast("int")
+    return F.pmod(F.xxhash64(node), _n_parts(size)).cast("int")
+
+
+def _n_parts(size: Column) -> Column:
+    return F.ceil(size / (CELL // 2)).cast("int")
 
 
 def find_components(docs: DataFrame, nodes: DataFrame, kind: Similarity) -> DataFrame:
-    """node, component of every node that is linked with another one."""
+    """node, component of every node that is a candidate of another one."""
     clusters = components(forest_links(nodes)).withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     clusters = stash(clusters.join(sizes, "cluster").select("node", "cluster", "size", _part(F.col("node"), F.col("size")).alias("part")), "clusters")
-    n_parts = F.ceil(F.col("size") / (CELL // 2)).cast("int")
-    small = F.col("size") <= CELL
+    # The texts of all candidates are fetched once, by shuffle at every size; cells draw on these.
+    candidates = clusters.select("node").hint("shuffle_hash")
+    texts = stash(candidates.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), "texts")
+    is_large = F.col("size") > CELL
     # Hub nodes go to the cells of all parts: as many rows again as the cluster has.
-    first = F.when(small, F.array(F.lit(0))).when(F.col("part") == 0, F.sequence(F.lit(1), n_parts - 1)).otherwise(F.array("part"))
-    cells = clusters.select("node", F.col("node").alias("label"), "cluster", F.explode(first).alias("with")).select(F.struct("cluster", "with").alias("cell"), "node", "label")
-    links = stash(compare_cells(cells, docs, kind), "links")
-    found = components(links)
-    large = clusters.where(~small).join(found, "node", "left").select("node", "cluster", "size", "part", F.coalesce("component", "node").alias("label"))
-    counted = large.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", "n").alias("largest"))
-    large = stash(large.join(counted, "cluster"), "large")
-    rest = large.where("label <> largest")
-    n_rest = rest.groupBy("cluster").agg(F.count("*").alias("n_rest"))
-    if n_rest.isEmpty():
-        return found
-    rest = rest.join(n_rest, "cluster").withColumn("rest_part", _part(F.col("node"), F.col("n_rest")))
-    rest_cells = rest.select("node", "label", "cluster", "rest_part", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"))
-    all_cells = large.join(n_rest, "cluster").select("node", "label", "cluster", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_rest") / (CELL // 2)).cast("int") - 1)).alias("rest_part"), "part")
-    cells = rest_cells.unionByName(all_cells).select(F.struct("cluster", "rest_part", "part").alias("cell"), "node", "label").distinct()
-    more = compare_cells(cells, docs, kind)
-    return components(links.union(more))
+    meets = F.when(~is_large, F.array(F.lit(0))).when(F.col("part") == 0, F.sequence(F.lit(1), _n_parts(F.col("size")) - 1)).otherwise(F.array("part"))
+    cells = clusters.select("node", F.col("node").alias("label"), "cluster", F.explode(meets).alias("with"))
+    compared = stash(compare_cells(cells.withColumn("cell", F.struct("cluster", "with")), texts, kind), "compared")
+    large = clusters.where(is_large)
+    if large.isEmpty():
+        return compared.select(F.col("label").alias("node"), F.col("head").alias("component"))
+    settled = compared.join(large.select("cluster").distinct(), "cluster", "left_anti").select(F.col("label").alias("node"), F.col("head").alias("component"))
+    hub = components(compared.join(large.select("cluster").distinct(), "cluster", "left_semi").select(F.col("label").alias("a"), F.col("head").alias("b")))
+    large = stash(large.join(hub, "node").select("node", "cluster", "size", "part", F.col("component").alias("label")), "large")
+    counted = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    main = counted.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("whole"), F.max("n").alias("most"))
+    # Whatever is not connected to the cluster's largest component meets every part.
+    left = large.join(main.select("cluster", "main", (F.col("whole") - F.col("most")).alias("n_rest")).where("n_rest > 0"), "cluster")
+    rest = left.where("label <> main").select(
+        "node", "label", "cluster", _part(F.col("node"), F.col("n_rest")).alias("rest_part"), F.explode(F.sequence(F.lit(0), _n_parts(F.col("size")) - 1)).alias("part")
+    )
+    others = left.select(
+        "node", "label", "cluster", F.explode(F.sequence(F.lit(0), _n_parts(F.col("n_rest")) - 1)).alias("rest_part"), "part"
+    )
+    cells = rest.union(others).distinct().withColumn("cell", F.struct("cluster", "rest_part", "part")).select("cell", "cluster", "node", "label")
+    more = components(compare_cells(cells, texts, kind).select(F.col("label").alias("a"), F.col("head").alias("b")))
+    later = more.select(F.col("node").alias("label"), "component")
+    return settled.union(large.join(later, "label", "left").select("node", F.coalesce("component", "label")))
 
 
 def group_documents(docs: DataFrame, kind: Similarity) -> DataFrame:
