@@ -97,7 +97,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece of a document: where it starts, its length and checksum, and with ``keep_ids`` its ids."""
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.uint32()))] * keep_ids)
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * keep_ids)
     end = np.array([END_ID], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, kee
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
                     row = [doc_id, start, len(piece) // 4, zlib.crc32(piece), n]
-                    for column, value in zip(columns, row + [np.frombuffer(piece, "<u4")] * keep_ids):
+                    for column, value in zip(columns, row + [np.frombuffer(piece, "<u4").astype(np.int64)] * keep_ids):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
