@@ -69,8 +69,7 @@ def measured(docs: DataFrame) -> DataFrame:
     second = first.select(
         "row", "words", windows.alias("windows"), F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines")
     )
-    return second.select(
-        "row",
+    measurements = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.char_length(text).cast("long").alias("n_chars"),
@@ -81,6 +80,9 @@ def measured(docs: DataFrame) -> DataFrame:
         .otherwise(_repeated_words(F.col("words"), F.col("windows")))
         .alias("n_repeat_words"),
     )
+    # Unfolding a list of one keeps later filters from being pushed below it, where each mention of a measurement would be
+    # measured again.
+    return second.select("row", F.inline(F.array(measurements)))
 
 
 # --- rules and ledger ----------------------------------------------------------------------------------
@@ -150,9 +152,7 @@ def fails_policy(failed: Column, policy: Policy, rules: list[Rule] | None = None
 
 def apply_policy(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The documents that the policy keeps, all columns as they were."""
-    # Not a filter: pushed below the ledger, it would evaluate the rules once more for every mention of their inputs.
-    kept = F.explode(F.when(~fails_policy(F.col("failed"), policy), F.array("row")))
-    return ledger(docs).select(kept.alias("row")).select("row.*")
+    return ledger(docs).where(~fails_policy(F.col("failed"), policy)).select("row.*")
 
 
 def ablations(entries: DataFrame, policies: list[Policy], rules: list[Rule] | None = None) -> DataFrame:
