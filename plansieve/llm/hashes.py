@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_WORDS = 400_000
+SLICE_WORDS = 200_000
 
 # Odd constants with bits all over; any would do.
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -36,7 +36,7 @@ from plansieve.operators.narrow import stash
 
 WIDTH = 13
 GRAM = 5
-CELL_BITS = 30  # the bitmap has 2 ** CELL_BITS bits, 128 MB if all of it is used
+CELL_BITS = 29  # the bitmap has 2 ** CELL_BITS bits, 64 MB in a worker if all of it is used
 BLOCK_BITS = 20
 class Windows:
     """The windows of some documents: of each its document's number, its start there, its rarest gram and its hash."""
@@ -81,19 +81,27 @@ def repeated_cells(docs: DataFrame, width: int, gram: int) -> dict[int, bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(n, pa.int32())], schema=schema)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+        # Cells come in order: one block is open at a time.
+        bits, open_block = np.zeros(1 << BLOCK_BITS, bool), None
+
+        def closed() -> pa.RecordBatch:
+            packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+            bits[:] = False
+            return pa.RecordBatch.from_arrays([pa.array([open_block], pa.int32()), pa.array([packed], pa.binary())], names=["block", "bits"])
+
         for batch in batches:
             cells = batch.column("cell").to_numpy()
-            for block in np.unique(cells >> BLOCK_BITS):
-                inside = cells[cells >> BLOCK_BITS == block] & ((1 << BLOCK_BITS) - 1)
-                bits.setdefault(int(block), np.zeros(1 << BLOCK_BITS, bool))[inside] = True
-        for block, b in bits.items():
-            packed = zlib.compress(np.packbits(b, bitorder="little").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["block", "bits"])
+            for block in np.unique(cells >> BLOCK_BITS).tolist():
+                if open_block not in (None, block):
+                    yield closed()
+                open_block = block
+                bits[cells[cells >> BLOCK_BITS == block] & ((1 << BLOCK_BITS) - 1)] = True
+        if open_block is not None:
+            yield closed()
 
     counted = docs.select("text").mapInArrow(sketch, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
     # A task has the blocks of its own cells only; there are at most 2 ** (CELL_BITS - BLOCK_BITS) of them.
-    by_block = counted.where("n > 1").select("cell").repartition(F.shiftright("cell", BLOCK_BITS))
+    by_block = counted.where("n > 1").select("cell").repartition(F.shiftright("cell", BLOCK_BITS)).sortWithinPartitions("cell")
     return {r["block"]: bytes(r["bits"]) for r in by_block.mapInArrow(blocks, "block int, bits binary").collect()}
 
 
