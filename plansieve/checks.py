@@ -299,10 +299,14 @@ FROM e WHERE event_id % 10 IN (3, 4, 5, 6)
 """)
 def find_corrupt_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines cut short, indented, emptied or without a tag are listed and do not stop the rest."""
+    return _event_id(corrupt_lines(_damaged(spark, sf))).select("log_id", "event_id", "reason")
+
+
+def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     logs = samples.context_lines(spark, sf)
     damage = F.col("ord") % 10
     value = F.col("value")
-    damaged = logs.withColumn(
+    return logs.withColumn(
         "value",
         F.when(damage == 3, F.expr("substr(value, 1, length(value) - 1)"))
         .when(damage == 4, F.concat(F.lit(" "), value))
@@ -310,7 +314,13 @@ def find_corrupt_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(damage == 6, F.regexp_replace(value, '"Event"', '"event"'))
         .otherwise(value),
     )
-    return _event_id(corrupt_lines(damaged)).select("log_id", "event_id", "reason")
+
+
+@query(ORACLES["find_corrupt_lines"])
+def find_corrupt_lines_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines of saved tables."""
+    saved = EventTables.from_lines(_damaged(spark, sf)).save(scratch_path(spark, "events"))
+    return _event_id(saved.corrupt()).select("log_id", "event_id", "reason")
 
 
 @query(EVENTS + f"""
@@ -480,9 +490,11 @@ def subtree_hash_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(PLANS + """
-SELECT d.log_id, d.k AS execution_id, d.no AS node_no, a.no AS ancestor_no,
-       len(string_split(d.path, '.')) - (d.path = '')::INT - len(string_split(a.path, '.')) + (a.path = '')::INT AS distance
-FROM n d JOIN n a ON a.k = d.k AND (a.path = d.path OR a.path = '' OR starts_with(d.path, a.path || '.'))
+, d AS (
+  SELECT k, log_id, no, parts, unnest(range(len(parts) + 1)) AS i
+  FROM (SELECT k, log_id, no, CASE WHEN path = '' THEN [] ELSE string_split(path, '.') END AS parts FROM n))
+SELECT d.log_id, d.k AS execution_id, d.no AS node_no, a.no AS ancestor_no, len(d.parts) - d.i AS distance
+FROM d JOIN n a ON a.k = d.k AND a.path = array_to_string(d.parts[1:d.i], '.')
 """)
 def plan_ancestors(spark: SparkSession, sf: str) -> DataFrame:
     """O28."""
@@ -566,18 +578,20 @@ d AS (
   SELECT p.*, CASE WHEN sb THEN ':- ' ELSE '' END AS b1, CASE WHEN sb THEN ':  ' ELSE '' END AS b2,
          CASE WHEN f THEN CASE WHEN sb THEN ':  +- ' ELSE '+- ' END WHEN sb THEN ':- ' ELSE '' END AS bj,
          CASE WHEN sb THEN ':  ' ELSE '' END || CASE WHEN f THEN '   ' ELSE '' END AS bc FROM p)
+, t AS (
+  SELECT k, max(tail) FILTER (node_no = 0 AND sb) AS t0, max(tail) FILTER (node_no = 1 AND f) AS t1, max(tail) FILTER (node_no = j) AS tj,
+         max(tail) FILTER (node_no = l + nl) AS tl, max(tail) FILTER (node_no = l + nl + 1) AS ta, max(tail) FILTER (node_no = l + nl + nr + 1) AS tr
+  FROM d JOIN s USING (k) GROUP BY k)
 SELECT d.log_id, d.k AS execution_id,
-       CASE WHEN sb THEN 'AdaptiveSparkPlan rows = ' || s0.tail ELSE '' END
-       || CASE WHEN f THEN b1 || 'Filter rows = ' || s1.tail ELSE '' END
+       CASE WHEN sb THEN 'AdaptiveSparkPlan rows = ' || t0 ELSE '' END
+       || CASE WHEN f THEN b1 || 'Filter rows = ' || t1 ELSE '' END
        || bj || CASE jk WHEN 0 THEN 'SortMergeJoin' WHEN 1 THEN 'SortMergeJoin' WHEN 4 THEN 'BroadcastHashJoin' ELSE 'BroadcastNestedLoopJoin' END
-       || ' rows = ' || sj.tail
-       || bc || ':- Scan parquet  rows = ' || sl.tail
-       || bc || '+- HashAggregate rows = ' || sa.tail
-       || bc || '   +- Scan parquet  rows = ' || sr.tail
+       || ' rows = ' || tj
+       || bc || ':- Scan parquet  rows = ' || tl
+       || bc || '+- HashAggregate rows = ' || ta
+       || bc || '   +- Scan parquet  rows = ' || tr
        || CASE WHEN sb THEN '+- SubqueryBroadcast rows = 0 ' || chr(10) ELSE '' END AS text
-FROM d LEFT JOIN s s0 ON s0.k = d.k AND s0.node_no = 0 AND sb LEFT JOIN s s1 ON s1.k = d.k AND s1.node_no = 1 AND f
-JOIN s sj ON sj.k = d.k AND sj.node_no = j JOIN s sl ON sl.k = d.k AND sl.node_no = l + nl
-JOIN s sa ON sa.k = d.k AND sa.node_no = l + nl + 1 JOIN s sr ON sr.k = d.k AND sr.node_no = l + nl + nr + 1
+FROM d JOIN t USING (k)
 """)
 def cost_tree_text(spark: SparkSession, sf: str) -> DataFrame:
     """O35."""
@@ -719,17 +733,33 @@ def costly_small_side_join(spark: SparkSession, sf: str) -> DataFrame:
     return joins.select("log_id", "execution_id", *_long("node_no"), "rows", "left_rows", "right_rows")
 
 
+@query(COSTS + """
+SELECT p.log_id, k AS execution_id, url, sql, CAST(j AS VARCHAR) AS node_no, CAST(lr AS VARCHAR) AS left_rows, CAST(c AS VARCHAR) AS right_rows
+FROM p JOIN q USING (k) WHERE k % 2 = 0 AND k % 13 <> 0 AND k % 97 * 1000 + 500 > 30 AND jk <> 1
+  AND (lr > 200000 AND rr < 1000 AND NOT (c < 1000 AND rr > 2000) OR c > 200000 AND lr < 1000)
+  AND CASE WHEN f THEN fr ELSE jr END = least(lr, c)
+""")
+def costly_small_side_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The detector, with the context of its findings."""
+    found = detectors.costly_small_side_join(
+        _plans(spark, sf), min_duration_ms=30, big_rows=200_000, small_rows=1000, agg_input_rows=2000, base_url=BASE_URL
+    )
+    drawn = found.filter(F.col("detail")["plan_cost"].isNotNull() & F.col("detail")["join_cost"].isNotNull())
+    return _finding(drawn, "node_no", "left_rows", "right_rows")
+
+
 @query(SHUFFLES + """
-SELECT 'dynamic_pruning' AS detector, count(*) AS n FROM q WHERE k % 6 = 0 AND k % 12 <> 0
-UNION ALL SELECT 'nested_loop_string_match', count(*) FROM q WHERE k % 5 IN (2, 3)
-UNION ALL SELECT 'outer_join_over', count(*) FROM q WHERE k % 5 = 1 AND k % 3 = 0
-UNION ALL SELECT 'uneven_shuffle', count(*) FROM v
+SELECT 'dynamic_pruning' AS detector, log_id, k AS execution_id FROM q WHERE k % 6 = 0 AND k % 12 <> 0
+UNION ALL SELECT 'nested_loop_string_match', log_id, k FROM q WHERE k % 5 IN (2, 3)
+UNION ALL SELECT 'outer_join_over', log_id, k FROM q WHERE k % 5 = 1 AND k % 3 = 0
+UNION ALL SELECT 'uneven_shuffle', log_id, k FROM v
 """)
 def all_detectors_on_saved_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Several detectors over tables for which the text was read and parsed once."""
     names = ["dynamic_pruning", "nested_loop_string_match", "outer_join_over", "uneven_shuffle"]
-    found = detectors.run_detectors(_plans(spark, sf), names, save_to=scratch_path(spark, "events"))
-    return found.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
+    options = {"outer_join_over": {"child_name": "PartitionRecombination"}}
+    found = detectors.run_detectors(_plans(spark, sf), names, save_to=scratch_path(spark, "events"), **options)
+    return found.select("detector", "log_id", "execution_id")
 
 
 # --- console output and findings -----------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansieve.operators.narrow import keep_needed
+from plansieve.operators.narrow import keep_needed, stash
 from plansieve.operators.ordered import CHUNK_ROWS, running
 from plansieve.sources.decode import EventTables
 
@@ -56,7 +56,7 @@ def query_id_links(tables: EventTables) -> DataFrame:
 def sql_executions(tables: EventTables, needed: DataFrame | None = None) -> DataFrame:
     """(log_id, execution_id, query_id, sql, start_ms, end_ms, duration_ms), one row per started execution.
 
-    ``needed`` may name the (log_id, execution_id) keys that will be looked up; others may then be missing.
+    ``needed`` may name the (log_id, execution_id) keys wanted; other executions are then left out.
 
     The last start wins and forgets what came before it: an end or a job counts only when it follows that
     start in line order. Because the last end (job) is after the last start whenever any is, one scan and
@@ -83,8 +83,7 @@ def sql_executions(tables: EventTables, needed: DataFrame | None = None) -> Data
         return F.when(F.col("kind") == what, F.col("ord"))
 
     last = (
-        keep_needed(events, needed)
-        .groupBy("log_id", "execution_id")
+        events.groupBy("log_id", "execution_id")
         .agg(
             F.max(at("sql_start")).alias("started"),
             F.max_by("ms", at("sql_start")).alias("start_ms"),
@@ -97,7 +96,7 @@ def sql_executions(tables: EventTables, needed: DataFrame | None = None) -> Data
         .filter(F.col("started").isNotNull())
     )
     end_ms = F.when(F.col("ended") > F.col("started"), F.col("end_ms"))
-    return last.select(
+    return keep_needed(last, needed).select(
         "log_id",
         "execution_id",
         F.when(F.col("linked") > F.col("started"), F.col("query_id")).alias("query_id"),
@@ -156,11 +155,11 @@ def stage_metric_updates(tables: EventTables) -> DataFrame:
 def metrics(tables: EventTables, needed: DataFrame | None = None) -> DataFrame:
     """(log_id, accumulator_id, value): the last value written by a stage or by the driver.
 
-    ``needed`` may name the (log_id, accumulator_id) keys that will be looked up; others may then be missing.
+    ``needed`` may name the (log_id, accumulator_id) keys wanted; other metrics are then left out.
     """
     pairs = F.when(F.col("kind") == "stage", _stage_pairs()).otherwise(_driver_pairs())
     updates = _explode_pairs(tables.of("stage", "driver").select("log_id", "ord", pairs.alias("pairs")))
-    return keep_needed(updates, needed).groupBy("log_id", "accumulator_id").agg(F.max_by("value", "ord").alias("value"))
+    return keep_needed(updates.groupBy("log_id", "accumulator_id").agg(F.max_by("value", "ord").alias("value")), needed)
 
 
 def lookup_metric(rows: DataFrame, id_column: str, metric_values: DataFrame, out: str) -> DataFrame:
@@ -196,6 +195,8 @@ def attribute_to_execution(events: DataFrame, tables: EventTables, chunk_rows: i
     marked = events.withColumn("mark", F.lit(None).cast("bigint")).unionByName(
         execution_marks(tables), allowMissingColumns=True
     )
+    # Chunks are summarised and then met again: stored, the events are taken from the text once.
+    marked = stash(marked, "marked")
     filled = running(
         marked.withColumn("_is_event", F.col("mark").isNull()),
         "log_id",

@@ -22,6 +22,8 @@ from plansieve.plans import tree
 from plansieve.sources.decode import EventTables
 
 DETECTORS: dict[str, Callable[..., DataFrame]] = {}
+# These ask for a node name, for which there is no default.
+NEEDS_OPTIONS = ("node_name", "outer_join_over")
 
 
 def detector(name: str) -> Callable:
@@ -37,14 +39,18 @@ def detector(name: str) -> Callable:
 def run_detectors(
     tables: EventTables, names: list[str] | None = None, save_to: str | None = None, **options: dict
 ) -> DataFrame:
-    """Findings of the named detectors (all by default); ``options`` maps a name to its arguments.
+    """Findings of the named detectors; ``options`` maps a name to its arguments.
+
+    Without names, all that need no argument or are given one run.
 
     The log text is read and parsed once for all of them, into ``save_to`` or else the scratch folder.
     """
     if save_to:
         tables = tables.save(save_to)
     findings = None
-    for name in names or sorted(DETECTORS):
+    if names is None:
+        names = [n for n in sorted(DETECTORS) if n in options or n not in NEEDS_OPTIONS]
+    for name in names:
         found = DETECTORS[name](tables, **options.get(name, {}))
         findings = found if findings is None else findings.unionByName(found)
     return findings
@@ -82,7 +88,7 @@ def _words(*words: str) -> tuple[str, ...]:
 
 
 @detector("node_name")
-def node_name_search(tables: EventTables, node_name: str = "BroadcastContainsJoin", base_url: str = DEFAULT_BASE_URL) -> DataFrame:
+def node_name_search(tables: EventTables, node_name: str, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Executions whose plan has a node of the given name."""
     nodes = match_nodes(tables, F.col("node_name") == node_name, _words(node_name))
     found = nodes.select("log_id", "execution_id", "node_name").dropDuplicates()
@@ -103,7 +109,7 @@ def dynamic_pruning(tables: EventTables, base_url: str = DEFAULT_BASE_URL) -> Da
 
 
 @detector("outer_join_over")
-def outer_join_over(tables: EventTables, child_name: str = "PartitionRecombination", base_url: str = DEFAULT_BASE_URL) -> DataFrame:
+def outer_join_over(tables: EventTables, child_name: str, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Outer sort-merge joins whose preserved side is directly a node of the given name."""
     updates = tree.mentioning(tree.plan_updates(tables.once()), "SortMergeJoin", *_words(child_name))
     nodes = F.col("nodes")
@@ -237,12 +243,18 @@ def schedule_delay(tables: EventTables, threshold_ms: int = 4 * 60 * 1000, base_
 
 
 def long_final_plans(tables: EventTables, min_duration_ms: int = 30, words: tuple[str, ...] = ()) -> DataFrame:
-    """Final plans, still unparsed, of executions that took longer than ``min_duration_ms``."""
-    updates = tree.mentioning(tree.plan_updates(tables), *words).filter("is_final")
-    long_ones = (
-        sql_executions(tables).filter(F.col("duration_ms") > min_duration_ms).select("log_id", "execution_id")
-    )
-    return updates.join(long_ones, ["log_id", "execution_id"], "left_semi")
+    """Final plans of executions that took longer than ``min_duration_ms``.
+
+    Keys meet first, and only keys: what a plan weighs is not shuffled to find out that it is not wanted.
+    """
+    final = tree.mentioning(tree.plan_updates(tables), *words).filter("is_final")
+    long_ones = sql_executions(tables).filter(F.col("duration_ms") > min_duration_ms).select("log_id", "execution_id")
+    keys = stash(final.select("log_id", "execution_id").distinct().join(long_ones, ["log_id", "execution_id"], "left_semi"), "long_plans")
+    return final.join(keys, ["log_id", "execution_id"], "left_semi")
+
+
+def _joins_two_inputs(node: Column) -> Column:
+    return node["node_name"].endswith("Join") & node["simple_string"].contains("Inner") & (node["n_children"] == 2)
 
 
 def costly_small_side_joins(
@@ -254,7 +266,7 @@ def costly_small_side_joins(
 ) -> DataFrame:
     """(plan key, node_no, rows, left_rows, right_rows) of inner joins that a small side should have made cheap."""
     tables = tables.once()
-    trees = tree.plan_trees(long_final_plans(tables, min_duration_ms, ("Join", "Inner")))
+    trees = tree.plan_trees(long_final_plans(tables, min_duration_ms, ("Join", "Inner"))).filter(F.exists("nodes", _joins_two_inputs))
     simplified = costs.simplified_cost(trees, metrics(tables))
     return costs.small_side_joins(simplified, big_rows, small_rows, agg_input_rows)
 
@@ -271,14 +283,8 @@ def costly_small_side_join(
     """Large inner joins that keep only as many rows as their small side, with both cost trees drawn."""
     tables = tables.once()
     joins = stash(costly_small_side_joins(tables, min_duration_ms, big_rows, small_rows, agg_input_rows), "joins")
-    # Only plans that hold a finding are drawn: they are picked out while still text, and only their metrics count.
-    updates = long_final_plans(tables, min_duration_ms, ("Join", "Inner"))
-    drawn = stash(
-        tree.plan_trees(keep_needed(updates, joins.select(*tree.PLAN_KEY))).join(
-            joins.select(*tree.PLAN_KEY).distinct(), tree.PLAN_KEY, "left_semi"
-        ),
-        "drawn",
-    )
+    # Only plans that hold a finding are drawn, and only their metrics count.
+    drawn = stash(keep_needed(tree.plan_trees(tree.plan_updates(tables)), joins.select(*tree.PLAN_KEY)), "drawn")
     ids = F.explode(F.flatten(F.transform("nodes", lambda n: n["metrics"]["accumulator_id"])))
     metric_values = metrics(tables, drawn.select("log_id", ids.alias("accumulator_id")))
     join_text = costs.cost_text(costs.simplified_cost(drawn, metric_values), joins).withColumnRenamed("text", "join_cost")

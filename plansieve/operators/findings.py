@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Stands in a URL block for a finding of an unknown application, so that the block is not empty.
+NO_URL = "(no url)"
+
 FINDING_COLUMNS = ["detector", "log_id", "execution_id", "url", "sql", "detail"]
 
 
@@ -40,11 +43,17 @@ def unique_by_sql(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _block(kind: str, text: Column) -> Column:
+    return F.concat_ws("\n", F.lit(f"__BLOCKSTART__{kind}"), text, F.lit(f"__BLOCKEND__{kind}"))
+
+
 def finding_blocks(findings: DataFrame) -> DataFrame:
-    """Findings as the marked text blocks that :func:`plansieve.sources.console.parse_findings` reads."""
-    text = F.concat_ws(
-        "\n",
-        F.lit("__BLOCKSTART__URL"), F.coalesce("url", F.lit("")), F.lit("__BLOCKEND__URL"),
-        F.lit("__BLOCKSTART__SQL"), F.coalesce("sql", F.lit("")), F.lit("__BLOCKEND__SQL"),
-    )
+    """Findings as the marked text blocks that :func:`plansieve.sources.console.parse_findings` reads.
+
+    Cost trees among the details follow as blocks of their own, which that parser passes over.
+    """
+    url = F.coalesce(F.nullif("url", F.lit("")), F.lit(NO_URL))
+    detail = F.col("detail")
+    costs = [F.when(detail[key].isNotNull(), _block(kind, detail[key])) for kind, key in (("PLANCOST", "plan_cost"), ("SMALLCHILD", "join_cost"))]
+    text = F.concat_ws("\n", _block("URL", url), _block("SQL", F.coalesce("sql", F.lit(""))), *costs)
     return findings.select("log_id", "execution_id", text.alias("value"))

@@ -1,20 +1,11 @@
-"""Using a small intermediate result to keep the rest of a job small.
-
-A detector usually ends up with few rows, and only the metrics and executions of those rows matter. Once
-such a result is stored its size is known, and if it is small its keys are broadcast to drop everything
-else before any shuffle. Whether or not that happens the answer is the same.
-"""
+"""Using an intermediate result to keep the rest of a job small."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plansieve.session import scratch_path
 
-MAX_BROADCAST_KEYS = 200_000
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Store an intermediate result in the shared scratch folder and go on from the stored copy.
 
@@ -26,13 +17,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def keep_needed(rows: DataFrame, needed: DataFrame | None) -> DataFrame:
-    """Drop rows whose key is not among ``needed`` if those keys are few; else keep all rows.
+    """Only the rows whose key is among ``needed``, whose columns are the key; all rows if it is None.
 
-    ``needed`` should be stored (:func:`stash`), since its keys are counted here; its columns are the key.
+    Given an aggregate by that key, a small set of keys is broadcast below the aggregate, and a large one meets
+    it where the aggregate has put its keys; which of them is left to Spark, the rows are the same.
     """
     if needed is None:
         return rows
-    keys = needed.dropna().distinct()
-    if keys.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
-        return rows
-    return rows.join(F.broadcast(keys), keys.columns, "left_semi")
+    return rows.join(needed.dropna().distinct(), needed.columns, "left_semi")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansieve.operators.narrow import stash
+from plansieve.session import scratch_path
+
 
 def catalog_tables(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
-    """(db, table, provider, location) of every stored table; one metadata call per database."""
+    """(db, table, provider, uri, location) of every stored table; one metadata call per database.
+
+    ``location`` is ``uri`` without the slashes after its scheme and at its end, of which there may be any number.
+    """
     names = databases or [d.name for d in spark.catalog.listDatabases()]
     found = None
     for name in names:
@@ -21,45 +29,63 @@ def catalog_tables(spark: SparkSession, databases: list[str] | None = None) -> D
             F.col("namespace").alias("db"),
             F.col("tableName").alias("table"),
             field("Provider").alias("provider"),
+            field("Location").alias("uri"),
             F.regexp_replace(field("Location"), r"^([a-z0-9]+:)/*|/+$", "$1").alias("location"),
         )
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
-def storage_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(folder, n_files, bytes, newest) below the roots, one row per folder; no file is opened."""
-    found = None
-    for root in roots:
-        try:
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        found = files if found is None else found.union(files)
-    if found is None:
-        found = spark.createDataFrame([], "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
-    # Paths come with varying numbers of slashes after the scheme, so both sides drop them.
+def _listing(spark: SparkSession, uri: str, recursive: bool) -> DataFrame | None:
+    """Path, length and modification time of the files below a folder; None if there is no such folder."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(uri)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return files.select("path", "length", "modificationTime")
+
+
+def _per_folder(files: DataFrame) -> DataFrame:
     path = F.regexp_replace("path", r"^([a-z0-9]+:)/*", "$1")
     return (
-        found.select(F.regexp_replace(path, "/[^/]*$", "").alias("folder"), "length", "modificationTime")
+        files.select(F.regexp_replace(path, "/[^/]*$", "").alias("folder"), "length", "modificationTime")
         .groupBy("folder")
         .agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest"))
     )
 
 
-def audit_tables(spark: SparkSession, databases: list[str] | None = None, roots: list[str] | None = None) -> DataFrame:
+def storage_files(spark: SparkSession, uris: list[str]) -> tuple[DataFrame, set[str]]:
+    """(folder, n_files, bytes, newest) below the locations, one row per folder, and the locations that do not exist.
+
+    A location below another one is listed with that one, so every file is listed once; no file is opened. One
+    location is listed at a time, and its folders are stored before the next.
+    """
+    plain = {re.sub(r"^([a-z0-9]+:)/*", r"\1", u).rstrip("/"): u for u in uris}
+    path, absent, root = scratch_path(spark, "folders"), set(), None
+    spark.createDataFrame([], "folder STRING, n_files BIGINT, bytes BIGINT, newest TIMESTAMP").write.parquet(path)
+    # Sorted with their closing slash, locations follow directly on the one they lie below.
+    for location in sorted(plain, key=lambda x: x + "/"):
+        nested = root is not None and location.startswith(root + "/")
+        files = _listing(spark, plain[location], recursive=not nested)
+        if files is None:
+            absent.add(location)
+        elif not nested:
+            root = location
+            _per_folder(files).write.mode("append").parquet(path)
+    return spark.read.schema("folder STRING, n_files BIGINT, bytes BIGINT, newest TIMESTAMP").parquet(path), absent
+
+
+def audit_tables(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
     """(db, table, provider, location, n_folders, n_files, bytes, newest, missing) for every catalog table.
 
-    Files are listed below ``roots``, by default the databases' own folders. A table whose location holds
-    no file there is ``missing``.
+    Every table's own location is listed, wherever it lies. ``missing`` tells that the folder does not exist; a
+    folder without files counts 0 files.
     """
-    tables = catalog_tables(spark, databases)
-    if roots is None:
-        wanted = set(databases or [])
-        roots = [d.locationUri for d in spark.catalog.listDatabases() if not wanted or d.name in wanted]
-    folders = storage_files(spark, roots)
+    tables = stash(catalog_tables(spark, databases), "tables")
+    uris = [r.uri for r in tables.select("uri").filter("uri is not null").distinct().collect()]
+    folders, absent = storage_files(spark, uris)
     # A folder belongs to the table at any of its parents: listing them turns the prefix test into an equi-join.
     parts = F.split("folder", "/")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
@@ -73,7 +99,8 @@ def audit_tables(spark: SparkSession, databases: list[str] | None = None, roots:
             F.max("newest").alias("newest"),
         )
     )
-    return tables.join(owned, "location", "left").select(
+    gone = spark.createDataFrame([(x, True) for x in sorted(absent)], "location STRING, missing BOOLEAN")
+    return tables.join(owned, "location", "left").join(gone, "location", "left").select(
         "db",
         "table",
         "provider",
@@ -82,5 +109,5 @@ def audit_tables(spark: SparkSession, databases: list[str] | None = None, roots:
         F.coalesce("n_files", F.lit(0)).alias("n_files"),
         F.coalesce("bytes", F.lit(0)).alias("bytes"),
         "newest",
-        F.col("n_files").isNull().alias("missing"),
+        F.coalesce("missing", F.lit(False)).alias("missing"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 
 import pyarrow as pa
@@ -27,13 +28,60 @@ def _lists(offsets: list[int], values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|(")|([^\s{}\[\],:"]+))')
+
+
+def _loads(text: str):
+    """JSON of any depth: the standard parser first, and a stack where its recursion ends."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    top: list = []
+    # Open containers with the key that waits for its value (in objects).
+    opened, keys, at = [top], [None], 0
+    while at < len(text):
+        m = TOKEN.match(text, at)
+        if not m:
+            break
+        at = m.end()
+        if m[1] in ("}", "]"):
+            opened.pop()
+            keys.pop()
+            continue
+        if m[1] in (",", ":"):
+            continue
+        if m[1]:
+            value = {} if m[1] == "{" else []
+        elif m[2]:
+            value, at = json.decoder.scanstring(text, at)
+        else:
+            value = json.loads(m[3])
+        into = opened[-1]
+        if isinstance(into, list):
+            into.append(value)
+        elif keys[-1] is None:
+            keys[-1] = value
+            continue
+        else:
+            into[keys[-1]] = value
+            keys[-1] = None
+        if m[1]:
+            opened.append(value)
+            keys.append(None)
+    if len(opened) != 1 or len(top) != 1:
+        raise ValueError("unbalanced JSON")
+    return top[0]
+
+
 @F.arrow_udf(T.ArrayType(NODE_TYPE))
 def flatten_plan(lines: pa.Array) -> pa.Array:
     """Nodes of each line's ``sparkPlanInfo`` in depth-first order; no nodes where there is no plan.
 
     A recursive type has no Spark schema, and the built-in ways round that (a recursive CTE, a fold over
     VARIANT, a nested schema) cost a shuffle or a copy of the remaining tree per level. One pass per line
-    over Arrow batches is linear in the plan's size and has no depth limit.
+    over Arrow batches has no depth limit; its cost is the plan's size plus, for path and lineage, the sum of
+    its nodes' depths.
     """
     node_no, names, texts, n_children = [], [], [], []
     path_at, paths, lineage_at, lineages = [0], [], [0], []
@@ -41,7 +89,7 @@ def flatten_plan(lines: pa.Array) -> pa.Array:
     plan_at = [0]
     for line in lines:
         try:
-            root = json.loads(line.as_py() or "null").get("sparkPlanInfo")
+            root = _loads(line.as_py() or "null").get("sparkPlanInfo")
         except (ValueError, AttributeError):
             root = None
         first = len(names)

@@ -28,26 +28,28 @@ HASH_EXCHANGE = "Exchange hashpartitioning"
 
 
 def plan_updates(tables: EventTables, include_initial_plans: bool = False) -> DataFrame:
-    """(log_id, execution_id, ord, is_final, value): one row per logged plan, its tree still JSON text.
+    """(log_id, execution_id, ord, is_final, nodes or value): one row per logged plan.
 
-    Initial plans, logged with the start of an execution, are left out unless asked for.
+    Saved tables hold the tree as ``nodes``; otherwise it is still the line's text. Initial plans, logged with the
+    start of an execution, are left out unless asked for.
     """
-    kinds = ("plan", "sql_start") if include_initial_plans else ("plan",)
-    return tables.of(*kinds, keep_line=True).select(
+    plans = tables.plans(*(("plan", "sql_start") if include_initial_plans else ("plan",)))
+    return plans.select(
         "log_id",
         F.col("executionId").alias("execution_id"),
         "ord",
         F.coalesce(F.col("sparkPlanInfo.simpleString") == FINAL_PLAN_TEXT, F.lit(False)).alias("is_final"),
-        "value",
+        plans.columns[-1],
     )
 
 
 def mentioning(updates: DataFrame, *words: str) -> DataFrame:
     """Keep plans whose text contains every word: a cheap test that spares other plans the JSON parse.
 
-    Words must be plain letters, digits, blanks or ``(``, which JSON writes as they are.
+    Words must be plain letters, digits, blanks or ``(``, which JSON writes as they are. Plans that are unfolded
+    already pass: nothing is left to spare.
     """
-    for word in words:
+    for word in words if "value" in updates.columns else ():
         updates = updates.filter(F.col("value").contains(word))
     return updates
 
@@ -58,8 +60,9 @@ def json_plain(word: str) -> bool:
 
 
 def plan_trees(updates: DataFrame) -> DataFrame:
-    """Replace the JSON text by ``nodes``, the plan's nodes in depth-first order."""
-    return updates.select("log_id", "execution_id", "ord", "is_final", flatten_plan("value").alias("nodes"))
+    """Each plan's ``nodes`` in depth-first order, unfolded here unless they are stored."""
+    nodes = F.col("nodes") if "nodes" in updates.columns else flatten_plan("value").alias("nodes")
+    return updates.select("log_id", "execution_id", "ord", "is_final", nodes)
 
 
 def plan_nodes(trees: DataFrame) -> DataFrame:

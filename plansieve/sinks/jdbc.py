@@ -24,20 +24,12 @@ def jdbc_options(properties_path: str, sink_id: str) -> dict[str, str]:
     return options
 
 
-def write_jdbc(
-    df: DataFrame,
-    options: dict[str, str],
-    table: str,
-    batch_size: int = 1000,
-    single_transaction_rows: int = 100_000,
-) -> None:
+def write_jdbc(df: DataFrame, options: dict[str, str], table: str, batch_size: int = 1000, atomic: bool = False) -> None:
     """Append ``df`` to a table.
 
-    Spark commits once per partition. A result of at most ``single_transaction_rows`` rows is written as
-    one partition, so it arrives whole or not at all; a larger one is written in parallel, each partition
-    in its own transaction.
+    Spark commits once per partition: in parallel, each partition in its own transaction. With ``atomic`` the
+    result is gathered into one partition by a shuffle (what produces it stays parallel) and arrives whole or
+    not at all.
     """
-    # Counting stops as soon as the bound is passed.
-    is_small = df.limit(single_transaction_rows + 1).count() <= single_transaction_rows
-    out = df.coalesce(1) if is_small else df
+    out = df.repartition(1) if atomic else df
     out.write.format("jdbc").options(**options, dbtable=table, batchsize=str(batch_size)).mode("append").save()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansieve.operators.findings import NO_URL
 from plansieve.operators.ordered import CHUNK_ROWS, running
 from plansieve.sources.lines import read_log_lines
 
@@ -56,11 +57,15 @@ def parse_findings(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         total={"ended": F.when(is_end, F.lit(1)).otherwise(F.lit(0)).cast("bigint")},
         chunk_rows=chunk_rows,
     )
-    # Lines up to and including the n-th end marker form block n.
+    # Lines up to and including the n-th end marker form block n. What follows a file's last end marker is in no block, and may
+    # be all the rest of a file whose container was killed: it goes before anything is gathered.
     block_no = F.col("ended") - F.when(is_end, F.lit(1)).otherwise(F.lit(0))
     content = ~is_end & ~value.isin(*BLOCK_STARTS) & (F.col("inside") == 1)
+    n_blocks = lines.filter(is_end).groupBy("log_id").agg(F.count(F.lit(1)).alias("n_blocks"))
     blocks = (
         marked.filter(is_end | content)
+        .join(n_blocks, "log_id")
+        .filter(block_no < F.col("n_blocks"))
         .groupBy("log_id", block_no.alias("block_no"))
         .agg(
             F.max(F.when(is_end, value)).alias("end_mark"),
@@ -82,5 +87,5 @@ def parse_findings(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         chunk_rows=chunk_rows,
     )
     return with_url.filter(F.col("end_mark") == SQL_END_MARK).select(
-        "log_id", "block_no", "url", F.col("text").alias("sql")
+        "log_id", "block_no", F.nullif("url", F.lit(NO_URL)).alias("url"), F.col("text").alias("sql")
     )

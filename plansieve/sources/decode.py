@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansieve.events import COMMON_EVENT_TYPES, KINDS
+from plansieve.plans.flatten import flatten_plan
 from plansieve.session import scratch_path
 from plansieve.sources.lines import event_type_of, filter_event_types
 
@@ -13,6 +15,19 @@ BAD_LINE = "_bad_line"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
 
 
+PLAN_KINDS = ("plan", "sql_start")
+
+
+def _shallow(value: Column, is_plan: Column) -> Column:
+    """A plan's line without what lies below its root: the JSON reader refuses values of 1,000 levels and more.
+
+    A node lists its children before its metadata, so the text from the first list of children to the last such place is
+    what lies below the root. Quotes inside strings are escaped and match neither end.
+    """
+    cut = F.regexp_replace(value, r'(?s)"children":\[.*\],"metadata":', '"children":[],"metadata":')
+    return F.when(is_plan, cut).otherwise(value)
+
+
 def _fields(kinds: tuple[str, ...]) -> dict[str, str]:
     return {field: ddl for kind in kinds for field, ddl in KINDS[kind][1].items()}
 
@@ -34,7 +49,8 @@ def decode(lines: DataFrame, *kinds: str, keep_line: bool = False) -> DataFrame:
     The tag test runs on the text before any JSON is parsed. Lines whose JSON is broken are left out
     here and listed by :func:`corrupt_lines`.
     """
-    event = F.from_json("value", _schema(*kinds), JSON_OPTIONS)
+    is_plan = F.col("event_type").isin([KINDS[k][0] for k in kinds if k in PLAN_KINDS])
+    event = F.from_json(_shallow(F.col("value"), is_plan), _schema(*kinds), JSON_OPTIONS)
     # A plain filter on the parsed event would be pushed below the projection and parse every line twice;
     # unfolding a list that is empty for a bad line parses once.
     good = F.filter(F.array(event), lambda e: e[BAD_LINE].isNull())
@@ -47,28 +63,37 @@ def decode(lines: DataFrame, *kinds: str, keep_line: bool = False) -> DataFrame:
 
 
 def decode_all(lines: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """One row per event with one typed column per kind, so a single pass over the text feeds a save."""
+    """One row per event with one typed column per kind, so a single pass over the text feeds a save.
+
+    ``nodes`` is the unfolded tree of events that carry a plan. The line itself is kept, with the reason, only
+    where it is not a tagged event or its JSON is broken.
+    """
     kinds = kinds or list(KINDS)
-    tagged = filter_event_types(lines, [KINDS[k][0] for k in kinds])
-    columns = [
-        F.when(F.col("event_type") == KINDS[k][0], F.from_json("value", _schema(k), JSON_OPTIONS)).alias(k)
-        for k in kinds
-    ]
-    # The line itself is kept only for events that carry a plan tree and for lines that failed to parse.
+    tag = event_type_of(F.col("value"))
+    tagged = lines.select("log_id", "ord", "value", tag.alias("event_type")).filter(
+        F.col("event_type").isNull() | F.col("event_type").isin([KINDS[k][0] for k in kinds])
+    )
+
+    def parsed(k: str) -> Column:
+        text = _shallow(F.col("value"), F.lit(True)) if k in PLAN_KINDS else F.col("value")
+        return F.when(F.col("event_type") == KINDS[k][0], F.from_json(text, _schema(k), JSON_OPTIONS)).alias(k)
+
+    has_plan = F.col("event_type").isin([KINDS[k][0] for k in PLAN_KINDS])
+    typed = tagged.select(
+        "log_id", "ord", "event_type", "value", *[parsed(k) for k in kinds], flatten_plan(F.when(has_plan, F.col("value"))).alias("nodes")
+    )
     bad = F.lit(False)
     for k in kinds:
         bad = bad | F.coalesce(F.col(f"{k}.{BAD_LINE}").isNotNull(), F.lit(False))
-    kind = _kind(F.col("event_type"), tuple(kinds))
-    keep = bad | kind.isin("plan", "sql_start")
-    return (
-        tagged.select("log_id", "ord", "event_type", "value", *columns)
-        .select(
-            "log_id",
-            "ord",
-            F.when(keep, F.col("value")).alias("value"),
-            *[F.col(k).dropFields(BAD_LINE).alias(k) for k in kinds],
-            F.when(bad, F.lit("corrupt")).otherwise(kind).alias("kind"),
-        )
+    reason = F.when(F.col("event_type").isNull(), "no event tag").when(bad, "broken json")
+    return typed.select(
+        "log_id",
+        "ord",
+        F.when(reason.isNotNull(), F.col("value")).alias("value"),
+        reason.alias("reason"),
+        F.when(reason.isNull() & has_plan, F.col("nodes")).alias("nodes"),
+        *[F.col(k).dropFields(BAD_LINE).alias(k) for k in kinds],
+        F.when(reason.isNotNull(), F.lit("corrupt")).otherwise(_kind(F.col("event_type"), tuple(kinds))).alias("kind"),
     )
 
 
@@ -78,7 +103,8 @@ def corrupt_lines(lines: DataFrame) -> DataFrame:
     # A known tag with undecodable JSON: the same parse the typed tables use, one branch per kind.
     bad = F.lit(False)
     for kind, (name, _) in KINDS.items():
-        parsed = F.from_json("value", _schema(kind), JSON_OPTIONS)
+        text = _shallow(F.col("value"), F.lit(True)) if kind in PLAN_KINDS else F.col("value")
+        parsed = F.from_json(text, _schema(kind), JSON_OPTIONS)
         bad = F.when(tag == name, parsed[BAD_LINE].isNotNull()).otherwise(bad)
     reason = F.when(tag.isNull(), "no event tag").when(bad, "broken json")
     return lines.select("log_id", "ord", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
@@ -92,8 +118,8 @@ class EventTables:
     """
 
     def __init__(self, lines: DataFrame | None = None, saved: DataFrame | None = None):
-        if (lines is None) == (saved is None):
-            raise ValueError("give either lines or a saved table")
+        if lines is None and saved is None:
+            raise ValueError("give lines or a saved table")
         self._lines = lines
         self._saved = saved
         self._once: EventTables | None = None
@@ -104,14 +130,21 @@ class EventTables:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> EventTables:
-        return cls(saved=spark.read.parquet(path))
+        try:
+            return cls(saved=spark.read.parquet(path))
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+        # No log had a line: the folder holds no file, and every table is empty.
+        nothing = spark.createDataFrame([], "log_id STRING, ord DECIMAL(38,0), value STRING")
+        return cls(saved=spark.createDataFrame([], decode_all(nothing).schema))
 
     def save(self, path: str, kinds: list[str] | None = None) -> EventTables:
         """Parse every line once, write the events partitioned by kind, and return the saved tables.
 
         Nothing is shuffled: each task writes its own lines.
         """
-        if self._lines is None:
+        if self._lines is None or self._saved is not None:
             raise ValueError("these tables are saved already")
         decode_all(self._lines, kinds).write.partitionBy("kind").parquet(path)
         return EventTables.open(self._lines.sparkSession, path)
@@ -120,28 +153,44 @@ class EventTables:
         """These tables in a form that any number of questions can share without reading the text again.
 
         Text is parsed into the shared scratch folder the first time; the default event types are kept,
-        which leaves out the many task events.
+        which leaves out the many task events; those are still read from the text when asked for.
         """
-        if self._lines is None:
+        if self._saved is not None:
             return self
         if self._once is None:
             kinds = [kind for kind, (tag, _) in KINDS.items() if tag in COMMON_EVENT_TYPES]
-            self._once = self.save(scratch_path(self._lines.sparkSession, "events"), kinds)
+            saved = self.save(scratch_path(self._lines.sparkSession, "events"), kinds)
+            self._once = EventTables(self._lines, saved._saved)
         return self._once
 
-    def of(self, *kinds: str, keep_line: bool = False) -> DataFrame:
-        """(log_id, ord, kind[, value], fields) of one or several kinds of event, in one scan."""
-        if self._lines is not None:
-            return decode(self._lines, *kinds, keep_line=keep_line)
+    def _is_saved(self, kinds: tuple[str, ...]) -> bool:
+        if self._saved is None:
+            return False
+        absent = [k for k in kinds if k not in self._saved.columns]
+        if absent and self._lines is None:
+            raise ValueError(f"events of kind {', '.join(absent)} were not saved here")
+        return not absent
+
+    def of(self, *kinds: str) -> DataFrame:
+        """(log_id, ord, kind, fields) of one or several kinds of event, in one scan."""
+        if not self._is_saved(kinds):
+            return decode(self._lines, *kinds)
         # A saved row has a value in its own kind's column only.
         fields = [
             F.coalesce(*[F.col(k)[field] for k in kinds if field in KINDS[k][1]]).alias(field)
             for field in _fields(kinds)
         ]
-        rows = self._saved.filter(F.col("kind").isin(*kinds))
-        return rows.select("log_id", "ord", "kind", *(["value"] if keep_line else []), *fields)
+        return self._saved.filter(F.col("kind").isin(*kinds)).select("log_id", "ord", "kind", *fields)
+
+    def plans(self, *kinds: str) -> DataFrame:
+        """(log_id, ord, executionId, sparkPlanInfo, nodes or value): events with a plan, unfolded if they are saved, else text."""
+        if not self._is_saved(kinds):
+            return decode(self._lines, *kinds, keep_line=True).select("log_id", "ord", "executionId", "sparkPlanInfo", "value")
+        fields = [F.coalesce(*[F.col(k)[field] for k in kinds]).alias(field) for field in ("executionId", "sparkPlanInfo")]
+        return self._saved.filter(F.col("kind").isin(*kinds)).select("log_id", "ord", *fields, "nodes")
 
     def corrupt(self) -> DataFrame:
-        if self._lines is not None:
+        """(log_id, ord, value, reason) of bad lines; of saved tables, those of the kinds saved and those without a tag."""
+        if self._saved is None:
             return corrupt_lines(self._lines)
-        return self._saved.filter(F.col("kind") == "corrupt").select("log_id", "ord", "value")
+        return self._saved.filter(F.col("kind") == "corrupt").select("log_id", "ord", "value", "reason")

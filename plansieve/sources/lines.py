@@ -12,11 +12,13 @@ from plansieve.events import COMMON_EVENT_TYPES
 DAY_MS = 86_400_000
 TAG_OPENING = '{"Event":"'
 
-# Single-file logs are named after the application; rolled logs are a folder of numbered parts.
+# Single-file logs are named after the application; rolled logs are a folder of numbered parts, with an empty file beside
+# them that tells whether the application is still running.
 LOG_FILE_GLOB = "{application_,events_}*"
-ROLLED_LOG_FOLDER = r"/(eventlog_v2_[^/]+)/events_\d+_[^/]*$"
+ROLLED_LOG_FOLDER = r"^(.*/eventlog_v2_[^/]+)/[^/]+$"
 ROLLED_PART_NUMBER = r"/events_(\d+)_[^/]*$"
 LOG_FILE_NAME = r"/([^/]+)$"
+RUNNING_GLOB = "appstatus_*.inprogress"
 
 # Written by Spark's own block codecs, which are not the codecs the text source knows by these names.
 UNREADABLE_SUFFIXES = (".lz4", ".lzf", ".snappy")
@@ -42,23 +44,60 @@ def select_logs(
     )
 
 
-def list_logs(spark: SparkSession, log_dir: str, now_ms: int, days: int = 7) -> DataFrame:
-    """(path, name, length, mtime_ms, day_before) of the logs in the window, oldest first.
+def _log_of(path: Column) -> Column:
+    """A log's identity: the path of its file, or of its folder if it is rolled, with one slash after the scheme."""
+    path = F.regexp_replace(path, "^([a-z0-9]+:)/+", "$1/")
+    rolled = F.regexp_extract(path, ROLLED_LOG_FOLDER, 1)
+    return F.when(rolled != "", rolled).otherwise(path)
+
+
+def log_files(spark: SparkSession, paths: str | list[str], file_glob: str = LOG_FILE_GLOB) -> DataFrame:
+    """(log_id, path, length, mtime_ms, is_part, is_open) of every file of a log, from the listing alone."""
+
+    def listing(glob: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
+
+    path = F.col("path")
+    parts = listing(file_glob).select(
+        "path", "length", F.unix_millis("modificationTime").alias("mtime_ms"), F.lit(True).alias("is_part"), path.endswith(".inprogress").alias("is_open")
+    )
+    # The files that mark running applications are empty, and a scan passes over empty files: their names come
+    # from the file index, which lists no others here.
+    running = [(p, None, None, False, True) for p in listing(RUNNING_GLOB).inputFiles()]
+    return parts.union(spark.createDataFrame(running, parts.schema)).select(_log_of(path).alias("log_id"), "*")
+
 
-    File contents are never opened: only the listing columns are read.
+def finished_logs(files: DataFrame, now_ms: int | None = None, days: int = 7) -> DataFrame:
+    """(log_id, name, n_files, length, mtime_ms, day_before, paths), one row per finished log.
+
+    A log counts as a whole: its time is that of its newest part, and all its parts come with it. A log
+    with a file that is still in progress is left out. ``day_before`` is NULL without ``now_ms``.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "application_*")
-        .load(log_dir)
-        .select(
-            "path",
-            F.element_at(F.split("path", "/"), -1).alias("name"),
-            "length",
-            F.unix_millis("modificationTime").alias("mtime_ms"),
+    logs = (
+        files.groupBy("log_id")
+        .agg(
+            F.bool_or("is_open").alias("is_open"),
+            F.count_if("is_part").alias("n_files"),
+            F.sum(F.when(F.col("is_part"), F.col("length"))).alias("length"),
+            F.max(F.when(F.col("is_part"), F.col("mtime_ms"))).alias("mtime_ms"),
+            F.array_sort(F.collect_list(F.when(F.col("is_part"), F.col("path")))).alias("paths"),
         )
+        .filter(~F.col("is_open") & (F.col("n_files") > 0))
+        .withColumn("name", F.regexp_extract("log_id", LOG_FILE_NAME, 1))
+        .drop("is_open")
     )
-    return select_logs(files, now_ms, days).orderBy("mtime_ms", "path")
+    if now_ms is None:
+        return logs.withColumn("day_before", F.lit(None).cast("int"))
+    logs = logs.withColumn("day_before", day_before(F.col("mtime_ms"), now_ms))
+    return logs.filter(F.col("day_before").between(0, days - 1))
+
+
+def list_logs(spark: SparkSession, log_dir: str, now_ms: int, days: int = 7) -> DataFrame:
+    """(log_id, name, n_files, length, mtime_ms, day_before) of the finished logs in the window, oldest first.
+
+    These are the logs that :func:`read_log_lines` reads. File contents are never opened.
+    """
+    return finished_logs(log_files(spark, log_dir), now_ms, days).drop("paths").orderBy("mtime_ms", "log_id")
 
 
 def line_order(part: Column, block: Column, row: Column) -> Column:
@@ -76,22 +115,6 @@ def line_order(part: Column, block: Column, row: Column) -> Column:
     ).cast("decimal(38,0)")
 
 
-def _refuse_unreadable(spark: SparkSession, paths: str | list[str], file_glob: str) -> None:
-    """Stop before any task starts if some log needs a codec the text source lacks."""
-    suffixes = "{" + ",".join(UNREADABLE_SUFFIXES) + "}"
-    # The listing keeps only the offending files, so nothing grows with the number of good ones.
-    bad = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_glob.rstrip("*") + "*" + suffixes)
-        .load(paths)
-        .select("path")
-        .head(1)
-    )
-    if bad:
-        raise ValueError(f"logs use a codec the text source cannot read, e.g. {bad[0].path}")
-
-
 def read_log_lines(
     spark: SparkSession,
     paths: str | list[str],
@@ -101,26 +124,32 @@ def read_log_lines(
     log_id_pattern: str | None = None,
     part_pattern: str = ROLLED_PART_NUMBER,
 ) -> DataFrame:
-    """(log_id, ord, value) for every line of the logs below ``paths``; a single file is just one path.
+    """(log_id, log_name, day_before, ord, value) for every line of the finished logs below ``paths``.
 
-    With ``now_ms`` only files changed in the last ``days`` days are scanned: the test is on file
-    metadata, so it prunes files before any task opens them. Plain files are split into blocks, so one
-    huge log is read by many tasks; compressed ones are one task each, as their codec demands.
+    ``log_id`` is the log's path, so logs of one name in two folders stay apart; ``log_name`` is its last
+    segment. With ``now_ms`` only logs of the last ``days`` days are read, each with all its parts. One
+    listing decides what is read: it holds no more than the file index that any read makes. Plain files
+    are split into blocks, so one huge log is read by many tasks; compressed ones are one task each, as
+    their codec demands.
     """
-    text = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_glob)
-        .text(paths)
-    )
-    _refuse_unreadable(spark, paths, file_glob)
+    chosen: dict[int | None, list[str]] = {}
+    for log in finished_logs(log_files(spark, paths, file_glob), now_ms, days).select("day_before", "paths").toLocalIterator():
+        chosen.setdefault(log.day_before, []).extend(log.paths)
+    # Only a file that would be read is refused, and before any task starts.
+    for path in (p for listed in chosen.values() for p in listed if p.endswith(UNREADABLE_SUFFIXES)):
+        raise ValueError(f"logs use a codec the text source cannot read, e.g. {path}")
+    found = None
+    for day, listed in sorted(chosen.items(), key=lambda c: -1 if c[0] is None else c[0]):
+        rows = _place_lines(spark.read.text(listed), day, log_id_pattern, part_pattern)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        nothing = "log_id STRING, log_name STRING, day_before INT, ord DECIMAL(38,0), value STRING"
+        return spark.createDataFrame([], nothing)
+    return found
+
+
+def _place_lines(text: DataFrame, day: int | None, log_id_pattern: str | None, part_pattern: str) -> DataFrame:
     meta = F.col("_metadata")
-    text = text.filter(~meta["file_name"].endswith(".inprogress"))
-    if now_ms is not None:
-        changed = meta["file_modification_time"]
-        text = text.filter(
-            (changed >= F.timestamp_millis(F.lit(now_ms - days * DAY_MS)))
-            & (changed < F.timestamp_millis(F.lit(now_ms)))
-        )
     # The id's low 33 bits count the rows of one task, and a block is always read by one task. The id
     # must be taken before any filter; everything derived from it waits until lines have been dropped.
     placed = text.select(
@@ -130,14 +159,14 @@ def read_log_lines(
         "value",
     )
     path = F.col("path")
-    if log_id_pattern:
-        log_id = F.regexp_extract(path, log_id_pattern, 1)
-    else:
-        rolled = F.regexp_extract(path, ROLLED_LOG_FOLDER, 1)
-        log_id = F.when(rolled != "", rolled).otherwise(F.regexp_extract(path, LOG_FILE_NAME, 1))
+    log_id = F.regexp_extract(path, log_id_pattern, 1) if log_id_pattern else _log_of(path)
     part = F.coalesce(F.regexp_extract(path, part_pattern, 1).try_cast("int"), F.lit(0))
     return placed.select(
-        log_id.alias("log_id"), line_order(part, F.col("block"), F.col("row")).alias("ord"), "value"
+        log_id.alias("log_id"),
+        F.regexp_extract(_log_of(path), LOG_FILE_NAME, 1).alias("log_name"),
+        F.lit(day).cast("int").alias("day_before"),
+        line_order(part, F.col("block"), F.col("row")).alias("ord"),
+        "value",
     )
 
 

@@ -94,7 +94,7 @@ def test_node_search_pruning_and_outer_join(log):
         ],
         b=[start(1, "no app"), update(1, outer("LeftOuter", named, node("Scan")))],
     )
-    assert sorted((r.log_id, r.execution_id) for r in d.outer_join_over(tables).collect()) == [("a", 1), ("a", 3), ("b", 1)]
+    assert sorted((r.log_id, r.execution_id) for r in d.outer_join_over(tables, "PartitionRecombination").collect()) == [("a", 1), ("a", 3), ("b", 1)]
     assert [r.execution_id for r in d.dynamic_pruning(tables).collect()] == [5]
     by_name = d.node_name_search(tables, "PartitionRecombination")
     assert sorted((r.log_id, r.execution_id) for r in by_name.collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 7), ("b", 1)]

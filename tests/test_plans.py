@@ -1,13 +1,16 @@
 """Tree operators against plain recursion on random trees."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import driver, final, node, start, update
+from conftest import LINES_SCHEMA, driver, final, node, start, update
+from plansieve import events as ev
 from plansieve.operators import context
 from plansieve.plans import cost, tree
+from plansieve.sources.decode import EventTables
 
 NAMES = [
     "SortMergeJoin", "SortMergeJoin", "Exchange", "AQEShuffleRead", "CustomShuffleReader", "BroadcastExchange", "Scan parquet ",
@@ -289,3 +292,33 @@ def test_plan_without_tree_is_skipped(spark, log):
     del bare["sparkPlanInfo"]
     tables = log(a=[bare, update(2, node("Scan"))])
     assert [r.execution_id for r in tree.plan_nodes(tree.plan_trees(tree.plan_updates(tables))).collect()] == [2]
+
+
+@pytest.mark.parametrize("depth", [600, 2000])
+def test_deep_plans_are_whole_from_text_and_saved(spark, tmp_path, depth):
+    def chain(n):
+        # Written as text: the JSON writer is recursive, too.
+        head = "".join(f'{{"nodeName":"N{k}","simpleString":"N{k} \\"children\\":[]","children":[' for k in range(n))
+        return head + '],"metadata":{},"metrics":[{"name":"m","accumulatorId":7}]}' * n
+
+    line = f'{{"Event":"{ev.PLAN_UPDATE}","executionId":5,"physicalPlanDescription":"x","sparkPlanInfo":{chain(depth)}}}'
+    lines = spark.createDataFrame([("a", Decimal(1), line)], LINES_SCHEMA)
+    text = EventTables.from_lines(lines)
+    saved = text.save(str(tmp_path / "deep"))
+    for tables in (text, saved):
+        nodes = tree.plan_nodes(tree.plan_trees(tree.plan_updates(tables)))
+        found = nodes.agg(F.count("*").alias("n"), F.max(F.size("path")).alias("deepest"), F.max("execution_id").alias("x")).first()
+        assert (found.n, found.deepest, found.x) == (depth, depth - 1, 5)
+        assert tables.corrupt().count() == 0
+
+
+def test_json_beyond_the_parser_recursion():
+    from plansieve.plans.flatten import _loads
+
+    text = '{"a":' * 60_000 + '[1,"x\\"}",{},[],null,-2.5e3]' + "}" * 60_000
+    value = _loads(text)
+    for _ in range(60_000):
+        value = value["a"]
+    assert value == [1, 'x"}', {}, [], None, -2500.0]
+    with pytest.raises(ValueError):
+        _loads(text[:-1])

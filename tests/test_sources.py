@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import LINES_SCHEMA, app, driver, end, start
 from plansieve.operators import context, detectors
 from plansieve.operators.findings import finding_blocks, unique_by_sql
-from plansieve.operators.narrow import MAX_BROADCAST_KEYS, keep_needed
+from plansieve.operators.narrow import keep_needed
 from plansieve.operators.tables import audit_tables
 from plansieve.session import scratch_path
 from plansieve.sinks.files import read_findings, save_findings
@@ -57,15 +57,44 @@ def test_listing_and_reading(spark, tmp_path):
     everything = L.read_log_lines(spark, d)
     assert everything.select("log_id").distinct().count() == 3
     one = L.read_log_lines(spark, f"{d}/application_2")
-    assert [r.log_id for r in one.collect()] == ["application_2"] * 2
+    assert [(r.log_name, r.log_id[-len(d) - 14 :]) for r in one.collect()] == [("application_2", f"{d}/application_2")] * 2
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         L.read_log_lines(spark, f"{d}/none")
 
 
-def test_unreadable_codec_stops_with_a_clear_error(spark, tmp_path):
-    write(str(tmp_path / "logs/application_1.lz4"), ["x"])
+def test_unreadable_codec_stops_with_a_clear_error_if_it_would_be_read(spark, tmp_path):
+    now = 1_700_000_000_000
+    write(str(tmp_path / "logs/application_1.lz4"), ["x"], mtime_ms=now - 300 * DAY)
+    write(str(tmp_path / "logs/application_2"), ["y"], mtime_ms=now - 1)
     with pytest.raises(ValueError, match="codec"):
         L.read_log_lines(spark, str(tmp_path / "logs"))
+    assert [r.value for r in L.read_log_lines(spark, str(tmp_path / "logs"), now_ms=now).collect()] == ["y"]
+
+
+def test_a_rolled_log_is_read_whole_or_not_at_all(spark, tmp_path):
+    d, now = str(tmp_path / "logs"), 1_700_000_000_000
+    log = f"{d}/eventlog_v2_application_9"
+    write(f"{log}/events_1_application_9", [app("x9"), start(1, "q")], mtime_ms=now - 8 * DAY)
+    write(f"{log}/events_2_application_9", [end(1, 9000)], mtime_ms=now - DAY - 1)
+    write(f"{log}/appstatus_application_9", [], mtime_ms=now - 1)
+    write(f"{d}/eventlog_v2_application_8/events_1_application_8", [app("x8")], mtime_ms=now - 1)
+    write(f"{d}/eventlog_v2_application_8/appstatus_application_8.inprogress", [], mtime_ms=now - 1)
+    [listed] = L.list_logs(spark, d, now).collect()
+    assert (listed.name, listed.n_files, listed.day_before) == ("eventlog_v2_application_9", 2, 1)
+    lines = L.read_log_lines(spark, d, now_ms=now)
+    assert {(r.log_id, r.day_before) for r in lines.select("log_id", "day_before").collect()} == {(listed.log_id, 1)}
+    tables = EventTables.from_lines(lines)
+    assert [r.app_id for r in context.applications(tables).collect()] == ["x9"]
+    assert [(r.sql, r.end_ms) for r in context.sql_executions(tables).collect()] == [("q", 9000)]
+    assert L.read_log_lines(spark, d, now_ms=now, days=1).count() == 0
+
+
+def test_logs_of_one_name_stay_apart(spark, tmp_path):
+    for c in ("c1", "c2"):
+        write(str(tmp_path / f"logs/{c}/application_1"), [app(c), driver(1, (5, int(c[1])))])
+    tables = EventTables.from_lines(L.read_log_lines(spark, str(tmp_path / "logs")))
+    assert {r.app_id for r in context.applications(tables).collect()} == {"c1", "c2"}
+    assert sorted(r.value for r in context.metrics(tables).collect()) == [1, 2]
 
 
 def test_rolled_logs_are_one_log_in_part_order(spark, tmp_path):
@@ -74,7 +103,7 @@ def test_rolled_logs_are_one_log_in_part_order(spark, tmp_path):
         write(f"{d}/events_{part}_application_9", [driver(1, (5, part))])
     write(f"{d}/appstatus_application_9", [])
     tables = EventTables.from_lines(L.read_log_lines(spark, str(tmp_path / "logs")))
-    assert [(r.log_id, r.value) for r in context.metrics(tables).collect()] == [("eventlog_v2_application_9", 11)]
+    assert [(r.log_id.rpartition("/")[2], r.value) for r in context.metrics(tables).collect()] == [("eventlog_v2_application_9", 11)]
 
 
 def test_order_survives_splitting_one_large_file(spark, tmp_path):
@@ -103,10 +132,12 @@ def test_only_files_in_the_window_are_opened(spark, tmp_path):
     lines = L.read_log_lines(spark, d, now_ms=now, days=2).select("value")
     assert lines.count() == 2
     lines.collect()
-    node = lines._jdf.queryExecution().executedPlan()
-    while node.children().size():
-        node = node.children().apply(0)
-    assert node.metrics().get("numFiles").get().value() == 2
+
+    def leaves(node):
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        return [leaf for c in children for leaf in leaves(c)] if children else [node]
+
+    assert sum(x.metrics().get("numFiles").get().value() for x in leaves(lines._jdf.queryExecution().executedPlan())) == 2
 
 
 def test_console_output(spark, tmp_path):
@@ -141,25 +172,64 @@ def test_findings_round_trip_as_blocks_and_files(spark, tmp_path):
     assert sorted(r.sql for r in console.parse_findings(lines).collect()) == ["s", "s1\ns2", "s1\ns2"]
 
 
-def test_needed_keys_are_only_an_optimisation(spark):
+def test_blocks_of_an_unknown_application_and_of_a_killed_container(spark):
+    found = spark.createDataFrame(
+        [("d", "a", 1, "u1", "s1", {}), ("d", "a", 2, None, "s2", {"plan_cost": "tree"})],
+        "detector STRING, log_id STRING, execution_id BIGINT, url STRING, sql STRING, detail MAP<STRING,STRING>",
+    )
+    text = finding_blocks(found).orderBy("execution_id").select("log_id", F.posexplode(F.split("value", "\n")).alias("i", "value"), "execution_id")
+    order = (F.col("execution_id") * 100 + F.col("i")).cast("decimal(38,0)")
+    lines = text.select("log_id", order.alias("ord"), "value")
+    cut = spark.createDataFrame([("a", 900 + k, v) for k, v in enumerate(["__BLOCKSTART__SQL", *["x"] * 50])], "log_id STRING, ord LONG, value STRING")
+    lines = lines.union(cut.select("log_id", F.col("ord").cast("decimal(38,0)"), "value"))
+    assert sorted((r.sql, r.url) for r in console.parse_findings(lines).collect()) == [("s1", "u1"), ("s2", None)]
+    assert "__BLOCKSTART__PLANCOST\ntree\n__BLOCKEND__PLANCOST" in finding_blocks(found).filter("execution_id = 2").first().value
+
+
+def test_needed_keys_filter_at_any_size(spark):
     rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     few = spark.createDataFrame([(1,), (5,), (None,)], "k BIGINT")
     assert sorted(r.k for r in keep_needed(rows, few).collect()) == [1, 5]
-    many = spark.range(MAX_BROADCAST_KEYS + 10).withColumnRenamed("id", "k")
-    assert keep_needed(rows, many).count() == 1000
+    many = spark.range(5, 300_000).withColumnRenamed("id", "k")
+    assert keep_needed(rows, many).count() == 995
     assert keep_needed(rows, None).count() == 1000
 
 
 def test_table_audit(spark, tmp_path):
-    root = str(tmp_path / "wh")
+    root, away = str(tmp_path / "wh"), str(tmp_path / "away")
     spark.range(10).repartition(2).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(f"{root}/full")
+    spark.range(5).coalesce(1).write.parquet(f"{root}/full_too")
+    spark.range(5).coalesce(1).write.parquet(f"{away}/t")
+    spark.range(5).coalesce(1).write.parquet(f"{away}/t/inner")
+    os.makedirs(f"{root}/bare")
     spark.sql(f"CREATE DATABASE audit_t LOCATION '{root}'")
-    for t in ("full", "gone"):
-        spark.sql(f"CREATE TABLE audit_t.{t} (id BIGINT) USING parquet LOCATION '{root}/{t}'")
+    places = {"full": f"{root}/full", "full_too": f"{root}/full_too", "gone": f"{root}/gone", "bare": f"{root}/bare", "outer_t": f"{away}/t", "inner_t": f"{away}/t/inner", "lost": f"{away}/t/lost"}
+    for t, place in places.items():
+        spark.sql(f"CREATE TABLE audit_t.{t} (id BIGINT) USING parquet LOCATION '{place}'")
     found = {r.table: r for r in audit_tables(spark, ["audit_t"]).collect()}
     assert (found["full"].n_folders, found["full"].missing) == (2, False)
     assert found["full"].bytes > 0 and found["full"].provider.lower() == "parquet" and found["full"].newest is not None
     assert (found["gone"].n_files, found["gone"].bytes, found["gone"].missing) == (0, 0, True)
+    assert (found["bare"].n_files, found["bare"].missing) == (0, False)
+
+    def on_disk(place):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(place) for f in names if f.startswith("part-"))
+
+    for t in ("full", "full_too", "outer_t", "inner_t"):
+        assert found[t].bytes == on_disk(places[t])
+    assert (found["outer_t"].n_files, found["inner_t"].n_files, found["lost"].missing) == (2, 1, True)
+
+
+def test_default_and_nested_databases_count_each_file_once(spark):
+    spark.sql("CREATE DATABASE nested_d")
+    spark.range(3).coalesce(1).write.saveAsTable("nested_d.t")
+    spark.range(3).coalesce(1).write.saveAsTable("default.plain_t")
+    try:
+        found = {(r.db, r.table): r for r in audit_tables(spark).collect()}
+        assert found["nested_d", "t"].n_files == found["default", "plain_t"].n_files == 1
+    finally:
+        spark.sql("DROP DATABASE nested_d CASCADE")
+        spark.sql("DROP TABLE default.plain_t")
 
 
 def test_jdbc_options(tmp_path):
@@ -171,7 +241,7 @@ def test_jdbc_options(tmp_path):
         jdbc_options(str(path), "none")
 
 
-def test_jdbc_write_uses_one_partition_only_for_small_results(spark, monkeypatch):
+def test_jdbc_write_gathers_only_when_asked(spark, monkeypatch):
     """The writer is replaced: no database is started for this test."""
     seen = []
 
@@ -179,10 +249,11 @@ def test_jdbc_write_uses_one_partition_only_for_small_results(spark, monkeypatch
         seen.append(writer._df.rdd.getNumPartitions())
 
     monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.save", save)
-    df = spark.range(0, 100, 1, 5)
-    write_jdbc(df, {"url": "jdbc:x"}, "t", single_transaction_rows=100)
-    write_jdbc(df, {"url": "jdbc:x"}, "t", single_transaction_rows=99)
-    assert seen == [1, 5]
+    for n in (10, 100_001):
+        df = spark.range(0, n, 1, 5)
+        write_jdbc(df, {"url": "jdbc:x"}, "t", atomic=True)
+        write_jdbc(df, {"url": "jdbc:x"}, "t")
+    assert seen == [1, 5, 1, 5]
 
 
 OWN_APP = """
@@ -229,3 +300,15 @@ def test_log_written_by_spark_itself(spark, tmp_path, compress):
 def test_scratch_paths_are_fresh(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert spark.createDataFrame([("a", Decimal(1), "v")], LINES_SCHEMA).count() == 1
+
+
+def test_job_writes_findings_by_day(spark, tmp_path):
+    from conftest import node, update
+    from plansieve.job import analyse
+
+    d, out, now = str(tmp_path / "logs"), str(tmp_path / "out"), 1_700_000_000_000
+    like = node("BroadcastNestedLoopJoin", "BroadcastNestedLoopJoin BuildRight, Inner, a#1 LIKE b#2")
+    for k in (1, 2):
+        write(f"{d}/application_{k}", [app(f"x{k}"), start(1, f"q{k}"), update(1, like), update(1, like), end(1)], mtime_ms=now - k * DAY + 5)
+    analyse(spark, d, out, now, 3, ["nested_loop_string_match"])
+    assert sorted((r.day_before, r.sql) for r in spark.read.parquet(out).collect()) == [(0, "q1"), (1, "q2")]
