@@ -21,6 +21,7 @@ all others; an empty table gives an empty table; further columns are ignored, or
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -241,12 +242,10 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def cut_words(text: str, gone: np.ndarray) -> str:
     """The text without those words; what stood between two kept words stays, cuts leave one space."""
-    import re
-
     parts, was_gone = [], False
     for k, m in enumerate(re.finditer("[ \t-\r]*[^ \t-\r]+", text)):
         if not gone[k]:
-            parts.append(" " + m[0].lstrip(" \t\n\v\f\r") if was_gone and parts else m[0])
+            parts.append(" " * bool(parts) + m[0].lstrip(" \t\n\v\f\r") if was_gone else m[0])
         was_gone = bool(gone[k])
     return "".join(parts)
 

@@ -290,7 +290,7 @@ def test_substrings_removed_from_texts(odd, empty):
 
 def test_cut_words_keep_what_stands_between():
     assert substrings.cut_words("a\n b  c\td e", np.array([0, 0, 1, 1, 0], bool)) == "a\n b e"
-    assert substrings.cut_words("  a b", np.array([1, 0], bool)) == " b"
+    assert substrings.cut_words("  a b", np.array([1, 0], bool)) == "b"
 
 
 # --- html ----------------------------------------------------------------------------------------------
