@@ -1,10 +1,10 @@
 """Substring de-duplication with a count-min prefilter.
 
-A window is ``width`` consecutive words of one document. First pass: every partition sketches which windows it has, the
-sketches are summed, and only cells counted twice or more are kept, as a bitmap of fixed size. Second pass: a window whose cell
-was counted once stands in one document only and is settled; the others are grouped exactly. A cell counts at least what any window
-in it counts, so no repeated window is lost, whatever the bitmap's size; a bitmap that is too small for the corpus only sends more
-windows to the exact grouping.
+A window is ``width`` consecutive words of one document. First every partition sketches which windows it has, the
+sketches are summed, and only cells counted twice or more are kept, as a bitmap of fixed size. The sketch has ``ROWS`` rows of cells with
+hashes of their own; a row takes in what the rows before it have not ruled out. Then a window that some row counted once stands in
+one document only and is settled; the others are grouped exactly. A cell counts at least what any window in it counts, so no repeated
+window is lost, whatever the bitmaps' size; bitmaps that are too small for the corpus only send more windows to the exact grouping.
 
 What is counted for a window is its *rarest gram*: the smallest hash among its runs of ``GRAM`` words. Equal windows have
 equal ones, neighbouring windows mostly share them, so the sketch takes in a fifth of the windows.
@@ -25,9 +25,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ from plansieve.operators.narrow import stash
 
 WIDTH = 13
 GRAM = 5
-CELL_BITS = 29  # the bitmap has 2 ** CELL_BITS bits, 64 MB in a worker if all of it is used
+ROWS = 2
+CELL_BITS = 28  # a row's bitmap has 2 ** CELL_BITS bits, 32 MB in a worker
 BLOCK_BITS = 20
 class Windows:
     """The windows of some documents: of each its document's number, its start there, its rarest gram and its hash."""
@@ -59,25 +62,57 @@ class Windows:
             np.minimum(rare, grams[k : k + m], out=rare)
         self.rare, self.hash = rare[at], run_hashes(flat, width, MIX2)[at]
 
-    def cells(self) -> np.ndarray:
+    def cells(self, row: int) -> np.ndarray:
         # Small hashes crowd at the low end: mix them before taking the top bits.
-        return (mixed(self.rare * MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        return (mixed((self.rare + np.uint64(row)) * MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
+    def maybe_repeated(self, bitmaps: list[np.ndarray]) -> np.ndarray:
+        """Whether every row so far has counted the window twice or more."""
+        maybe = np.ones(len(self.rare), bool)
+        for row, bitmap in enumerate(bitmaps):
+            cells = self.cells(row)
+            maybe &= (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+        return maybe
 
-# --- first pass ----------------------------------------------------------------------------------------
 
+# --- the sketch ----------------------------------------------------------------------------------------
 
-def repeated_cells(docs: DataFrame, width: int, gram: int) -> dict[int, bytes]:
-    """The cells counted twice or more, as compressed blocks of the bitmap."""
+
+@dataclass(frozen=True)
+class Row:
+    """A row of the sketch: its bitmap of repeated cells, broadcast as compressed blocks."""
+
+    name: str
+    blocks: Broadcast
+
+    def bitmap(self) -> np.ndarray:
+        """Unpacked once per worker; only the rows of the latest sketches are kept."""
+        if self.name not in _bitmaps:
+            while len(_bitmaps) >= ROWS:
+                _bitmaps.pop(next(iter(_bitmaps)))
+            bitmap = np.zeros(1 << (CELL_BITS - 3), np.uint8)
+            size = 1 << (BLOCK_BITS - 3)
+            for block, packed in self.blocks.value.items():
+                bitmap[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
+            _bitmaps[self.name] = bitmap
+        return _bitmaps[self.name]
+
+
+_bitmaps: dict[str, np.ndarray] = {}
+
+
+def count_row(docs: DataFrame, width: int, gram: int, before: list[Row]) -> Row:
+    """The cells of the next row that are counted twice or more."""
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int32())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words in word_slices(batches):
             w = Windows(words, width, gram)
-            cells = w.cells()
+            some = np.flatnonzero(w.maybe_repeated([r.bitmap() for r in before]))
+            cells, doc = w.cells(len(before))[some], w.doc[some]
             new = np.ones(len(cells), bool)
             # Neighbouring windows of a document with one rarest gram count once.
-            new[1:] = (cells[1:] != cells[:-1]) | (w.doc[1:] != w.doc[:-1])
+            new[1:] = (cells[1:] != cells[:-1]) | (doc[1:] != doc[:-1])
             cell, n = np.unique(cells[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(n, pa.int32())], schema=schema)
 
@@ -103,25 +138,11 @@ def repeated_cells(docs: DataFrame, width: int, gram: int) -> dict[int, bytes]:
     counted = docs.select("text").mapInArrow(sketch, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
     # A task has the blocks of its own cells only; there are at most 2 ** (CELL_BITS - BLOCK_BITS) of them.
     by_block = counted.where("n > 1").select("cell").repartition(F.shiftright("cell", BLOCK_BITS)).sortWithinPartitions("cell")
-    return {r["block"]: bytes(r["bits"]) for r in by_block.mapInArrow(blocks, "block int, bits binary").collect()}
-
-
-_bitmaps: dict[str, np.ndarray] = {}
-
-
-def _bitmap(key: str, blocks: dict[int, bytes]) -> np.ndarray:
-    """The bitmap, unpacked once per worker; untouched parts take no memory."""
-    if key not in _bitmaps:
-        _bitmaps.clear()
-        bitmap = np.zeros(1 << (CELL_BITS - 3), np.uint8)
-        size = 1 << (BLOCK_BITS - 3)
-        for block, packed in blocks.items():
-            bitmap[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
-        _bitmaps[key] = bitmap
-    return _bitmaps[key]
+    found = {r["block"]: bytes(r["bits"]) for r in by_block.mapInArrow(blocks, "block int, bits binary").collect()}
+    return Row(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(found))
 
 
-# --- second pass ---------------------------------------------------------------------------------------
+# --- exact grouping ---------------------------------------------------------------------------------------
 
 _STATE = (
     "row_id long, doc_id long, n_words long, kept_sha256 string, text string, repeats array<int>,"
@@ -141,20 +162,20 @@ def _listed(values: np.ndarray, doc: np.ndarray, n_docs: int, kind: pa.DataType)
 
 def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataFrame:
     """One row per document: what its task settled itself and what it has to ask the others."""
-    blocks = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, width, gram))
-    name = uuid.uuid4().hex
+    rows: list[Row] = []
+    for _ in range(ROWS):
+        rows.append(count_row(docs, width, gram, rows))
     whole = bool(carried)
     last = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bitmap, row_id = _bitmap(name, blocks.value), TaskContext.get().partitionId() << 40
+        row_id = TaskContext.get().partitionId() << 40
         for batch, words in word_slices(batches):
             n = len(words)
             w = Windows(words, width, gram)
-            cells = w.cells()
-            asked = np.flatnonzero(bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1)
+            asked = np.flatnonzero(w.maybe_repeated([r.bitmap() for r in rows]))
             doc, start, rare, hashed = w.doc[asked], w.start[asked], w.rare[asked], w.hash[asked]
             doc_id = np.array([last if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             # Of equal windows here, all but those of the smallest doc_id are repeats.
@@ -198,12 +219,14 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carried:
         F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))).alias("rank"),
         F.explode(F.arrays_zip("starts", "rares", "hashes")).alias("w"),
     )
-    same = Window.partitionBy("w.rares", "w.hashes")
+    # Dealt by rarest gram, a document's neighbouring windows stay neighbours, and the shuffle packs them to half the size.
+    asked = asked.select("row_id", "rank", "w.starts", "w.rares", "w.hashes").repartition("rares")
+    same = Window.partitionBy("rares", "hashes")
     answered = (
         asked.withColumn("smallest", F.min("rank").over(same))
         .where("rank > smallest")
         .groupBy("row_id")
-        .agg(F.collect_list("w.starts").alias("more"))
+        .agg(F.collect_list("starts").alias("more"))
     )
     return state.drop("rares", "hashes", "starts").join(answered, "row_id", "left")
 

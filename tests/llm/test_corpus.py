@@ -272,7 +272,7 @@ def test_ablations_count_what_a_rule_alone_rejects(odd):
 # --- substrings ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("cell_bits", [30, 21])
+@pytest.mark.parametrize("cell_bits", [28, 21])
 def test_substrings(odd, monkeypatch, cell_bits):
     monkeypatch.setattr(substrings, "CELL_BITS", cell_bits)
     assert sorted_rows(substrings.report(odd).collect()) == sorted_rows(brute.without_repeats(ODD))
