@@ -45,6 +45,8 @@ NOT_TEXT_NAMES = frozenset(
     " cookies disqus footer header menu modal nav navbar navigation newsletter notice popup promo related respond share sharing"
     " sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+ABOUT_OTHERS = frozenset("with without has no is".split())
+COMMENT_NAMES = frozenset(["comment", "comments"])
 NOT_TEXT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -52,11 +54,14 @@ NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 NAME_PART = re.compile(r"[a-z0-9]+")
 
 
-def is_named_not_text(attributes: str) -> bool:
+def is_named_not_text(attributes: str, names: frozenset[str] = NOT_TEXT_NAMES) -> bool:
+    """Whether a class, id or role says so; a name like ``with-sidebar`` tells of a neighbour, not of the element."""
     for m in NAMED.finditer(attributes):
-        parts = NAME_PART.findall((m[2] or m[3] or m[4] or "").lower())
-        if not (NOT_TEXT_ROLES if m[1].lower() == "role" else NOT_TEXT_NAMES).isdisjoint(parts):
-            return True
+        told = NOT_TEXT_ROLES if m[1].lower() == "role" else names
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = NAME_PART.findall(name)
+            if parts and parts[0] not in ABOUT_OTHERS and not told.isdisjoint(parts):
+                return True
     return "hidden" in attributes.lower().split()
 
 
@@ -136,7 +141,8 @@ def lines_of(page: str) -> list[Line]:
             add(" ")
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
-        skip = name in NOT_TEXT or name not in ("html", "body", *CONTAINERS) and is_named_not_text(m[3])
+        # An article's classes name its topics, too: of containers only comments are told by name.
+        skip = name in NOT_TEXT or name not in ("html", "body") and is_named_not_text(m[3], COMMENT_NAMES if name in CONTAINERS else NOT_TEXT_NAMES)
         if skip:
             close_block()
             stripped += 1

@@ -315,6 +315,7 @@ def test_articles_of_the_test_pages(spark):
         ("<div class='cookie-notice'>" + PROSE + "<p>" + PROSE + "</div><p>" + PROSE, PROSE),
         ("<div class=\"shadow\"><p>" + PROSE + "</p></div>", PROSE),
         ("<article><p>a<!-- <p>b -->c&nbsp;&lt;d&gt;<br>e</article>", "a c <d> e".replace("a c", "ac")),
+        ("<div class='with-sidebar page'><article class='post tag-ads'><p>a</p></article><article class=comment><p>" + PROSE + "</article></div>", "a"),
         ("<article><p>unclosed <b>bold<p>next", "unclosed bold\n\nnext"),
     ],
 )
