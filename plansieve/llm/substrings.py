@@ -194,7 +194,8 @@ def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataF
                 batch.column("doc_id"),
                 pa.array(np.fromiter(map(len, words), np.int64, n)),
                 pa.array(shas, pa.string()),
-                text if whole else pa.array([t if a else None for a, t in zip(with_any, text)], pa.string()),
+                # Where whole rows are carried, the text is in them.
+                pa.nulls(n, pa.string()) if whole else pa.array([t if a else None for a, t in zip(with_any, text)], pa.string()),
                 _listed(start[repeat], doc[repeat], n, pa.int32()),
                 _listed(start[ask], doc[ask], n, pa.int32()),
                 _listed(rare[ask].view(np.int64), doc[ask], n, pa.int64()),
@@ -281,7 +282,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, cut = [], []
-            for text, n, sha, repeats, more in zip(*(batch.column(c) for c in ("text", "n_words", "kept_sha256", "repeats", "more"))):
+            columns = [batch.column("row").field("text"), *(batch.column(c) for c in ("n_words", "kept_sha256", "repeats", "more"))]
+            for text, n, sha, repeats, more in zip(*columns):
                 gone = covered_words(n.as_py(), width, repeats.as_py(), more.as_py()) if not sha.is_valid else None
                 changed = gone is not None and bool(gone.any())
                 cut.append(changed)
