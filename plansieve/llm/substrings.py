@@ -145,19 +145,27 @@ def count_row(docs: DataFrame, width: int, gram: int, before: list[Row]) -> Row:
 # --- exact grouping ---------------------------------------------------------------------------------------
 
 _STATE = (
-    "row_id long, doc_id long, n_words long, kept_sha256 string, text string, repeats array<int>,"
-    " starts array<int>, rares array<long>, hashes array<long>"
-)
-_STATE_ARROW = pa.schema(
-    [("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()),
-     ("repeats", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("rares", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))]
+    "row_id long, doc_id long, n_words long, kept_sha256 string, packed_text binary, repeats array<int>,"
+    " runs array<struct<start:int,rare:long,hashes:array<long>>>"
 )
+_RUN_ARROW = pa.struct([("start", pa.int32()), ("rare", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
 
+def _listed(values: pa.Array, owner: np.ndarray, n_owners: int) -> pa.Array:
+    """``values``, ordered by owner, as one list per owner."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n_owners + 1)).astype(np.int32)), values)
 
-def _listed(values: np.ndarray, doc: np.ndarray, n_docs: int, kind: pa.DataType) -> pa.Array:
-    """``values``, ordered by document, as one list per document."""
-    offsets = np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+def _runs_of(doc: np.ndarray, start: np.ndarray, rare: np.ndarray, hashed: np.ndarray, n_docs: int) -> pa.Array:
+    """Windows, ordered by document and start, as runs: neighbours with one rarest gram share a row in the shuffle."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (rare[1:] != rare[:-1])
+    run = np.cumsum(new) - 1
+    hashes = _listed(pa.array(hashed.view(np.int64)), run, int(new.sum()))
+    runs = pa.StructArray.from_arrays(
+        [pa.array(start[new].astype(np.int32)), pa.array(rare[new].view(np.int64)), hashes], fields=list(_RUN_ARROW)
+    )
+    return _listed(runs, doc[new], n_docs)
 
 
 def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataFrame:
@@ -169,6 +177,7 @@ def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataF
     last = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
         row_id = TaskContext.get().partitionId() << 40
@@ -187,22 +196,20 @@ def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataF
             repeat[order] = doc_id[doc[order]] > smallest
             with_any = np.bincount(doc, minlength=n) > 0
             shas = [None if a else hashlib.sha256(b" ".join(ws)).hexdigest() for a, ws in zip(with_any, words)]
-            text = batch.column("text")
-            ask = ~repeat
+            # Where whole rows are carried, the text is in them.
+            packer = zstandard.ZstdCompressor(level=3)
+            packed = [packer.compress(t.as_py().encode("utf-8", "surrogatepass")) if a and not whole else None for a, t in zip(with_any, batch.column("text"))]
             columns = [
                 pa.array(np.arange(row_id, row_id + n)),
                 batch.column("doc_id"),
                 pa.array(np.fromiter(map(len, words), np.int64, n)),
                 pa.array(shas, pa.string()),
-                # Where whole rows are carried, the text is in them.
-                pa.nulls(n, pa.string()) if whole else pa.array([t if a else None for a, t in zip(with_any, text)], pa.string()),
-                _listed(start[repeat], doc[repeat], n, pa.int32()),
-                _listed(start[ask], doc[ask], n, pa.int32()),
-                _listed(rare[ask].view(np.int64), doc[ask], n, pa.int64()),
-                _listed(hashed[ask].view(np.int64), doc[ask], n, pa.int64()),
+                pa.array(packed, pa.binary()),
+                _listed(pa.array(start[repeat].astype(np.int32)), doc[repeat], n),
+                _runs_of(doc[~repeat], start[~repeat], rare[~repeat], hashed[~repeat], n),
             ]
             row_id += n
-            names = _STATE_ARROW.names + carried
+            names = ["row_id", "doc_id", "n_words", "kept_sha256", "packed_text", "repeats", "runs", *carried]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carried], names=names)
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
@@ -215,21 +222,19 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carried:
     ``docs`` has doc_id and text (never null) and the ``carried`` columns.
     """
     state = stash(_settle(docs, width, gram, carried or []), "substrings")
-    asked = state.where(F.size("starts") > 0).select(
-        "row_id",
-        F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))).alias("rank"),
-        F.explode(F.arrays_zip("starts", "rares", "hashes")).alias("w"),
+    # Dealt by rarest gram, a run travels as one row and is unfolded where it arrives.
+    runs = state.where(F.size("runs") > 0).select(
+        "row_id", F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).max))).alias("rank"), F.inline("runs")
     )
-    # Dealt by rarest gram, a document's neighbouring windows stay neighbours, and the shuffle packs them to half the size.
-    asked = asked.select("row_id", "rank", "w.starts", "w.rares", "w.hashes").repartition("rares")
-    same = Window.partitionBy("rares", "hashes")
+    asked = runs.repartition("rare").select("row_id", "rank", "start", "rare", F.posexplode("hashes").alias("nth", "hash"))
+    same = Window.partitionBy("rare", "hash")
     answered = (
         asked.withColumn("smallest", F.min("rank").over(same))
         .where("rank > smallest")
         .groupBy("row_id")
-        .agg(F.collect_list("starts").alias("more"))
+        .agg(F.collect_list(F.col("start") + F.col("nth")).alias("more"))
     )
-    return state.drop("rares", "hashes", "starts").join(answered, "row_id", "left")
+    return state.drop("runs").join(answered, "row_id", "left")
 
 
 def covered_words(n_words: int, width: int, *starts: list[int] | None) -> np.ndarray:
@@ -248,13 +253,15 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            import zstandard
+
             removed, shas = [], []
-            for text, sha, repeats, more in zip(*(batch.column(c) for c in ("text", "kept_sha256", "repeats", "more"))):
+            for packed, sha, repeats, more in zip(*(batch.column(c) for c in ("packed_text", "kept_sha256", "repeats", "more"))):
                 if sha.is_valid:
                     removed.append(0)
                     shas.append(sha.as_py())
                     continue
-                words = words_of(text.as_py())
+                words = zstandard.decompress(packed.as_py()).split()
                 gone = covered_words(len(words), width, repeats.as_py(), more.as_py())
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone) if not g])).hexdigest())
