@@ -42,6 +42,7 @@ GRAM = 5
 ROWS = 2
 CELL_BITS = 28  # a row's bitmap has 2 ** CELL_BITS bits, 32 MB in a worker
 BLOCK_BITS = 20
+ANSWER_BITS = 32
 class Windows:
     """The windows of some documents: of each its document's number, its start there, its rarest gram and its hash."""
 
@@ -160,6 +161,9 @@ def _runs_of(doc: np.ndarray, start: np.ndarray, rare: np.ndarray, hashed: np.nd
     """Windows, ordered by document and start, as runs: neighbours with one rarest gram share a row in the shuffle."""
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (rare[1:] != rare[:-1])
+    # No run is longer than an answer has bits.
+    at = np.arange(len(doc))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % ANSWER_BITS == 0
     run = np.cumsum(new) - 1
     hashes = _listed(pa.array(hashed.view(np.int64)), run, int(new.sum()))
     runs = pa.StructArray.from_arrays(
@@ -217,7 +221,9 @@ def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataF
 
 
 def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carried: list[str] | None = None) -> DataFrame:
-    """The settled state of every document with ``more``: the starts of windows that are repeats of other tasks' documents.
+    """The settled state of every document with ``more``: windows that repeat those of other tasks' documents.
+
+    ``more`` lists runs: a start, and a bit for each window from there on.
 
     ``docs`` has doc_id and text (never null) and the ``carried`` columns.
     """
@@ -228,20 +234,27 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carried:
     )
     asked = runs.repartition("rare").select("row_id", "rank", "start", "rare", F.posexplode("hashes").alias("nth", "hash"))
     same = Window.partitionBy("rare", "hash")
+    # A run lies in one partition, so its answers become one number before they travel back.
     answered = (
         asked.withColumn("smallest", F.min("rank").over(same))
         .where("rank > smallest")
+        .groupBy("rare", "row_id", "start")
+        .agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("mask"))
         .groupBy("row_id")
-        .agg(F.collect_list(F.col("start") + F.col("nth")).alias("more"))
+        .agg(F.collect_list(F.struct("start", "mask")).alias("more"))
     )
     return state.drop("runs").join(answered, "row_id", "left")
 
 
-def covered_words(n_words: int, width: int, *starts: list[int] | None) -> np.ndarray:
-    """Which words the windows at ``starts`` cover."""
+def covered_words(n_words: int, width: int, repeats: pa.ListScalar, more: pa.ListScalar) -> np.ndarray:
+    """Which words the repeated windows cover."""
     edges = np.zeros(n_words + 1, np.int64)
-    for some in starts:
-        at = np.asarray(some or [], np.int64)
+    starts = [repeats.values.to_numpy()] if repeats.is_valid else []
+    if more.is_valid:
+        start, mask = (more.values.field(k).to_numpy() for k in ("start", "mask"))
+        run, nth = np.nonzero(mask[:, None] >> np.arange(ANSWER_BITS) & 1)
+        starts.append(start[run] + nth)
+    for at in starts:
         np.add.at(edges, at, 1)
         np.add.at(edges, at + width, -1)
     return np.cumsum(edges)[:n_words] > 0
@@ -262,7 +275,7 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     shas.append(sha.as_py())
                     continue
                 words = zstandard.decompress(packed.as_py()).split()
-                gone = covered_words(len(words), width, repeats.as_py(), more.as_py())
+                gone = covered_words(len(words), width, repeats, more)
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone) if not g])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], schema=schema)
@@ -291,7 +304,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             texts, cut = [], []
             columns = [batch.column("row").field("text"), *(batch.column(c) for c in ("n_words", "kept_sha256", "repeats", "more"))]
             for text, n, sha, repeats, more in zip(*columns):
-                gone = covered_words(n.as_py(), width, repeats.as_py(), more.as_py()) if not sha.is_valid else None
+                gone = covered_words(n.as_py(), width, repeats, more) if not sha.is_valid else None
                 changed = gone is not None and bool(gone.any())
                 cut.append(changed)
                 texts.append((None if gone.all() else cut_words(text.as_py(), gone)) if changed else None)
