@@ -285,12 +285,13 @@ def keep_one_of_each(docs: DataFrame, kind: Similarity) -> DataFrame:
     """The documents with the smallest doc_id of their component, all columns as they were; a doc_id stays once."""
     groups = stash(group_documents(docs, kind), "groups")
     gone = groups.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    kept = rows.join(gone, "doc_id", "left_anti")
+    again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+        return kept.select("row.*")
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select("row.*").union(once.select("row.*"))
 
 
 # --- query ---------------------------------------------------------------------------------------------

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plansieve.llm.common import table, text_of
 from plansieve.llm.hashes import MIX, MIX2, mixed, run_hashes, word_hashes, word_slices, words_of
@@ -216,8 +217,10 @@ def _settle(docs: DataFrame, width: int, gram: int, carried: list[str]) -> DataF
             names = ["row_id", "doc_id", "n_words", "kept_sha256", "packed_text", "repeats", "runs", *carried]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carried], names=names)
 
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select("doc_id", "text", *carried).mapInArrow(run, _STATE + kinds)
+    kinds = T.StructType.fromDDL(_STATE)
+    for c in carried:
+        kinds.add(c, docs.schema[c].dataType)
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, kinds)
 
 
 def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carried: list[str] | None = None) -> DataFrame:
@@ -297,7 +300,7 @@ def cut_words(text: str, gone: np.ndarray) -> str:
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without repeated windows, other columns as they were; a document of which nothing is left goes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"), F.struct("*").alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
+    kinds = T.StructType().add("row", rows.schema["row"].dataType).add("cut", T.BooleanType()).add("left", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +313,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 texts.append((None if gone.all() else cut_words(text.as_py(), gone)) if changed else None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, pa.bool_()), pa.array(texts, pa.string())], names=["row", "cut", "left"])
 
-    found = find_repeats(rows, width, carried=["row"]).mapInArrow(run, f"row {kind}, cut boolean, left string")
+    found = find_repeats(rows, width, carried=["row"]).mapInArrow(run, kinds)
     text = F.when(F.col("cut"), F.col("left")).otherwise(F.col("row.text"))
     return found.where("not cut or left is not null").select(F.col("row").withField("text", text).alias("row")).select("row.*")
 

@@ -26,7 +26,7 @@ ODD = [
     (16, "### $$$ *** " * 40), (17, "The MIT License. Released under the MIT License. All Rights RESERVED; CC-BY, cc by cc by"),
     (18, "this work is licensed under the GNU General Public License, version 3."), (19, "all rights all rights reserved"),
 ]
-CLASHES = ["words", "row", "shard", "slot", "bucket", "hits", "part", "node", "key", "cell", "label", "text_hash", "more", "probe", "copies"]
+CLASHES = ["words", "row", "shard", "slot", "bucket", "hits", "part", "node", "key", "cell", "label", "text_hash", "more", "probe", "copies", "a b", "c.d"]
 
 
 @pytest.fixture(scope="module")
