@@ -286,7 +286,8 @@ def keep_one_of_each(docs: DataFrame, kind: Similarity) -> DataFrame:
     groups = stash(group_documents(docs, kind), "groups")
     gone = groups.where("not kept").select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
-    kept = rows.join(gone, "doc_id", "left_anti")
+    # By shuffle at every size: the documents to go are a share of all, not a few.
+    kept = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept.select("row.*")
