@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plansieve.llm.common import table, text_of
-from plansieve.llm.hashes import MIX, MIX2, mixed, run_hashes, word_hashes, word_slices, words_of
+from plansieve.llm.hashes import MIX, MIX2, mixed, run_hashes, word_hashes, word_slices
 from plansieve.operators.narrow import stash
 
 WIDTH = 13
