@@ -2,9 +2,14 @@
 
 A page is stripped to lines: one per block element, with markup, scripts, styles, forms and what names itself as a menu,
 header, footer, sidebar, notice, advert or comment section leaving empty lines. Text lengths are summed over a
-sliding window of lines. Where the sum surges above the threshold the main text begins, where it dives to nothing it ends;
-of several such stretches the one with the most text is taken. If that stretch lies in an ``article`` or ``main``
-element, the element's edges are the exact surge and dive points (a short first or last paragraph is text, too).
+sliding window of lines. Where the sum surges above the threshold a stretch of text begins, where it dives to nothing it
+ends: one or two empty lines do not end it. The stretch with the most text tells the main block, the element that holds it: every
+stretch above the threshold in that element is main text, and so are short lines between them. The main block of a
+stretch in a part of a text (a section, a list, one of several like elements that hold stretches) is the whole they are parts of.
+
+If at least half of this text lies in ``article`` or ``main`` elements, the edges of those elements are the exact surge and
+dive points: all they hold is kept, what stands outside is not (a short first or last paragraph is text, too). Elements
+within an element count as its text.
 
 Defined results: a null or empty html, and one without text, give an empty text; an unclosed element ends where its
 parent ends; a page without any stretch above the threshold keeps its whole stripped text; repeated rows each get
@@ -40,6 +45,7 @@ BLOCKS = frozenset(
 )
 CELLS = frozenset(["td", "th", "br"])
 CONTAINERS = frozenset(["article", "main"])
+HOLDERS = CONTAINERS | frozenset("body center div html td".split())  # what can be a main block; others are parts of one
 NOT_TEXT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie"
     " cookies disqus footer header menu modal nav navbar navigation newsletter notice popup promo related respond share sharing"
@@ -69,35 +75,47 @@ def is_named_not_text(attributes: str, names: frozenset[str] = NOT_TEXT_NAMES) -
 class Line:
     text: str
     n_link: int
-    container: int  # number of the innermost article or main element, 0 outside of them
+    container: int  # number of the outermost article or main element, 0 outside of them
+    element: int  # number of the innermost element
+
+
+@dataclass
+class Element:
+    """Elements are numbered as they open, so an element holds the numbers from its own to ``last``."""
+
+    parent: int
+    kind: tuple[str, str]  # name and classes
+    last: int = -1
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order; an empty line stands where something was stripped."""
+def lines_of(page: str) -> tuple[list[Line], list[Element]]:
+    """The page's blocks in order, and its elements, first the page itself; an empty line stands where something was stripped."""
     lines: list[Line] = []
+    elements = [Element(-1, ("html", ""))]
     parts: list[str] = []
     links: list[str] = []
-    opened: list[tuple[str, bool, int]] = []  # name, whether it is stripped, container
-    n_containers, stripped, in_link, at = 0, 0, 0, 0
+    opened: list[tuple[str, bool, int, int]] = []  # name, whether it is stripped, container, element
+    stripped, in_link, at = 0, 0, 0
 
     def close_block() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            lines.append(Line(text, len(" ".join("".join(links).split())), opened[-1][2] if opened else 0))
+            lines.append(Line(text, len(" ".join("".join(links).split())), *(opened[-1][2:] if opened else (0, 0))))
         parts.clear()
         links.clear()
 
     def close_to(depth: int) -> None:
         nonlocal stripped, in_link
         while len(opened) > depth:
-            name, skip, _ = opened[-1]
+            name, skip, _, number = opened[-1]
             if name in BLOCKS or skip:
                 close_block()
             opened.pop()
+            elements[number].last = len(elements) - 1
             if skip:
                 stripped -= 1
                 if not stripped:
-                    lines.append(Line("", 0, 0))
+                    lines.append(Line("", 0, 0, 0))
             in_link -= name == "a"
 
     def add(text: str) -> None:
@@ -146,48 +164,96 @@ def lines_of(page: str) -> list[Line]:
         if skip:
             close_block()
             stripped += 1
-        container = opened[-1][2] if opened else 0
-        if name in CONTAINERS and not stripped:
-            n_containers += 1
-            container = n_containers
+        container, parent = opened[-1][2:] if opened else (0, 0)
+        number = len(elements)
+        classes = next((m2[2] or m2[3] or m2[4] or "" for m2 in NAMED.finditer(m[3]) if m2[1].lower() == "class"), "")
+        elements.append(Element(parent, (name, "" if name in CONTAINERS else " ".join(classes.split()))))
+        if name in CONTAINERS and not stripped and not container:
+            container = number
         in_link += name == "a"
-        opened.append((name, skip, container))
+        opened.append((name, skip, container, number))
     close_to(0)
     close_block()
-    return lines
+    elements[0].last = len(elements) - 1
+    return lines, elements
 
 
-def main_stretch(lines: list[Line]) -> tuple[int, int]:
-    """First and last line (exclusive) of the stretch between surge and dive that holds the most text."""
-    lengths = [len(x.text) if x.n_link <= MAX_LINK_SHARE * len(x.text) else 0 for x in lines]
+@dataclass
+class Stretch:
+    begin: int
+    surge: int | None  # the first line above the threshold
+    end: int  # exclusive
+
+
+def stretches(lengths: list[int]) -> list[Stretch]:
+    """Lines from a text line to where the sum over the window dives to nothing."""
     sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
-    best, most, k = (0, len(lines)), 0, 0
-    while k < len(lines):
-        if not (lengths[k] and sums[k] >= SURGE):
+    found, k = [], 0
+    while k < len(lengths):
+        if not lengths[k]:
             k += 1
             continue
-        begin = k
-        while k < len(lines) and sums[k] > 0 and (lengths[k] or lines[k].text):
+        begin, surge = k, None
+        while k < len(lengths) and sums[k] > 0:
+            if surge is None and lengths[k] and sums[k] >= SURGE:
+                surge = k
             k += 1
-        end = k
-        if (mass := sum(lengths[begin:end])) > most:
-            best, most = (begin, end), mass
-    return best
+        found.append(Stretch(begin, surge, k))
+    return found
+
+
+def main_block(best: list[int], others: list[int], elements: list[Element]) -> int:
+    """The element of the main text, given the elements of the best stretch's lines and of one line of every other stretch."""
+
+    def holds(a: int, x: int) -> bool:
+        return a <= x <= elements[a].last
+
+    at = min(best)
+    while not holds(at, max(best)):
+        at = elements[at].parent
+    while at:
+        parent = elements[at].parent
+        if elements[at].kind[0] in HOLDERS:
+            like = False
+            for x in others:
+                if holds(parent, x) and not holds(at, x) and x != parent:
+                    while elements[x].parent != parent:
+                        x = elements[x].parent
+                    like = like or elements[x].kind == elements[at].kind
+            if not like:
+                break
+        at = parent
+    return at
+
+
+def main_lines(lines: list[Line], lengths: list[int], elements: list[Element]) -> list[int]:
+    """The lines of the stretches above the threshold in the main block, and what text stands between them."""
+    found = stretches(lengths)
+    high = [s for s in found if s.surge is not None]
+    if not high:
+        return [*range(len(lines))]
+    best = max(high, key=lambda s: (sum(lengths[s.surge : s.end]), -s.begin))
+
+    def texts(s: Stretch) -> list[int]:
+        return [k for k in range(s.surge, s.end) if lines[k].text]
+
+    block = main_block([lines[k].element for k in texts(best)], [lines[s.surge].element for s in high if s is not best], elements)
+
+    def inside(k: int) -> bool:
+        return block <= lines[k].element <= elements[block].last
+
+    surged = [k for s in high for k in texts(s) if inside(k)]
+    return [k for s in found for k in range(max(s.begin, surged[0]), min(s.end, surged[-1] + 1)) if lines[k].text and inside(k)]
 
 
 def main_text(page: str) -> str:
-    lines = lines_of(page)
-    begin, end = main_stretch(lines)
-    inside = {}
-    for x in lines[begin:end]:
-        inside[x.container] = inside.get(x.container, 0) + len(x.text)
-    inside.pop(0, None)
-    if inside:
-        container = max(inside, key=lambda c: (inside[c], -c))
-        kept = [x.text for x in lines if x.container == container]
-    else:
-        kept = [x.text for x in lines[begin:end]]
-    return "\n\n".join(t for t in kept if t)
+    lines, elements = lines_of(page)
+    lengths = [len(x.text) if x.n_link <= MAX_LINK_SHARE * len(x.text) else 0 for x in lines]
+    kept = main_lines(lines, lengths, elements)
+    containers = {lines[k].container for k in kept if lines[k].container}
+    if containers and 2 * sum(lengths[k] for k in kept if lines[k].container) >= sum(lengths[k] for k in kept):
+        kept = [k for k, x in enumerate(lines) if x.container in containers]
+    return "\n\n".join(lines[k].text for k in kept if lines[k].text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

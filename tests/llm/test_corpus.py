@@ -323,6 +323,28 @@ def test_main_text(page, text):
     assert mainhtml.main_text(page) == text
 
 
+A, B, C = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+LINKS = "<ul>" + "<li><a href=x>some link or other</a></li>" * 4 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        (f"<div><p>{A}<p>{B}<div class=ad>buy</div><p>{C}</div>", [A, B, C]),
+        (f"<div><p>{A}<aside>x</aside><form>f</form><div class=share>s</div><div class=ad>y</div><p>{B}</div>", [A, B]),
+        (f"<div id=x><div class=part><p>{A}</div>{LINKS}<p>tiny</p>{LINKS}<div class=part><p>{B}</div></div>", [A, "tiny", B]),
+        (f"<div><section><p>{A}</section>{LINKS}<section><p>{B}</section></div>", [A, B]),
+        (f"<div class=top><p>{A}</div>{LINKS}<div class=text><p>{B}<p>{C}</div>", [B, C]),
+        (f"<main><p>{A}<article><p>{B}</article><p>c</main><p>{C}", [A, B, "c"]),
+        (f"<main><article><p>{A}</article><article><p>{B}</article></main>", [A, B]),
+        (f"<article><p>{A}</article>{LINKS}<article class=second><p>{B}</article>", [A, B]),
+        (f"<p>{A}<p>{B}<p>{C}<article><p>teaser</article>", [A, B, C, "teaser"]),
+    ],
+)
+def test_main_text_drops_nothing_but_what_is_stripped(page, texts):
+    assert mainhtml.main_text(page) == "\n\n".join(texts)
+
+
 def test_pages_without_html(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<"), (2, "u", "<")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     assert got(mainhtml.extract(pages), "page_id", "url", "text", "n_chars") == sorted_rows([(1, None, "", 0), (None, "u", "", 0), (2, "u", "<", 1), (2, "u", "<", 1)])
