@@ -1,6 +1,7 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
-A document is its set of word shingles; documents with equal sets are one node from the start. Each of ``TREES`` trees
+A document is its set of word shingles; documents with equal sets are one node from the start, named by the set's hash and compared by
+the text of one of them, however many rows share a set or a doc_id. Each of ``TREES`` trees
 lists the nodes in the order of ``DEPTH`` MinHash values of its own. In a sorted order, neighbours with a long common prefix are
 candidates: a node belongs to the region of its neighbour if they share ``MIN_DEPTH`` values, and in a region that has grown to
 ``DENSE`` nodes to a denser part of it only if they share more. The orders are range-partitioned, so even a region that holds a third of
@@ -15,7 +16,8 @@ components meets in some cell, so cutting a cluster up loses no link.
 Two documents at the threshold share no region in any tree with a probability of (1 - t ** MIN_DEPTH) ** TREES: 4e-7 for t = 0.85.
 
 Defined results: a text without words has an empty set and is linked with nothing; a row without doc_id is linked with
-nothing and has no component; repeated rows each get their own, equal, result; an empty table gives an empty table; further columns are
+nothing and has no component; repeated rows each get their own, equal, result, and rows of one doc_id with other words each that of
+their set; an empty table gives an empty table; further columns are
 ignored, or carried along by ``keep_one_of_each``.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plansieve.llm.common import table, text_of
+from plansieve.llm.common import row_key, table, text_of
 from plansieve.llm.components import components
 from plansieve.llm.hashes import MIX, MIX2, lowered_words_of, mixed, run_hashes, word_hashes, word_slices
 from plansieve.operators.narrow import stash
@@ -94,11 +96,11 @@ def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(sums + np.array([*map(len, sets)], np.uint64) * MIX2)
 
 
-_MEMBERS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.int64()), ("signature", pa.binary())])
+_MEMBERS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.int64()), ("signature", pa.binary())])
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, signature (big-endian, so it sorts by value) of every row; null for empty sets."""
+    """doc_id, text_hash, n_shingles, set_hash, signature (big-endian, so it sorts by value) of every row; null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in word_slices(batches, lowered_words_of):
@@ -109,10 +111,10 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 some = [sets[k] for k in full]
                 for k, h, row in zip(full, set_hashes(some).view(np.int64).tolist(), signatures(some).astype(">u4")):
                     hashes[k], signed[k] = h, row.tobytes()
-            columns = [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(hashes, pa.int64()), pa.array(signed, pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(hashes, pa.int64()), pa.array(signed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=_MEMBERS_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, signature binary")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash long, signature binary")
 
 
 # --- forest --------------------------------------------------------------------------------------------
@@ -234,8 +236,10 @@ def find_components(docs: DataFrame, nodes: DataFrame, kind: Similarity) -> Data
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     clusters = stash(clusters.join(sizes, "cluster").select("node", "cluster", "size", _part(F.col("node"), F.col("size")).alias("part")), "clusters")
     # The texts of all candidates are fetched once, by shuffle at every size; cells draw on these.
-    candidates = clusters.select("node").hint("shuffle_hash")
-    texts = stash(candidates.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), "texts")
+    candidates = clusters.select("node").join(nodes.select("node", "doc_id", "text_hash"), "node").hint("shuffle_hash")
+    # Repeated rows are reduced in each task first, so that a node has one text.
+    once = docs.dropDuplicates(["doc_id", "text_hash"])
+    texts = stash(candidates.join(once, ["doc_id", "text_hash"]).select("node", "text"), "texts")
     is_large = F.col("size") > CELL
     # Hub nodes go to the cells of all parts: as many rows again as the cluster has.
     meets = F.when(~is_large, F.array(F.lit(0))).when(F.col("part") == 0, F.sequence(F.lit(1), _n_parts(F.col("size")) - 1)).otherwise(F.array("part"))
@@ -263,31 +267,40 @@ def find_components(docs: DataFrame, nodes: DataFrame, kind: Similarity) -> Data
     return settled.union(large.join(later, "label", "left").select("node", F.coalesce("component", "label")))
 
 
-def group_documents(docs: DataFrame, kind: Similarity) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
+def _groups(docs: DataFrame, kind: Similarity) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of every row."""
+    docs = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), text_of(F.col("text")).alias("text"))
     members = stash(describe(docs, kind.width), "members")
     nodes = stash(
         members.where("set_hash is not null and doc_id is not null")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")),
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("signature").alias("signature"))
+        .select(F.col("set_hash").alias("node"), "row.*", "signature"),
         "nodes",
     )
-    found = find_components(docs, nodes, kind)
-    of_set = nodes.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    found = stash(find_components(docs, nodes, kind).join(nodes.select("node", "doc_id"), "node"), "found")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_node = found.join(least, "component").select("node", F.col("least").alias("component"))
+    of_set = nodes.select(F.col("node").alias("set_hash"), "node", F.col("doc_id").alias("own")).join(of_node, "node", "left")
+    of_set = of_set.select("set_hash", F.coalesce("component", "own").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return members.join(of_set, "set_hash", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
+def group_documents(docs: DataFrame, kind: Similarity) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return _groups(docs, kind).drop("text_hash")
+
+
 def keep_one_of_each(docs: DataFrame, kind: Similarity) -> DataFrame:
     """The documents with the smallest doc_id of their component, all columns as they were; a doc_id stays once."""
-    groups = stash(group_documents(docs, kind), "groups")
-    gone = groups.where("not kept").select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    groups = stash(_groups(docs, kind), "groups")
+    gone = groups.where("not kept").select("doc_id", "text_hash").distinct()
+    rows = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), F.struct("*").alias("row"))
     # By shuffle at every size: the documents to go are a share of all, not a few.
-    kept = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    kept = rows.join(gone.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_anti")
     again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept.select("row.*")

@@ -397,6 +397,24 @@ def test_near_groups(spark, odd, monkeypatch, cell):
     assert sorted_rows(neardup.group_documents(docs, neardup.QUERY_KIND).collect()) == sorted_rows(brute.near_groups(rows))
 
 
+def test_rows_of_one_id_send_one_text_a_set_to_the_cells(spark, monkeypatch):
+    texts = copies(6, 100, 1, 5)
+    rows = [(7, texts[0])] * 30 + [(7, texts[1].upper())] * 5 + [(7, OTHER)] * 4 + [(k, t) for k, t in enumerate(texts[2:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+    whole = neardup.compare_cells
+
+    def counted(cells, found, kind):
+        sizes.append((found.count(), found.select("node").distinct().count()))
+        return whole(cells, found, kind)
+
+    monkeypatch.setattr(neardup, "compare_cells", counted)
+    assert sorted_rows(neardup.group_documents(docs, neardup.QUERY_KIND).collect()) == sorted_rows(brute.near_groups(rows))
+    assert sizes and all(n == n_nodes == 6 for n, n_nodes in sizes)
+    kept = neardup.keep_one_of_each(docs, neardup.QUERY_KIND)
+    assert got(kept, "doc_id", "text") == sorted_rows([(0, texts[2]), (7, OTHER)])
+
+
 def test_one_of_each_stays(odd, empty):
     kept = neardup.keep_one_of_each(odd, neardup.QUERY_KIND)
     assert kept.columns == odd.columns
