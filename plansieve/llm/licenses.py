@@ -1,8 +1,8 @@
 """Licence scans with a positional index of rare words.
 
 The index holds the licence templates' words with their positions. How rare a word is, is counted over all documents
-(one small aggregate: only words of the index are counted). Of each template the two rarest words are its anchors, so
-every document is looked up by its highest-IDF licence words: an anchor at word p of the document that stands at word q
+(one small aggregate: only words of the index are counted). Of each template's mandatory key phrase the rarest word is its
+anchor: without the phrase the template is not accepted, so no match is missed, whatever other words are altered. An anchor at word p of the document that stands at word q
 of a template proposes that the template begins at p - q. A proposal counts the IDF weight of the template words that stand at
 their relative positions; it is accepted from ``MIN_SCORE`` on if the template's mandatory key phrase stands there word by word.
 The base phrases are templates of which every word is mandatory; they are found wherever they stand.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from plansieve.llm.common import NOT_ALNUM, lower_ascii, split_words, table
 
 MIN_SCORE = 0.8
-ANCHORS = 2
 
 # The base phrases, and the notices that licences ask to be placed in a work, as lower-case words.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -74,20 +73,24 @@ class Index:
         self.proposals: dict[str, list[tuple[int, int]]] = {}
         self.phrases: dict[str, list[tuple[int, int]]] = {}
         for t, template in enumerate(templates):
-            for word in self._rarest(template.words, ANCHORS):
-                places = [(t, q) for q, w in enumerate(template.words) if w == word]
-                self.proposals.setdefault(word, []).extend(places)
+            # One place of the word is enough, here and below: it finds the whole phrase.
+            word = self._rarest(template.key)
+            self.proposals.setdefault(word, []).append((t, self._key_at(template) + template.key.index(word)))
         for b, (words, _) in enumerate(self.base):
-            [word] = self._rarest(words, 1)
-            # One place of the word is enough: it finds the whole phrase.
+            word = self._rarest(words)
             self.phrases.setdefault(word, []).append((b, words.index(word)))
 
     @staticmethod
     def vocabulary(templates: list[Template], base: dict[str, str]) -> set[str]:
         return {w for t in templates for w in t.words} | {w for p in base for w in p.split()}
 
-    def _rarest(self, words: tuple[str, ...], n: int) -> list[str]:
-        return sorted(set(words), key=lambda w: (-self.idf[w], w))[:n]
+    def _rarest(self, words: tuple[str, ...]) -> str:
+        return min(words, key=lambda w: (-self.idf[w], w))
+
+    @staticmethod
+    def _key_at(template: Template) -> int:
+        n = len(template.key)
+        return next(q for q in range(len(template.words)) if template.words[q : q + n] == template.key)
 
     def anchors(self) -> list[str]:
         return sorted(self.proposals.keys() | self.phrases.keys())
@@ -96,7 +99,7 @@ class Index:
         at = [(w, 0 <= start + q < len(words) and words[start + q] == w) for q, w in enumerate(template.words)]
         whole = sum(self.idf[w] for w, _ in at)
         share = sum(self.idf[w] for w, there in at if there) / whole if whole > 0 else float(all(x for _, x in at))
-        key = next(q for q in range(len(template.words)) if template.words[q : q + len(template.key)] == template.key)
+        key = self._key_at(template)
         there = start + key >= 0 and tuple(words[start + key : start + key + len(template.key)]) == template.key
         return min(1.0, share) if there else 0.0
 

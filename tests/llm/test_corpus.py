@@ -373,6 +373,19 @@ def test_every_template_finds_itself_in_a_text_and_needs_its_key_phrase():
         assert t.label not in index.scan(broken, places)[2]
 
 
+def test_a_template_is_found_by_its_key_whatever_else_is_altered():
+    counts = {w: 500 for t in licenses.TEMPLATES for w in t.words}
+    for t in licenses.TEMPLATES:
+        others = sorted({*t.words} - {*t.key})
+        for pair in ({a, b} for a in others for b in others):
+            # The two altered words are the rarest: by them alone the template would not be proposed.
+            index = licenses.Index(licenses.TEMPLATES, licenses.BASE_PHRASES, 1000, counts | {w: 490 for w in pair})
+            words = ["x", *("no" if w in pair else w for w in t.words), "y"]
+            meant = any(index._score(t, words, start) >= licenses.MIN_SCORE for start in range(len(words)))
+            places = [k for k, w in enumerate(words) if w in index.anchors()]
+            assert not meant or t.label in index.scan(words, places)[2]
+
+
 # --- near duplicates -----------------------------------------------------------------------------------
 
 
