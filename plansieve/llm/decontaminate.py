@@ -6,7 +6,8 @@ counts. Words inside verified windows are hit words; they can be cut out (:func:
 dropped (:func:`remove_documents`).
 
 The set is broadcast only below ``max_broadcast_windows``; a larger benchmark is joined by shuffle, hash by hash, with
-the same rows as result. Only hits and one narrow row per document are shuffled then; the texts never are.
+the same rows as result. Then every window is shuffled with its own words, about ``width`` times the text for each window size, and one
+narrow row per document that takes no part in the join; if the set is broadcast, only hits and that row are shuffled.
 
 Defined results: a null or wordless text has no words and no hit; a null or wordless item has no window; repeated
 document rows each get their own, equal, result row; repeated items count by distinct item_id; a null item_id counts as
@@ -76,21 +77,28 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broadca
         )
 
     header = F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("window_hash"))
-    probes = F.concat(F.array(header), *[probes_of(size) for size in sizes])
-    # Each document's first probe is its header: it meets no window and keeps the document, hit or not.
-    scanned = docs.select("doc_id", "text_hash", "words", F.explode(probes).alias("probe")).select(
-        "doc_id", "text_hash", "words", "probe.*"
-    )
+    known = windows.withColumnRenamed("window_hash", "known_hash")
+    same_hash, own = F.col("window_hash") == F.col("known_hash"), _window(words, F.col("start"), F.col("size"))
     if windows.limit(max_broadcast_windows + 1).count() <= max_broadcast_windows:
-        windows = F.broadcast(windows)
-    verified = _window(F.col("words"), F.col("start"), F.col("size")) == F.col("window")
-    met = scanned.join(
-        windows.withColumnRenamed("window_hash", "known_hash"), (F.col("window_hash") == F.col("known_hash")) & verified, "left"
-    ).where((F.col("size") == 0) | F.col("window").isNotNull())
+        # Each document's first probe is its header: it meets no window and keeps the document, hit or not.
+        probes = F.concat(F.array(header), *[probes_of(size) for size in sizes])
+        scanned = docs.select("doc_id", "text_hash", "words", F.explode(probes).alias("probe"))
+        scanned = scanned.select("doc_id", "text_hash", "words", "probe.*", F.size("words").cast("long").alias("n_words"))
+        met = scanned.join(F.broadcast(known), same_hash & (own == F.col("window")), "left").where((F.col("size") == 0) | F.col("window").isNotNull())
+    else:
+        # A window is shuffled with its own words, not with its document's; headers are not joined.
+        scanned = docs.select("doc_id", "text_hash", "words", F.explode(F.concat(*[probes_of(size) for size in sizes])).alias("probe"))
+        scanned = scanned.select("doc_id", "text_hash", "words", "probe.*").select("doc_id", "text_hash", "start", "size", "window_hash", own.alias("own"))
+        # Dealt out before the join, so that cutting the window out is not moved behind the shuffle.
+        met = scanned.repartition("window_hash").join(known.hint("shuffle_hash"), same_hash & (F.col("own") == F.col("window")))
+        met = met.select("doc_id", "text_hash", "start", "size", F.lit(None).cast("long").alias("n_words"), "item_ids")
+        met = met.union(
+            docs.select("doc_id", "text_hash", F.lit(0), F.lit(0), F.size("words").cast("long"), F.lit(None).cast("array<string>"))
+        )
     rows = met.select(
         "doc_id",
         "text_hash",
-        F.when(F.col("size") == 0, F.size("words").cast("long")).alias("n_words"),
+        F.when(F.col("size") == 0, F.col("n_words")).alias("n_words"),
         F.when(F.col("size") > 0, F.struct("start", "size")).alias("hit"),
         "item_ids",
     )

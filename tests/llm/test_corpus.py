@@ -105,6 +105,19 @@ def test_decontamination(spark, odd, limit):
     assert sorted_rows(found.collect()) == sorted_rows((i, *brute.decontaminated(t, ITEMS)[:3]) for i, t in ODD)
 
 
+def test_windows_are_shuffled_without_their_documents_words(spark, odd):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    plan = decontaminate.find_hits(odd, items, max_broadcast_windows=0)._jdf.queryExecution().optimizedPlan()
+    todo, joins = [plan], []
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        todo += children
+        if node.nodeName() == "Join":
+            joins += [[c.output().apply(k).name() for k in range(c.output().size())] for c in children]
+    assert joins and all("words" not in names for names in joins)
+
+
 def test_decontamination_report_and_removal(spark, odd, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert sorted_rows(decontaminate.report(odd, items).collect()) == sorted_rows((i, *brute.decontaminated(t, ITEMS)) for i, t in ODD)
