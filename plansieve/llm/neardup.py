@@ -5,7 +5,8 @@ the text of one of them, however many rows share a set or a doc_id. Each of ``TR
 lists the nodes in the order of ``DEPTH`` MinHash values of its own. In a sorted order, neighbours with a long common prefix are
 candidates: a node belongs to the region of its neighbour if they share ``MIN_DEPTH`` values, and in a region that has grown to
 ``DENSE`` nodes to a denser part of it only if they share more. The orders are range-partitioned, so even a region that holds a third of
-all nodes is spread over many tasks; each node emits one link per tree (to the head of its part), each part one to its region.
+all nodes is spread over many tasks; each node emits one link per tree (to the head of its part), each part one to its region. So
+depth only balances the links: candidates are the nodes that share the first ``MIN_DEPTH`` values of a tree, joined in steps.
 
 Candidate links are joined to clusters, and every cluster is compared on full sets, exactly: a signature estimate five standard
 deviations below the threshold rules a pair out, all others are counted shingle by shingle unless the two are already connected. A
