@@ -228,16 +228,22 @@ FROM events GROUP BY user_id
 HAVING user_id % 7 <> 0 AND user_id % 11 <> 0 AND max(epoch_us(ts) // 1000) < 1706659200000 AND max(epoch_us(ts) // 1000) >= 1706659200000 - 7 * 86400000
 """)
 def list_logs_by_day(spark: SparkSession, sf: str) -> DataFrame:
-    """Finished logs of the last seven days; a log's time is that of its user's last event."""
-    name = F.concat(
-        F.when(F.col("user_id") % 11 == 0, F.lit("other_")).otherwise(F.lit("application_")),
-        F.col("user_id"),
-        F.when(F.col("user_id") % 7 == 0, F.lit(".inprogress")).otherwise(F.lit("")),
-    )
+    """Finished logs of the last seven days; each event of a user is a part of the user's log.
+
+    Like the listing's glob, the rows leave out files of other names.
+    """
+    log_id = F.concat(F.lit("file:/logs/application_"), F.col("user_id"))
     ms = F.expr(f"timestampdiff(MILLISECOND, {samples.EPOCH}, ts)")
-    files = samples.table(spark, sf, "events").groupBy("user_id").agg(F.max(ms).alias("mtime_ms"))
-    logs = lines.select_logs(files.select(name.alias("name"), "mtime_ms"), now_ms=1706659200000, days=7)
-    return logs.select("name", "mtime_ms", *_long("day_before")).orderBy("mtime_ms")
+    parts = samples.table(spark, sf, "events").where("user_id % 11 <> 0").select(
+        log_id.alias("log_id"), F.concat(log_id, F.lit("/events_"), F.col("event_id")).alias("path"), F.lit(1).cast("long").alias("length"),
+        ms.alias("mtime_ms"), F.lit(True).alias("is_part"), F.lit(False).alias("is_open"), "user_id",
+    )
+    # Running logs have a marker beside their parts.
+    running = parts.where("user_id % 7 = 0").select(
+        "log_id", F.concat("log_id", F.lit("/appstatus.inprogress")), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(False), F.lit(True), "user_id"
+    )
+    logs = lines.finished_logs(parts.union(running.distinct()).drop("user_id"), now_ms=1706659200000, days=7).orderBy("mtime_ms", "log_id")
+    return logs.select("name", "mtime_ms", *_long("day_before"))
 
 
 @query(METRICS + "SELECT log_id, accumulator_id, value FROM m")

@@ -312,3 +312,12 @@ def test_job_writes_findings_by_day(spark, tmp_path):
         write(f"{d}/application_{k}", [app(f"x{k}"), start(1, f"q{k}"), update(1, like), update(1, like), end(1)], mtime_ms=now - k * DAY + 5)
     analyse(spark, d, out, now, 3, ["nested_loop_string_match"])
     assert sorted((r.day_before, r.sql) for r in spark.read.parquet(out).collect()) == [(0, "q1"), (1, "q2")]
+
+
+def test_the_listing_query_runs_the_rule_of_the_listing(spark, monkeypatch):
+    from plansieve import checks
+
+    called = []
+    rule = L.finished_logs
+    monkeypatch.setattr(L, "finished_logs", lambda *a, **k: called.append(1) or rule(*a, **k))
+    assert checks.list_logs_by_day(spark, "/root/testdata/sf0.001").columns == ["name", "mtime_ms", "day_before"] and called
