@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansieve.llm import bytebpe, decontaminate, lattice, licenses, mainhtml, neardup, packing, quality, sharding, substrings, warc
+from plansieve.llm import alignment, bytebpe, decontaminate, lattice, licenses, mainhtml, neardup, packing, quality, sharding, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": mainhtml.op8_html_extraction,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_minhash_forest": neardup.op10_minhash_forest,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op13_byte_bpe": bytebpe.op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {
