@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansieve.llm import alignment, bytebpe, decontaminate, lattice, licenses, mainhtml, neardup, packing, quality, sharding, substrings, warc
+from plansieve.llm import alignment, bytebpe, decontaminate, lattice, licenses, mainhtml, neardup, packing, prefixtrie, quality, sharding, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_minhash_forest": neardup.op10_minhash_forest,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_prefix_trie": prefixtrie.op12_prefix_trie,
     "op13_byte_bpe": bytebpe.op13_byte_bpe,
 }
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
     "op6_quality_rules": quality.OP6_SQL,
+    "op12_prefix_trie": prefixtrie.OP12_SQL,
 }
