@@ -32,7 +32,8 @@ from plansieve.llm.common import table, text_of
 
 REMEMBERED_WORDS = 400_000
 REMEMBERED_LENGTH = 64
-IDS_PER_BATCH = 2_000_000
+CHARACTERS_AT_ONCE = 1_000_000
+FEW_CHARACTERS = 0x10000
 
 
 # --- the vocabulary ------------------------------------------------------------------------------------
@@ -104,11 +105,14 @@ def _ranges(chars: str) -> str:
 
 
 @lru_cache(4)
-def word_pattern(pattern: str) -> str:
-    """The word pattern with its character classes written out as the tiktoken library understands them."""
+def word_pattern(pattern: str, end: int = 0x110000) -> str:
+    """The word pattern with its character classes written out as the tiktoken library understands them.
+
+    With ``end`` only characters below it are listed, for texts that have no others: short classes are matched faster.
+    """
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, end)]))
     single = {bytes([b]): b for b in range(256)}
 
     def members(cls: str) -> str:
@@ -130,30 +134,38 @@ def word_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-class Words(dict):
-    """Words of the pattern to their token ids; remembers short words it has met."""
+class Encoder:
+    """Token ids of whole texts, as 32-bit numbers in bytes; remembers the short words it has met."""
 
-    def __init__(self, model: bytes, numbers: np.ndarray, cut: str):
+    def __init__(self, model: bytes, numbers: np.ndarray, *patterns: str):
         import sentencepiece
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.numbers = numbers
         self.letters = dict(enumerate(byte_letters()))
-        self.whole = {self.pieces.id_to_piece(k): int(n) for k, n in enumerate(numbers)}
-        self.findall = re.compile(cut).findall
-
-    def __missing__(self, word: str) -> list[int]:
-        spelled = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        token = self.whole.get(spelled)
-        ids = [token] if token is not None else self.numbers[self.pieces.encode(spelled)].tolist()
-        if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids in map(self.__getitem__, self.findall(text)) for i in ids]
+        self.whole = {self.pieces.id_to_piece(k): n.tobytes() for k, n in enumerate(numbers)}
+        self.few, self.every = (re.compile(p).findall for p in patterns)
+        self.beyond = re.compile(f"[^\\x00-{chr(FEW_CHARACTERS - 1)}]").search
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words by one call of the model; a word that is a token as a whole is that token."""
+        words = list(words)
+        spelled = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for w in words]
+        cut = iter(self.pieces.encode([x for x in spelled if x not in self.whole], num_threads=1))
+        return {w: self.whole.get(x) or self.numbers[next(cut)].tobytes() for w, x in zip(words, spelled)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [(self.every if self.beyond(t) else self.few)(t) for t in texts]
+        if len(self.known) >= REMEMBERED_WORDS:
+            self.known.clear()
+        met = self.learn(set().union(*cut).difference(self.known))
+        long = {w: ids for w, ids in met.items() if len(w) > REMEMBERED_LENGTH}
+        self.known.update(met)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        for word in long:
+            del self.known[word]
+        return out
 
 
 class Vocabulary:
@@ -164,36 +176,39 @@ class Vocabulary:
         numbers = np.array(sorted(ranks.values()), np.int32)
         if len(set(ranks.values())) != len(ranks):
             raise ValueError("two tokens of the vocabulary have one rank")
-        self.shared = spark.sparkContext.broadcast((serialise(ranks), numbers, word_pattern(pattern)))
+        patterns = word_pattern(pattern, FEW_CHARACTERS), word_pattern(pattern)
+        self.shared = spark.sparkContext.broadcast((serialise(ranks), numbers, *patterns))
 
 
 # --- encoding and decoding -----------------------------------------------------------------------------
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """Where each portion of the texts begins, and its texts: some characters' worth at a time."""
+    begin, texts, n = 0, [], 0
+    for text in batch.column("text"):
+        texts.append(text.as_py())
+        n += len(texts[-1])
+        if n >= CHARACTERS_AT_ONCE:
+            yield begin, texts
+            begin, texts, n = begin + len(texts), [], 0
+    if texts:
+        yield begin, texts
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids (array of int): the token ids of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     shared = vocabulary.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(*shared.value)
-
-        def rows(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-            ends = np.cumsum([0, *map(len, ids)])
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), listed], schema=schema)
-
+        encoder = Encoder(*shared.value)
         for batch in batches:
-            doc_ids, ids, n = [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                doc_ids.append(doc_id)
-                ids.append(np.array(words.encode(text.as_py()), np.int32))
-                n += len(ids[-1])
-                if n >= IDS_PER_BATCH:
-                    yield rows(doc_ids, ids)
-                    doc_ids, ids, n = [], [], 0
-            if doc_ids:
-                yield rows(doc_ids, ids)
+            for begin, texts in _portions(batch):
+                ids = encoder.encode(texts)
+                ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(ids)), listed], schema=schema)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"))
     return plain.mapInArrow(run, "doc_id long, ids array<int>")
@@ -210,13 +225,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        model, numbers, _ = shared.value
+        model, numbers, *_ = shared.value
         pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         token = {int(n): bytes(byte_of[c] for c in pieces.id_to_piece(k)) for k, n in enumerate(numbers)}
         for batch in batches:
             listed = batch.column("ids")
-            texts = [None if ids.as_py() is None else b"".join(map(token.__getitem__, ids.values.to_pylist())) for ids in listed]
+            texts = [b"".join(map(token.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else None for ids in listed]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), listed, pa.array(texts, pa.binary())], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
