@@ -73,15 +73,38 @@ def normalize_ids(plan: Column) -> Column:
     return F.element_at(F.transform(F.array(found), renumber), 1)
 
 
+# What a reader of SQL text meets, one token at a time. Every character belongs to a token.
+_GAP = r"(?:\s|--[^\n]*|/\*.*?\*/)++"
+_STRING = r"""(?:r'[^']*+'|r"[^"]*+"|'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+")"""
+_QUOTED_NAME = r"`(?:[^`]|``)*+`"
+# A number after a name and a point is a part of the name.
+_NAME = r"[\p{L}_][\p{L}\p{N}_]*+(?:\.\p{N}[\p{L}\p{N}_]*+)*+"
+_FRACTION = r"(?:(?:\d++\.\d*+|\.\d++)(?:e[+-]?\d++)?+(?:bd|[df])?+|\d++e[+-]?\d++(?:bd|[df])?+|\d++(?:bd|[df]))(?![\p{L}\p{N}_.])"
+_WHOLE = r"\d++(?![\p{L}\p{N}_.])"
+_OTHER_NUMBER = r"[\p{N}.][\p{L}\p{N}_.]*+"
+_SQL_TOKEN = f"(?is){_GAP}|{_STRING}|{_QUOTED_NAME}|{_NAME}|{_FRACTION}|{_WHOLE}|{_OTHER_NUMBER}|."
+
+
 def without_literals(sql: Column) -> Column:
-    """Blank string, fractional and integer literals and fold white space.
+    """Blank string, fractional and integer literals, drop comments and fold white space.
 
-    Texts that differ only in such constants become equal. Long (``123L``) literals stay.
+    Texts that differ only in such constants become equal. The text is read token by token, so that what looks like a literal
+    inside a string, a quoted name or a comment is not taken for one. Strings in either quotes, with doubled quotes or a backslash
+    before one, become ``''``; fractions, also with an exponent or one of the suffixes D, F and BD, ``0.0``; whole numbers ``0``. Names in
+    back quotes stay as they are, and so do numbers with another suffix (``123L``).
     """
-    text = F.regexp_replace(sql, r"'(?:[^']|'')*'", "''")
-    text = F.regexp_replace(text, r"(?<![\w.])\d+\.\d*(?![\w.])", "0.0")
-    text = F.regexp_replace(text, r"(?<![\w.])\d+(?![\w.])", "0")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    def blank(token: Column) -> Column:
+        return (
+            F.when(token.rlike(f"(?is)^{_STRING}$"), F.lit("''"))
+            .when(token.rlike(f"(?is)^{_GAP}$"), F.lit(" "))
+            .when(token.rlike(f"(?i)^{_FRACTION}$"), F.lit("0.0"))
+            .when(token.rlike(f"^{_WHOLE}$"), F.lit("0"))
+            .otherwise(token)
+        )
+
+    tokens = F.regexp_extract_all(sql, F.lit(_SQL_TOKEN), F.lit(0))
+    return F.trim(F.array_join(F.transform(tokens, blank), ""))
 
 
 def fingerprint(sql: Column) -> Column:

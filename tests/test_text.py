@@ -57,6 +57,16 @@ def test_normalize_ids(spark, value, want):
             "select * from t1 where a='' and b=0.0 and c = 0 and d=123L",
         ),
         ("select  a1,\n t.2x from t2 where x in (1, 22)", "select a1, t.2x from t2 where x in (0, 0)"),
+        ("select 'it\\'s', 5 from t where a = 'x'", "select '', 0 from t where a = ''"),
+        ("select 'it''s' || \"say \\\"7\\\"\", r'c:\\' from t", "select '' || '', '' from t"),
+        ("select 1 -- it's 7\nfrom t /* 'a 3 */ where b='y'", "select 0 from t where b=''"),
+        ("select `col 7`, `a``b 1` from `t 2`", "select `col 7`, `a``b 1` from `t 2`"),
+        ("select 1.5E3, 2.5e-3, 1e5, .5, 1.5D, 2.5BD, 3F, 7.", "select " + ", ".join(["0.0"] * 8)),
+        ("select 12L, 0x1F, 1.2.3, a.1, b1e5, x'1F', 5-3 from t1e2", "select 12L, 0x1F, 1.2.3, a.1, b1e5, x'', 0-0 from t1e2"),
+        ("select 'open and 5", "select 'open and 0"),
+        ("select 'é 1', é1, 日本2 from t", "select '', é1, 日本2 from t"),
+        ("", ""),
+        (None, None),
     ],
 )
 def test_without_literals(spark, value, want):
