@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansieve import samples
-from plansieve.events import COMMON_EVENT_TYPES, JOB_START, STAGE_COMPLETED
+from plansieve.events import COMMON_EVENT_TYPES, JOB_START, PLAN_UPDATE, STAGE_COMPLETED
 from plansieve.functions import text
 from plansieve.functions.links import execution_link, stage_link
 from plansieve.operators import compare, context, detectors, findings, tables as table_audit
@@ -300,11 +300,11 @@ def decode_execution_starts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(EVENTS + """
-SELECT log_id, event_id, CASE WHEN event_id % 10 = 3 THEN 'broken json' ELSE 'no event tag' END AS reason
-FROM e WHERE event_id % 10 IN (3, 4, 5, 6)
+SELECT log_id, event_id, CASE event_id % 10 WHEN 3 THEN 'broken json' WHEN 7 THEN 'broken plan' ELSE 'no event tag' END AS reason
+FROM e WHERE event_id % 10 IN (3, 4, 5, 6) OR event_id % 10 = 7 AND event_id // 10 % 5 < 4
 """)
 def find_corrupt_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines cut short, indented, emptied or without a tag are listed and do not stop the rest."""
+    """Lines cut short, indented, emptied, without a tag or with a malformed plan are listed and do not stop the rest."""
     return _event_id(corrupt_lines(_damaged(spark, sf))).select("log_id", "event_id", "reason")
 
 
@@ -312,12 +312,20 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     logs = samples.context_lines(spark, sf)
     damage = F.col("ord") % 10
     value = F.col("value")
+    # Plan updates whose node has, in turn, a null child, text for children, text for a metric id, a number for a name, or no fault.
+    head = F.concat(F.lit(f'{{"Event":"{PLAN_UPDATE}","executionId":'), F.col("ord"), F.lit(',"sparkPlanInfo":{"nodeName":'))
+    faults = [
+        '"A","children":[null],"metrics":[]', '"A","children":"x","metrics":[]', '"A","children":[],"metrics":[{"name":"m","accumulatorId":"7"}]',
+        '1,"children":[],"metrics":[]', '"A","simpleString":"A","children":[],"metrics":[]',
+    ]
+    plan = F.concat(head, F.get(F.array(*map(F.lit, faults)), (F.floor(F.col("ord") / 10) % 5).cast("int")), F.lit("}}"))
     return logs.withColumn(
         "value",
         F.when(damage == 3, F.expr("substr(value, 1, length(value) - 1)"))
         .when(damage == 4, F.concat(F.lit(" "), value))
         .when(damage == 5, F.lit(""))
         .when(damage == 6, F.regexp_replace(value, '"Event"', '"event"'))
+        .when(damage == 7, plan)
         .otherwise(value),
     )
 
@@ -449,8 +457,10 @@ def stage_links(spark: SparkSession, sf: str) -> DataFrame:
 @query(PLANS + "SELECT log_id, k AS execution_id, no AS node_no, path, name AS node_name, txt AS simple_string, nc AS n_children FROM n")
 def flatten_plan_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """O24."""
-    return tree.plan_nodes(_trees(spark, sf)).select(
-        "log_id", "execution_id", *_long("node_no"), F.array_join("path", ".").alias("path"), "node_name", "simple_string", *_long("n_children")
+    nodes = F.col("nodes")
+    with_path = F.transform(nodes, lambda n: n.withField("path", F.array_join(tree.path(nodes, n).cast("array<string>"), ".")))
+    return tree.plan_nodes(_trees(spark, sf).withColumn("nodes", with_path)).select(
+        "log_id", "execution_id", *_long("node_no"), "path", "node_name", "simple_string", *_long("n_children")
     )
 
 
@@ -499,13 +509,14 @@ def subtree_hash_partitions(spark: SparkSession, sf: str) -> DataFrame:
 , d AS (
   SELECT k, log_id, no, parts, unnest(range(len(parts) + 1)) AS i
   FROM (SELECT k, log_id, no, CASE WHEN path = '' THEN [] ELSE string_split(path, '.') END AS parts FROM n))
-SELECT d.log_id, d.k AS execution_id, d.no AS node_no, a.no AS ancestor_no, len(d.parts) - d.i AS distance
-FROM d JOIN n a ON a.k = d.k AND a.path = array_to_string(d.parts[1:d.i], '.')
+SELECT d.log_id, d.k AS execution_id, d.no AS node_no, string_agg(a.no || ':' || (len(d.parts) - d.i), ',' ORDER BY d.i) AS ancestors
+FROM d JOIN n a ON a.k = d.k AND a.path = array_to_string(d.parts[1:d.i], '.') GROUP BY ALL
 """)
 def plan_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    """O28."""
-    return tree.ancestors(_trees(spark, sf)).select(
-        "log_id", "execution_id", *_long("node_no", "ancestor_no", "distance")
+    """Each node's ancestors from the root down, and itself, with their distance (``0:2,1:1,4:0``)."""
+    listed = F.transform("ancestors", lambda a: F.concat_ws(":", a["ancestor_no"].cast("string"), a["distance"].cast("string")))
+    return tree.ancestor_lists(_trees(spark, sf)).select(
+        "log_id", "execution_id", *_long("node_no"), F.array_join(listed, ",").alias("ancestors")
     )
 
 
@@ -515,7 +526,7 @@ SELECT log_id, k AS execution_id, parent_no, side, node_no, node_name, hash_part
 def first_shuffle_under_join(spark: SparkSession, sf: str) -> DataFrame:
     """O29."""
     tables = _plans(spark, sf)
-    trees = tree.plan_trees(tree.mentioning(tree.plan_updates(tables), "SortMergeJoin"))
+    trees = tree.plan_trees(tree.plan_updates(tables, words=("SortMergeJoin",)))
     return tree.first_shuffles(tree.shuffles_below_inputs(trees), context.metrics(tables)).select(
         "log_id", "execution_id", *_long("parent_no", "side", "node_no"), "node_name", "hash_partitions", "partitions"
     )
@@ -539,7 +550,7 @@ def plan_cost_tree(spark: SparkSession, sf: str) -> DataFrame:
     """O31."""
     tables = _plans(spark, sf)
     costs = cost.plan_cost(tree.plan_trees(tree.plan_updates(tables)), context.metrics(tables))
-    return costs.select("log_id", "execution_id", *_long("node_no", "parent_no"), "rows")
+    return cost.cost_nodes(costs).select("log_id", "execution_id", *_long("node_no", "parent_no"), "rows")
 
 
 @query(COSTS + """
@@ -551,7 +562,7 @@ def simplified_cost_tree(spark: SparkSession, sf: str) -> DataFrame:
     """O32."""
     tables = _plans(spark, sf)
     costs = cost.simplified_cost(tree.plan_trees(tree.plan_updates(tables)), context.metrics(tables))
-    return costs.select("log_id", "execution_id", *_long("node_no", "parent_no"), "rows")
+    return cost.cost_nodes(costs).select("log_id", "execution_id", *_long("node_no", "parent_no"), "rows")
 
 
 @query(COSTS + """
@@ -655,7 +666,8 @@ def custom_detector(spark: SparkSession, sf: str) -> DataFrame:
 
     @detectors.detector("filtered_plan")
     def filtered_plan(tables: EventTables) -> DataFrame:
-        found = detectors.match_nodes(tables, F.col("node_name") == "Filter", ("Filter",))
+        tables = tables.once(("Filter",))
+        found = detectors.match_nodes(tables, F.col("node_name") == "Filter", ("Filter",), where=tree.has_name("Filter"))
         found = found.select("log_id", "execution_id").dropDuplicates()
         return findings.as_findings(detectors.with_context(found, tables, BASE_URL), "filtered_plan", [])
 
@@ -870,17 +882,18 @@ def compare_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 # Quotes are spelled chr(39), which both dialects read alike.
 STATEMENT = """concat('select  * from t', o_orderkey % 2, ' where k = ', o_orderkey % 7, ' and s = ', chr(39), o_orderstatus,
- chr(39), ' and p > ', o_orderkey % 3, '.5 and d = ', o_orderkey % 4, 'L')"""
+ chr(39), ' and p > ', o_orderkey % 3, '.5 and d = ', o_orderkey % 4, 'L and e < ', o_orderkey % 5, '.5E', o_orderkey % 3, ' and f = ', chr(39), 'it',
+ chr(92), chr(39), 's ', o_orderkey % 3, chr(39), ' -- it', chr(39), 's ', o_orderkey % 8, chr(10), ' and `c 7` = ', o_orderkey % 9, 'e2 /* ', o_orderkey, ' */')"""
 
 
 @query(f"""
 WITH s AS (
   SELECT {STATEMENT} AS sql, CAST(floor(o_totalprice) AS BIGINT) AS ms,
-         concat('select * from t', o_orderkey % 2, ' where k = 0 and s = '''' and p > 0.0 and d = ', o_orderkey % 4, 'L') AS text FROM orders)
+         concat('select * from t', o_orderkey % 2, ' where k = 0 and s = '''' and p > 0.0 and d = ', o_orderkey % 4, 'L and e < 0.0 and f = '''' and `c 7` = 0.0') AS text FROM orders)
 SELECT md5(text) AS fingerprint, text, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total_ms, min(sql) AS example FROM s GROUP BY text
 """)
 def literal_free_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Statements that differ in literals meet; those that differ in table or Long literal do not."""
+    """Statements that differ in literals and comments meet; those that differ in table or Long literal do not."""
     executions = samples.table(spark, sf, "orders").select(
         F.expr(STATEMENT).alias("sql"), F.floor("o_totalprice").cast("bigint").alias("duration_ms")
     )

@@ -71,5 +71,20 @@ SORT_MERGE_JOINS_WITH_SKEW = ("SortMergeJoin", "SortMergeJoin(skew=true)")
 POSITION_CALLS = ("position(", "locate(")
 FINAL_PLAN_TEXT = "AdaptiveSparkPlan isFinalPlan=true"
 
+HASH_EXCHANGE = "Exchange hashpartitioning"
+# Texts that the detectors look for in nodes, by the name under which a plan's signature says whether it has them.
+PLAN_MARKS = {
+    "dynamic_pruning": "SubqueryBroadcast dynamicpruning",
+    "nested_loop": "BroadcastNestedLoopJoin",
+    "like": " LIKE ",
+    "position": "position(",
+    "locate": "locate(",
+    "sort_merge": "SortMergeJoin",
+    "coalesced": " coalesced",
+    "left_outer": "LeftOuter",
+    "right_outer": "RightOuter",
+    "inner": "Inner",
+}
+
 ROWS_METRIC = "number of output rows"
 PARTITIONS_METRIC = "number of partitions"

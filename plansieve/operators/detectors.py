@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansieve.events import POSITION_CALLS, SORT_MERGE_JOINS
+from plansieve.events import PLAN_MARKS, POSITION_CALLS, SORT_MERGE_JOINS
 from plansieve.functions.links import DEFAULT_BASE_URL, execution_link, stage_link
 from plansieve.operators.context import applications, last_applications, metrics, sql_executions
 from plansieve.operators.findings import as_findings
@@ -24,6 +24,7 @@ from plansieve.sources.decode import EventTables
 DETECTORS: dict[str, Callable[..., DataFrame]] = {}
 # These ask for a node name, for which there is no default.
 NEEDS_OPTIONS = ("node_name", "outer_join_over")
+EXECUTIONS = "executions"
 
 
 def detector(name: str) -> Callable:
@@ -43,13 +44,17 @@ def run_detectors(
 
     Without names, all that need no argument or are given one run.
 
-    The log text is read and parsed once for all of them, into ``save_to`` or else the scratch folder.
+    The log text is read and parsed once for all of them, into ``save_to`` or else the scratch folder, and the
+    context of findings is gathered once.
     """
     if save_to:
         tables = tables.save(save_to)
     findings = None
     if names is None:
         names = [n for n in sorted(DETECTORS) if n in options or n not in NEEDS_OPTIONS]
+    if len(names) > 1:
+        tables = tables.once()
+        tables.keep(EXECUTIONS, lambda: stash(sql_executions(tables), EXECUTIONS))
     for name in names:
         found = DETECTORS[name](tables, **options.get(name, {}))
         findings = found if findings is None else findings.unionByName(found)
@@ -63,7 +68,8 @@ def with_context(found: DataFrame, tables: EventTables, base_url: str = DEFAULT_
     """
     found, tables = stash(found, "found"), tables.once()
     apps = applications(tables).select("log_id", "app_id", "attempt_id")
-    executions = sql_executions(tables, needed=found.select("log_id", "execution_id"))
+    needed = found.select("log_id", "execution_id")
+    executions = keep_needed(tables.kept(EXECUTIONS), needed) if tables.kept(EXECUTIONS) else sql_executions(tables, needed=needed)
     return (
         found.join(executions, ["log_id", "execution_id"], "left")
         .join(apps, "log_id", "left")
@@ -73,14 +79,22 @@ def with_context(found: DataFrame, tables: EventTables, base_url: str = DEFAULT_
 
 
 def match_nodes(
-    tables: EventTables, predicate: Column, words: tuple[str, ...] = (), include_initial_plans: bool = False
+    tables: EventTables,
+    predicate: Column,
+    words: tuple[str, ...] = (),
+    include_initial_plans: bool = False,
+    where: Column | None = None,
 ) -> DataFrame:
     """Plan nodes for which a predicate over the node columns holds.
 
-    ``words`` are texts every matching plan must contain; other plans are then skipped unparsed.
+    ``words`` are texts every matching plan must contain: on text, other plans are skipped unparsed. ``where`` is a condition on
+    what is known of a plan without its nodes (:func:`tree.has_name`, :func:`tree.has_mark`): of saved tables, other plans' nodes
+    are then not looked at.
     """
-    updates = tree.mentioning(tree.plan_updates(tables.once(), include_initial_plans), *words)
-    return tree.plan_nodes(tree.plan_trees(updates)).filter(predicate)
+    updates = tree.plan_updates(tables, include_initial_plans, words)
+    if where is not None:
+        updates = updates.filter(where)
+    return tree.plan_nodes(updates).filter(predicate)
 
 
 def _words(*words: str) -> tuple[str, ...]:
@@ -90,7 +104,9 @@ def _words(*words: str) -> tuple[str, ...]:
 @detector("node_name")
 def node_name_search(tables: EventTables, node_name: str, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Executions whose plan has a node of the given name."""
-    nodes = match_nodes(tables, F.col("node_name") == node_name, _words(node_name))
+    words = _words(node_name)
+    tables = tables.once(words)
+    nodes = match_nodes(tables, F.col("node_name") == node_name, words, where=tree.has_name(node_name))
     found = nodes.select("log_id", "execution_id", "node_name").dropDuplicates()
     return as_findings(with_context(found, tables, base_url), "node_name", ["node_name"])
 
@@ -98,11 +114,13 @@ def node_name_search(tables: EventTables, node_name: str, base_url: str = DEFAUL
 @detector("dynamic_pruning")
 def dynamic_pruning(tables: EventTables, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Executions that prune partitions by a broadcast subquery at run time."""
+    words = (PLAN_MARKS["dynamic_pruning"],)
+    tables = tables.once(words)
     nodes = match_nodes(
         tables,
-        (F.col("node_name") == "SubqueryBroadcast")
-        & F.col("simple_string").startswith("SubqueryBroadcast dynamicpruning"),
-        ("SubqueryBroadcast dynamicpruning",),
+        (F.col("node_name") == "SubqueryBroadcast") & F.col("simple_string").startswith(PLAN_MARKS["dynamic_pruning"]),
+        words,
+        where=tree.has_mark("dynamic_pruning"),
     )
     found = nodes.select("log_id", "execution_id").dropDuplicates()
     return as_findings(with_context(found, tables, base_url), "dynamic_pruning", [])
@@ -111,13 +129,14 @@ def dynamic_pruning(tables: EventTables, base_url: str = DEFAULT_BASE_URL) -> Da
 @detector("outer_join_over")
 def outer_join_over(tables: EventTables, child_name: str, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Outer sort-merge joins whose preserved side is directly a node of the given name."""
-    updates = tree.mentioning(tree.plan_updates(tables.once()), "SortMergeJoin", *_words(child_name))
+    words = ("SortMergeJoin", *_words(child_name))
+    tables = tables.once(words)
+    updates = tree.plan_updates(tables, words=words).filter(tree.has_mark("left_outer", "right_outer") & tree.has_name(child_name))
     nodes = F.col("nodes")
 
     def outer_over(child: Column) -> Column:
         # The child looks up its parent in the plan's own array.
-        parent = tree.node_at(nodes, F.element_at(F.concat(F.array(F.lit(-1)), child["lineage"]), -1))
-        side = F.element_at(F.concat(F.array(F.lit(-1)), child["path"]), -1)
+        parent, side = tree.node_at(nodes, child["parent_no"]), child["child_pos"]
         text = parent["simple_string"]
         return (
             (child["node_name"] == child_name)
@@ -125,12 +144,7 @@ def outer_join_over(tables: EventTables, child_name: str, base_url: str = DEFAUL
             & (((side == 0) & text.contains("LeftOuter")) | ((side == 1) & text.contains("RightOuter")))
         )
 
-    found = (
-        tree.plan_trees(updates)
-        .filter(F.exists(nodes, outer_over))
-        .select("log_id", "execution_id")
-        .dropDuplicates()
-    )
+    found = updates.filter(F.exists(nodes, outer_over)).select("log_id", "execution_id").dropDuplicates()
     return as_findings(with_context(found, tables, base_url), "outer_join_over", [])
 
 
@@ -139,10 +153,11 @@ def uneven_shuffle(
     tables: EventTables, parents: tuple[str, ...] = SORT_MERGE_JOINS, base_url: str = DEFAULT_BASE_URL
 ) -> DataFrame:
     """Sort-merge joins of a plain shuffle with a shuffle whose partitions were coalesced."""
-    tables = tables.once()
-    updates = tree.mentioning(tree.plan_updates(tables), "SortMergeJoin", " coalesced")
+    words = ("SortMergeJoin", PLAN_MARKS["coalesced"])
+    tables = tables.once(words)
+    updates = tree.plan_updates(tables, words=words).filter(tree.has_mark("sort_merge") & tree.has_mark("coalesced"))
     # Only readers below such joins name a metric of interest, so few of all metrics are gathered.
-    reached = stash(tree.shuffles_below_inputs(tree.plan_trees(updates), parents), "reached")
+    reached = stash(tree.shuffles_below_inputs(updates, parents), "reached")
     needed = reached.select("log_id", F.col("partitions_id").alias("accumulator_id"))
     joins = tree.uneven_joins(reached, metrics(tables, needed))
     found = joins.groupBy("log_id", "execution_id").agg(F.bool_or("unclear").alias("unclear"))
@@ -159,9 +174,10 @@ def string_match_kind(text: Column) -> Column:
 def nested_loop_matches(tables: EventTables, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """(log_id, execution_id, kind, url, query_id, sql, start_ms, end_ms, duration_ms, seconds)."""
     kind = string_match_kind(F.col("simple_string"))
-    nodes = match_nodes(
-        tables, (F.col("node_name") == "BroadcastNestedLoopJoin") & kind.isNotNull(), ("BroadcastNestedLoopJoin",)
-    )
+    words = (PLAN_MARKS["nested_loop"],)
+    tables = tables.once(words)
+    where = tree.has_mark("nested_loop") & tree.has_mark("like", "position", "locate")
+    nodes = match_nodes(tables, (F.col("node_name") == "BroadcastNestedLoopJoin") & kind.isNotNull(), words, where=where)
     found = nodes.select("log_id", "execution_id", kind.alias("kind")).dropDuplicates()
     return with_context(found, tables, base_url).withColumn("seconds", F.expr("duration_ms DIV 1000"))
 
@@ -242,21 +258,18 @@ def schedule_delay(tables: EventTables, threshold_ms: int = 4 * 60 * 1000, base_
     return as_findings(found, "schedule_delay", details)
 
 
-def long_final_plans(tables: EventTables, min_duration_ms: int = 30, words: tuple[str, ...] = ()) -> DataFrame:
-    """Final plans of executions that took longer than ``min_duration_ms``.
+def long_final_plans(tables: EventTables, min_duration_ms: int = 30, words: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+    """(plan key, outline) of the final plans of executions that took longer than ``min_duration_ms``.
 
     Keys meet first, and only keys: what a plan weighs is not shuffled to find out that it is not wanted.
     """
-    final = tree.mentioning(tree.plan_updates(tables), *words).filter("is_final")
+    final = tree.plan_updates(tables, words=words).filter("is_final")
+    final = costs.outlines(final if where is None else final.filter(where))
     long_ones = sql_executions(tables).filter(F.col("duration_ms") > min_duration_ms).select("log_id", "execution_id")
     keys = stash(final.select("log_id", "execution_id").distinct().join(long_ones, ["log_id", "execution_id"], "left_semi"), "long_plans")
     return final.join(keys, ["log_id", "execution_id"], "left_semi")
 
 
-def _joins_two_inputs(node: Column) -> Column:
-    return node["node_name"].endswith("Join") & node["simple_string"].contains("Inner") & (node["n_children"] == 2)
-
-
 def costly_small_side_joins(
     tables: EventTables,
     min_duration_ms: int = 30,
@@ -265,9 +278,10 @@ def costly_small_side_joins(
     agg_input_rows: int = 1_000_000,
 ) -> DataFrame:
     """(plan key, node_no, rows, left_rows, right_rows) of inner joins that a small side should have made cheap."""
-    tables = tables.once()
-    trees = tree.plan_trees(long_final_plans(tables, min_duration_ms, ("Join", "Inner"))).filter(F.exists("nodes", _joins_two_inputs))
-    simplified = costs.simplified_cost(trees, metrics(tables))
+    words = ("Join", "Inner")
+    tables = tables.once(words)
+    plans = long_final_plans(tables, min_duration_ms, words, tree.has_mark("inner")).filter(F.exists("outline", lambda n: n["is_inner_join"]))
+    simplified = costs.simplified_cost(plans, metrics(tables))
     return costs.small_side_joins(simplified, big_rows, small_rows, agg_input_rows)
 
 
@@ -281,11 +295,11 @@ def costly_small_side_join(
     base_url: str = DEFAULT_BASE_URL,
 ) -> DataFrame:
     """Large inner joins that keep only as many rows as their small side, with both cost trees drawn."""
-    tables = tables.once()
+    tables = tables.once(("Join", "Inner"))
     joins = stash(costly_small_side_joins(tables, min_duration_ms, big_rows, small_rows, agg_input_rows), "joins")
     # Only plans that hold a finding are drawn, and only their metrics count.
-    drawn = stash(keep_needed(tree.plan_trees(tree.plan_updates(tables)), joins.select(*tree.PLAN_KEY)), "drawn")
-    ids = F.explode(F.flatten(F.transform("nodes", lambda n: n["metrics"]["accumulator_id"])))
+    drawn = stash(keep_needed(costs.outlines(tree.plan_updates(tables)), joins.select(*tree.PLAN_KEY)), "drawn")
+    ids = F.explode(F.transform("outline", lambda n: n["rows_id"]))
     metric_values = metrics(tables, drawn.select("log_id", ids.alias("accumulator_id")))
     join_text = costs.cost_text(costs.simplified_cost(drawn, metric_values), joins).withColumnRenamed("text", "join_cost")
     plan_text = costs.cost_text(costs.plan_cost(drawn, metric_values)).withColumnRenamed("text", "plan_cost")

@@ -11,17 +11,36 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plansieve.events import HASH_EXCHANGE, PLAN_MARKS
+
 METRIC_TYPE = T.StructType().add("name", T.StringType()).add("accumulator_id", T.LongType())
 NODE_TYPE = (
     T.StructType()
     .add("node_no", T.IntegerType())
-    .add("path", T.ArrayType(T.IntegerType()))
-    .add("lineage", T.ArrayType(T.IntegerType()))
+    .add("parent_no", T.IntegerType())
+    # Which child of its parent the node is, from 0.
+    .add("child_pos", T.IntegerType())
+    .add("depth", T.IntegerType())
+    # The nodes below a node are those after it up to this one.
+    .add("last_below", T.IntegerType())
+    # The first hash exchange among the node, its first child, that one's first child and so on.
+    .add("next_hash_exchange", T.IntegerType())
     .add("node_name", T.StringType())
     .add("simple_string", T.StringType())
     .add("n_children", T.IntegerType())
     .add("metrics", T.ArrayType(METRIC_TYPE))
 )
+# What a plan's node texts contain, known without reading its nodes.
+MARKS_TYPE = T.StructType([T.StructField(mark, T.BooleanType()) for mark in PLAN_MARKS])
+FLAT_TYPE = (
+    T.StructType()
+    .add("problem", T.StringType())
+    .add("execution_id", T.LongType())
+    .add("nodes", T.ArrayType(NODE_TYPE))
+    .add("names", T.ArrayType(T.StringType()))
+    .add("marks", MARKS_TYPE)
+)
+BROKEN_JSON, BROKEN_PLAN = "broken json", "broken plan"
 
 
 def _lists(offsets: list[int], values: pa.Array) -> pa.Array:
@@ -74,61 +93,135 @@ def _loads(text: str):
     return top[0]
 
 
-@F.arrow_udf(T.ArrayType(NODE_TYPE))
+def _whole(value, what: str) -> int | None:
+    """A 64-bit whole number or nothing; anything else is an error."""
+    if value is not None and (type(value) is not int or not -(1 << 63) <= value < 1 << 63):
+        raise ValueError(f"{what} is not a whole number")
+    return value
+
+
+def _text(value, what: str) -> str | None:
+    if value is not None and not isinstance(value, str):
+        raise ValueError(f"{what} is not text")
+    return value
+
+
+def _list(value, what: str) -> list:
+    if value is not None and not isinstance(value, list):
+        raise ValueError(f"{what} is not a list")
+    return value or []
+
+
+class _Plans:
+    """The columns of the nodes of many plans, filled plan by plan."""
+
+    def __init__(self):
+        self.columns: dict[str, list] = {f.name: [] for f in NODE_TYPE if f.name != "metrics"}
+        self.metric_at, self.metric_names, self.metric_ids = [0], [], []
+        self.plan_at = [0]
+
+    def add(self, root: dict | None) -> None:
+        """Number the nodes of one plan in depth-first order. A malformed plan raises and leaves the columns as they were."""
+        names, texts, parents, positions, depths, counts = [], [], [], [], [], []
+        metric_counts, metric_names, metric_ids = [], [], []
+        waiting = [(root, None, None, 0)] if root is not None else []
+        while waiting:
+            node, parent, position, depth = waiting.pop()
+            if not isinstance(node, dict):
+                raise ValueError("a node is not an object")
+            here, children = len(names), _list(node.get("children"), "children")
+            names.append(_text(node.get("nodeName"), "nodeName"))
+            texts.append(_text(node.get("simpleString"), "simpleString"))
+            parents.append(parent)
+            positions.append(position)
+            depths.append(depth)
+            counts.append(len(children))
+            metrics = _list(node.get("metrics"), "metrics")
+            for metric in metrics:
+                if not isinstance(metric, dict):
+                    raise ValueError("a metric is not an object")
+                metric_names.append(_text(metric.get("name"), "a metric's name"))
+                metric_ids.append(_whole(metric.get("accumulatorId"), "accumulatorId"))
+            metric_counts.append(len(metrics))
+            waiting.extend((children[i], here, i, depth + 1) for i in range(len(children) - 1, -1, -1))
+        last, exchange = list(range(len(names))), [None] * len(names)
+        # Children follow their parent, the first child directly, so one pass from the end fills both.
+        for i in range(len(names) - 1, -1, -1):
+            if parents[i] is not None and last[parents[i]] < last[i]:
+                last[parents[i]] = last[i]
+            if (texts[i] or "").startswith(HASH_EXCHANGE):
+                exchange[i] = i
+            elif counts[i]:
+                exchange[i] = exchange[i + 1]
+        found = {
+            "node_no": range(len(names)), "parent_no": parents, "child_pos": positions, "depth": depths, "last_below": last,
+            "next_hash_exchange": exchange, "node_name": names, "simple_string": texts, "n_children": counts,
+        }
+        for name, values in found.items():
+            self.columns[name].extend(values)
+        for n in metric_counts:
+            self.metric_at.append(self.metric_at[-1] + n)
+        self.metric_names.extend(metric_names)
+        self.metric_ids.extend(metric_ids)
+        self.plan_at.append(self.plan_at[-1] + len(names))
+
+    def nodes(self) -> pa.Array:
+        metric = pa.StructArray.from_arrays(
+            [pa.array(self.metric_names, pa.string()), pa.array(self.metric_ids, pa.int64())], ["name", "accumulator_id"]
+        )
+        arrays = []
+        for f in NODE_TYPE:
+            if f.name == "metrics":
+                arrays.append(_lists(self.metric_at, metric))
+            else:
+                arrays.append(pa.array(self.columns[f.name], pa.string() if f.dataType == T.StringType() else pa.int32()))
+        return _lists(self.plan_at, pa.StructArray.from_arrays(arrays, NODE_TYPE.names))
+
+
+@F.arrow_udf(FLAT_TYPE)
 def flatten_plan(lines: pa.Array) -> pa.Array:
-    """Nodes of each line's ``sparkPlanInfo`` in depth-first order; no nodes where there is no plan.
+    """Each line's ``sparkPlanInfo`` as nodes in depth-first order, with what tells beforehand what is in the plan.
 
     A recursive type has no Spark schema, and the built-in ways round that (a recursive CTE, a fold over
     VARIANT, a nested schema) cost a shuffle or a copy of the remaining tree per level. One pass per line
-    over Arrow batches has no depth limit; its cost is the plan's size plus, for path and lineage, the sum of
-    its nodes' depths.
+    over Arrow batches has no depth limit; its cost and the memory of its result are the plan's size.
+
+    ``problem`` says why a line has no nodes although it should: its JSON is broken, or its plan is.
     """
-    node_no, names, texts, n_children = [], [], [], []
-    path_at, paths, lineage_at, lineages = [0], [], [0], []
-    metric_at, metric_names, metric_ids = [0], [], []
-    plan_at = [0]
+    plans, problems, executions = _Plans(), [], []
+    names, marks = [], {mark: [] for mark in PLAN_MARKS}
     for line in lines:
+        root = execution = problem = None
         try:
-            root = _loads(line.as_py() or "null").get("sparkPlanInfo")
-        except (ValueError, AttributeError):
-            root = None
-        first = len(names)
-        waiting = [((), (), root)] if isinstance(root, dict) else []
-        while waiting:
-            path, lineage, node = waiting.pop()
-            here = len(names) - first
-            children = node.get("children") or []
-            node_no.append(here)
-            names.append(node.get("nodeName"))
-            texts.append(node.get("simpleString"))
-            n_children.append(len(children))
-            paths.extend(path)
-            path_at.append(len(paths))
-            lineages.extend(lineage)
-            lineage_at.append(len(lineages))
-            for metric in node.get("metrics") or []:
-                metric_names.append(metric.get("name"))
-                metric_ids.append(metric.get("accumulatorId"))
-            metric_at.append(len(metric_names))
-            below = lineage + (here,)
-            waiting.extend((path + (i,), below, children[i]) for i in range(len(children) - 1, -1, -1))
-        plan_at.append(len(names))
-    metric = pa.StructArray.from_arrays(
-        [pa.array(metric_names, pa.string()), pa.array(metric_ids, pa.int64())], ["name", "accumulator_id"]
-    )
-    node = pa.StructArray.from_arrays(
+            event = _loads(line.as_py() or "null")
+            if event is not None:
+                if not isinstance(event, dict):
+                    raise ValueError("the line is not an object")
+                execution, root = _whole(event.get("executionId"), "executionId"), event.get("sparkPlanInfo")
+        except (ValueError, LookupError, TypeError):
+            problem = BROKEN_JSON
+        first = plans.plan_at[-1]
+        try:
+            plans.add(root)
+        except ValueError:
+            problem = BROKEN_PLAN
+            plans.add(None)
+        texts = "\n".join(filter(None, plans.columns["simple_string"][first:]))
+        for mark, text in PLAN_MARKS.items():
+            marks[mark].append(text in texts)
+        names.append(sorted(set(filter(None, plans.columns["node_name"][first:]))))
+        problems.append(problem)
+        executions.append(execution)
+    return pa.StructArray.from_arrays(
         [
-            pa.array(node_no, pa.int32()),
-            _lists(path_at, pa.array(paths, pa.int32())),
-            _lists(lineage_at, pa.array(lineages, pa.int32())),
-            pa.array(names, pa.string()),
-            pa.array(texts, pa.string()),
-            pa.array(n_children, pa.int32()),
-            _lists(metric_at, metric),
+            pa.array(problems, pa.string()),
+            pa.array(executions, pa.int64()),
+            plans.nodes(),
+            pa.array(names, pa.list_(pa.string())),
+            pa.StructArray.from_arrays([pa.array(marks[m], pa.bool_()) for m in PLAN_MARKS], list(PLAN_MARKS)),
         ],
-        ["node_no", "path", "lineage", "node_name", "simple_string", "n_children", "metrics"],
+        FLAT_TYPE.names,
     )
-    return _lists(plan_at, node)
 
 
 # Not declared for randomness, but so that Catalyst never copies the call into a filter it pushes down (an

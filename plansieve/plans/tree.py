@@ -1,13 +1,15 @@
 """Logged physical plans as rows: flattening plan trees and questions about their shape.
 
 A logged plan is one JSON value of unbounded depth inside one line. It is flattened inside that line's row
-to an array of nodes in depth-first order; each node knows its ``lineage``, the positions of its ancestors in
-the array. Questions about ancestors are then array look-ups in the row and need neither recursion nor joins,
-so no node is shuffled before a question has narrowed the rows down.
+to an array of nodes in depth-first order. Each node knows the position of its parent and of the last node below it, so a
+node's ancestors are found by climbing and its subtree is a range of the array. Such questions are look-ups in the row and need
+neither recursion nor joins, so no node is shuffled before a question has narrowed the rows down.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,53 +22,57 @@ from plansieve.events import (
 )
 from plansieve.functions.text import hash_partition_count
 from plansieve.operators.context import lookup_metric
-from plansieve.plans.flatten import flatten_plan
 from plansieve.sources.decode import EventTables
 
 PLAN_KEY = ["log_id", "execution_id", "ord"]
-HASH_EXCHANGE = "Exchange hashpartitioning"
 
 
-def plan_updates(tables: EventTables, include_initial_plans: bool = False) -> DataFrame:
-    """(log_id, execution_id, ord, is_final, nodes or value): one row per logged plan.
+def plan_updates(tables: EventTables, include_initial_plans: bool = False, words: tuple[str, ...] = ()) -> DataFrame:
+    """(log_id, execution_id, ord, is_final, nodes, names, marks): one row per logged plan.
+
+    ``nodes`` is the tree in depth-first order; ``names`` and ``marks`` tell which node names and which of the texts
+    ``events.PLAN_MARKS`` are in it. Initial plans, logged with the start of an execution, are left out unless asked for.
 
-    Saved tables hold the tree as ``nodes``; otherwise it is still the line's text. Initial plans, logged with the
-    start of an execution, are left out unless asked for.
+    ``words`` are texts that every plan asked for contains: lines of text without them are spared the JSON parse. Words must be plain
+    letters, digits, blanks or ``(``, which JSON writes as they are (:func:`json_plain`).
     """
-    plans = tables.plans(*(("plan", "sql_start") if include_initial_plans else ("plan",)))
+    plans = tables.plans(*(("plan", "sql_start") if include_initial_plans else ("plan",)), words=words)
     return plans.select(
         "log_id",
         F.col("executionId").alias("execution_id"),
         "ord",
-        F.coalesce(F.col("sparkPlanInfo.simpleString") == FINAL_PLAN_TEXT, F.lit(False)).alias("is_final"),
-        plans.columns[-1],
+        F.coalesce(F.get("nodes", F.lit(0))["simple_string"] == FINAL_PLAN_TEXT, F.lit(False)).alias("is_final"),
+        "nodes",
+        "names",
+        "marks",
     )
 
 
-def mentioning(updates: DataFrame, *words: str) -> DataFrame:
-    """Keep plans whose text contains every word: a cheap test that spares other plans the JSON parse.
-
-    Words must be plain letters, digits, blanks or ``(``, which JSON writes as they are. Plans that are unfolded
-    already pass: nothing is left to spare.
-    """
-    for word in words if "value" in updates.columns else ():
-        updates = updates.filter(F.col("value").contains(word))
-    return updates
-
-
 def json_plain(word: str) -> bool:
     """Whether JSON writes ``word`` as it is, so that it can be searched in raw lines."""
     return word.isascii() and word.isprintable() and not set(word) & set('"\\/<>&\'')
 
 
+def has_name(*names: str) -> Column:
+    """Whether a plan has a node of one of the names."""
+    return F.arrays_overlap("names", F.array(*map(F.lit, names)))
+
+
+def has_mark(*marks: str) -> Column:
+    """Whether a plan has one of the marks. Written so that a saved table's pages without it are passed over."""
+    found = F.col(f"marks.{marks[0]}") == F.lit(True)
+    for mark in marks[1:]:
+        found = found | (F.col(f"marks.{mark}") == F.lit(True))
+    return found
+
+
 def plan_trees(updates: DataFrame) -> DataFrame:
-    """Each plan's ``nodes`` in depth-first order, unfolded here unless they are stored."""
-    nodes = F.col("nodes") if "nodes" in updates.columns else flatten_plan("value").alias("nodes")
-    return updates.select("log_id", "execution_id", "ord", "is_final", nodes)
+    """Each plan's key and ``nodes``."""
+    return updates.select("log_id", "execution_id", "ord", "is_final", "nodes")
 
 
 def plan_nodes(trees: DataFrame) -> DataFrame:
-    """One row per plan node. Breadth-first order of a plan is ``orderBy(size(path), path)``."""
+    """One row per plan node. Breadth-first order of a plan is ``orderBy(depth, node_no)``."""
     return trees.select("log_id", "execution_id", "ord", "is_final", F.inline("nodes"))
 
 
@@ -83,40 +89,64 @@ def collect_nodes(trees: DataFrame, predicate) -> DataFrame:
     """(plan key, matches): per plan, the nodes for which ``predicate(node)`` holds, in breadth-first order."""
     matches = F.filter("nodes", predicate)
     ordered = F.array_sort(
-        F.transform(matches, lambda n: F.struct(F.size(n["path"]).alias("depth"), n["path"].alias("path"), n.alias("node")))
+        F.transform(matches, lambda n: F.struct(n["depth"].alias("depth"), n["node_no"].alias("node_no"), n.alias("node")))
     )
     return trees.select(*PLAN_KEY, F.transform(ordered, lambda o: o["node"]).alias("matches"))
 
 
-def ancestors(trees: DataFrame) -> DataFrame:
-    """(plan key, node_no, ancestor_no, distance): every node with itself and each of its ancestors."""
-    pairs = F.flatten(
-        F.transform(
-            "nodes",
-            lambda n: F.transform(
-                F.concat(n["lineage"], F.array(n["node_no"])),
-                lambda a, i: F.struct(
-                    n["node_no"].alias("node_no"),
-                    a.alias("ancestor_no"),
-                    (F.size(n["lineage"]) - i).alias("distance"),
-                ),
-            ),
+def climb(nodes: Column, node: Column, start: Column, step: Callable[[Column, Column, Column], Column]) -> Column:
+    """Fold over the ancestors of ``node`` from its parent up: ``step(found, ancestor, node below it)`` gives the next ``found``."""
+    found = start.alias("found")
+    begin = F.struct(node["parent_no"].alias("at"), node["node_no"].alias("via"), found)
+
+    def up(state: Column, _: Column) -> Column:
+        ancestor = node_at(nodes, state["at"])
+        return F.struct(
+            ancestor["parent_no"].alias("at"),
+            state["at"].alias("via"),
+            step(state["found"], ancestor, node_at(nodes, state["via"])).alias("found"),
         )
-    )
-    return trees.select(*PLAN_KEY, F.inline(pairs))
 
+    levels = F.when(node["depth"] > 0, F.sequence(F.lit(1), node["depth"])).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, begin, up)["found"]
 
-def first_child_chain(nodes: Column, node_no: Column) -> Column:
-    """The node and its first child, that one's first child and so on: neighbours in depth-first order."""
-    rest = F.slice(nodes, node_no + 1, F.size(nodes))
-    length = F.array_position(F.transform(rest, lambda n: n["n_children"]), F.lit(0))
-    return F.slice(nodes, node_no + 1, length.cast("int"))
+
+def path(nodes: Column, node: Column) -> Column:
+    """Which child to take at each step from the root down to the node; empty for the root."""
+    return climb(nodes, node, F.array().cast("array<int>"), lambda steps, _, below: F.concat(F.array(below["child_pos"]), steps))
+
+
+def lineage(nodes: Column, node: Column) -> Column:
+    """ARRAY<STRUCT<ancestor_no, distance>> of the node's ancestors from the root down, and itself at distance 0."""
+    itself = F.array(F.struct(node["node_no"].alias("ancestor_no"), F.lit(0).alias("distance")))
+
+    def step(found: Column, ancestor: Column, _: Column) -> Column:
+        above = F.struct(ancestor["node_no"].alias("ancestor_no"), (node["depth"] - ancestor["depth"]).alias("distance"))
+        return F.concat(F.array(above), found)
+
+    return climb(nodes, node, itself, step)
+
+
+def is_below(node: Column, top: Column) -> Column:
+    """Whether a node is in the subtree of another one of its plan, itself included."""
+    return (node["node_no"] >= top["node_no"]) & (node["node_no"] <= top["last_below"])
+
+
+def ancestor_lists(trees: DataFrame) -> DataFrame:
+    """(plan key, node_no, ancestors): every node with the list of its ancestors, from the root down, and itself."""
+    nodes = F.col("nodes")
+    listed = F.transform(nodes, lambda n: F.struct(n["node_no"].alias("node_no"), lineage(nodes, n).alias("ancestors")))
+    return trees.select(*PLAN_KEY, F.inline(listed))
+
+
+def ancestors(trees: DataFrame) -> DataFrame:
+    """(plan key, node_no, ancestor_no, distance): every node with itself and each of its ancestors."""
+    return ancestor_lists(trees).select(*PLAN_KEY, "node_no", F.inline("ancestors"))
 
 
 def subtree_hash_partitions(nodes: Column, node_no: Column) -> Column:
     """Partition count of the first hash exchange on the node's first-child chain; NULL when there is none."""
-    hit = F.filter(first_child_chain(nodes, node_no), lambda n: n["simple_string"].startswith(HASH_EXCHANGE))
-    return hash_partition_count(F.get(hit, F.lit(0))["simple_string"])
+    return hash_partition_count(node_at(nodes, node_at(nodes, node_no)["next_hash_exchange"])["simple_string"])
 
 
 def _ends_search(name: Column) -> Column:
@@ -134,33 +164,30 @@ def shuffles_below_inputs(trees: DataFrame, parents: tuple[str, ...] = SORT_MERG
     One row per (plan, parent_no, side, node): the search reaches a node when nothing that ends a search
     lies between it and the input.
     """
-    shuffles = F.filter("nodes", lambda n: n["node_name"].isin("Exchange", *SHUFFLE_READERS))
+    nodes = F.col("nodes")
+    shuffles = F.filter(nodes, lambda n: n["node_name"].isin("Exchange", *SHUFFLE_READERS))
+    nothing = F.struct(F.lit(True).alias("is_open"), F.array().cast("array<struct<parent_no:int,side:int>>").alias("inputs"))
+
+    def step(found: Column, ancestor: Column, below: Column) -> Column:
+        # The nearest ancestor that ends a search hides the node from every join above it.
+        is_open = found["is_open"] & ~_ends_search(ancestor["node_name"])
+        here = F.array(F.struct(ancestor["node_no"].alias("parent_no"), below["child_pos"].alias("side")))
+        inputs = F.when(is_open & ancestor["node_name"].isin(*parents), F.concat(found["inputs"], here)).otherwise(found["inputs"])
+        return F.struct(is_open.alias("is_open"), inputs.alias("inputs"))
 
     def reached(n: Column) -> Column:
-        above = F.transform(n["lineage"], lambda a: node_at(F.col("nodes"), a)["node_name"])
-        # The deepest ancestor that ends a search hides the node from every join above it.
-        nearest_end = F.coalesce(
-            F.array_max(F.transform(above, lambda name, i: F.when(_ends_search(name), i))), F.lit(-1)
-        )
-        hits = F.transform(
-            above,
-            lambda name, i: F.when(
-                (i > nearest_end) & name.isin(*parents),
-                F.struct(
-                    F.get(n["lineage"], i).alias("parent_no"),
-                    F.get(n["path"], i).alias("side"),
-                    n["node_no"].alias("node_no"),
-                    n["node_name"].alias("node_name"),
-                    n["simple_string"].alias("simple_string"),
-                    metric_id(n["metrics"], PARTITIONS_METRIC).alias("partitions_id"),
-                    F.when(
-                        n["node_name"].isin(*SHUFFLE_READERS),
-                        subtree_hash_partitions(F.col("nodes"), n["node_no"]),
-                    ).alias("hash_partitions"),
-                ),
+        return F.transform(
+            climb(nodes, n, nothing, step)["inputs"],
+            lambda at: F.struct(
+                at["parent_no"].alias("parent_no"),
+                at["side"].alias("side"),
+                n["node_no"].alias("node_no"),
+                n["node_name"].alias("node_name"),
+                n["simple_string"].alias("simple_string"),
+                metric_id(n["metrics"], PARTITIONS_METRIC).alias("partitions_id"),
+                F.when(n["node_name"].isin(*SHUFFLE_READERS), subtree_hash_partitions(nodes, n["node_no"])).alias("hash_partitions"),
             ),
         )
-        return F.filter(hits, lambda h: h.isNotNull())
 
     return trees.select(*PLAN_KEY, F.inline(F.flatten(F.transform(shuffles, reached))))
 

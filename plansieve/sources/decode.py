@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansieve.events import COMMON_EVENT_TYPES, KINDS
-from plansieve.plans.flatten import flatten_plan
+from plansieve.plans.flatten import BROKEN_JSON, BROKEN_PLAN, flatten_plan
 from plansieve.session import scratch_path
 from plansieve.sources.lines import event_type_of, filter_event_types
 
+# Rows in a page of a saved table: the unit that a question about marks passes over.
+PAGE_ROWS = 500
 BAD_LINE = "_bad_line"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
 
 
 PLAN_KINDS = ("plan", "sql_start")
+NO_TAG = "no event tag"
 
 
 def _shallow(value: Column, is_plan: Column) -> Column:
@@ -43,8 +48,8 @@ def _kind(tag: Column, kinds: tuple[str, ...]) -> Column:
     return known
 
 
-def decode(lines: DataFrame, *kinds: str, keep_line: bool = False) -> DataFrame:
-    """(log_id, ord, kind[, value], fields of the kinds) of one or several event types in one scan.
+def decode(lines: DataFrame, *kinds: str) -> DataFrame:
+    """(log_id, ord, kind, fields of the kinds) of one or several event types in one scan.
 
     The tag test runs on the text before any JSON is parsed. Lines whose JSON is broken are left out
     here and listed by :func:`corrupt_lines`.
@@ -54,60 +59,67 @@ def decode(lines: DataFrame, *kinds: str, keep_line: bool = False) -> DataFrame:
     # A plain filter on the parsed event would be pushed below the projection and parse every line twice;
     # unfolding a list that is empty for a bad line parses once.
     good = F.filter(F.array(event), lambda e: e[BAD_LINE].isNull())
-    line = ["value"] if keep_line else []
     return (
         filter_event_types(lines, [KINDS[k][0] for k in kinds])
-        .select("log_id", "ord", _kind(F.col("event_type"), kinds).alias("kind"), *line, F.inline(good))
+        .select("log_id", "ord", _kind(F.col("event_type"), kinds).alias("kind"), F.inline(good))
         .drop(BAD_LINE)
     )
 
 
-def decode_all(lines: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def decode_all(lines: DataFrame, kinds: list[str] | None = None, words: tuple[str, ...] = ()) -> DataFrame:
     """One row per event with one typed column per kind, so a single pass over the text feeds a save.
 
-    ``nodes`` is the unfolded tree of events that carry a plan. The line itself is kept, with the reason, only
-    where it is not a tagged event or its JSON is broken.
+    ``nodes`` is the unfolded tree of events that carry a plan, ``names`` and ``marks`` tell what is in it. The line itself is
+    kept, with the reason, only where it is not a tagged event, its JSON is broken or its plan is malformed. The start of an execution
+    counts although its initial plan is malformed. With ``words`` only plan updates whose line contains them all are kept.
     """
     kinds = kinds or list(KINDS)
-    tag = event_type_of(F.col("value"))
+    tag, value = event_type_of(F.col("value")), F.col("value")
     tagged = lines.select("log_id", "ord", "value", tag.alias("event_type")).filter(
         F.col("event_type").isNull() | F.col("event_type").isin([KINDS[k][0] for k in kinds])
     )
+    is_kind = {k: F.col("event_type") == KINDS[k][0] for k in kinds}
+    if "plan" in kinds:
+        for word in words:
+            tagged = tagged.filter(F.coalesce(~is_kind["plan"], F.lit(True)) | value.contains(word))
 
     def parsed(k: str) -> Column:
-        text = _shallow(F.col("value"), F.lit(True)) if k in PLAN_KINDS else F.col("value")
-        return F.when(F.col("event_type") == KINDS[k][0], F.from_json(text, _schema(k), JSON_OPTIONS)).alias(k)
+        text = _shallow(value, F.lit(True)) if k in PLAN_KINDS else value
+        return F.when(is_kind[k], F.from_json(text, _schema(k), JSON_OPTIONS)).alias(k)
 
+    # A plan update is parsed once, by the unfolding; its own two fields come out of that.
     has_plan = F.col("event_type").isin([KINDS[k][0] for k in PLAN_KINDS])
     typed = tagged.select(
-        "log_id", "ord", "event_type", "value", *[parsed(k) for k in kinds], flatten_plan(F.when(has_plan, F.col("value"))).alias("nodes")
+        "log_id", "ord", "event_type", "value", *[parsed(k) for k in kinds if k != "plan"], flatten_plan(F.when(has_plan, value)).alias("flat")
     )
-    bad = F.lit(False)
+    bad = F.coalesce(F.col("flat.problem") == BROKEN_JSON, F.lit(False))
     for k in kinds:
-        bad = bad | F.coalesce(F.col(f"{k}.{BAD_LINE}").isNotNull(), F.lit(False))
-    reason = F.when(F.col("event_type").isNull(), "no event tag").when(bad, "broken json")
+        if k != "plan":
+            bad = bad | F.coalesce(F.col(f"{k}.{BAD_LINE}").isNotNull(), F.lit(False))
+    reason = F.when(F.col("event_type").isNull(), NO_TAG).when(bad, BROKEN_JSON).when(F.col("flat.problem") == BROKEN_PLAN, BROKEN_PLAN)
+    starts = is_kind["sql_start"] if "sql_start" in kinds else F.lit(False)
+    is_corrupt = reason.isNotNull() & ~F.coalesce((reason == BROKEN_PLAN) & starts, F.lit(False))
+    root = F.get("flat.nodes", F.lit(0))
+    update = F.struct(
+        F.col("flat.execution_id").alias("executionId"),
+        F.when(root.isNotNull(), F.struct(root["node_name"].alias("nodeName"), root["simple_string"].alias("simpleString"))).alias("sparkPlanInfo"),
+    )
+    columns = [F.when(is_kind[k], update).alias(k) if k == "plan" else F.col(k).dropFields(BAD_LINE).alias(k) for k in kinds]
     return typed.select(
         "log_id",
         "ord",
-        F.when(reason.isNotNull(), F.col("value")).alias("value"),
+        F.when(reason.isNotNull(), value).alias("value"),
         reason.alias("reason"),
-        F.when(reason.isNull() & has_plan, F.col("nodes")).alias("nodes"),
-        *[F.col(k).dropFields(BAD_LINE).alias(k) for k in kinds],
-        F.when(reason.isNotNull(), F.lit("corrupt")).otherwise(_kind(F.col("event_type"), tuple(kinds))).alias("kind"),
+        *[F.when(reason.isNull() & has_plan, F.col(f"flat.{c}")).alias(c) for c in ("nodes", "names", "marks")],
+        *columns,
+        F.when(is_corrupt, F.lit("corrupt")).otherwise(_kind(F.col("event_type"), tuple(kinds))).alias("kind"),
     )
 
 
 def corrupt_lines(lines: DataFrame) -> DataFrame:
-    """(log_id, ord, value, reason) of lines that are not a tagged event, or whose JSON cannot be decoded."""
-    tag = event_type_of(F.col("value"))
-    # A known tag with undecodable JSON: the same parse the typed tables use, one branch per kind.
-    bad = F.lit(False)
-    for kind, (name, _) in KINDS.items():
-        text = _shallow(F.col("value"), F.lit(True)) if kind in PLAN_KINDS else F.col("value")
-        parsed = F.from_json(text, _schema(kind), JSON_OPTIONS)
-        bad = F.when(tag == name, parsed[BAD_LINE].isNotNull()).otherwise(bad)
-    reason = F.when(tag.isNull(), "no event tag").when(bad, "broken json")
-    return lines.select("log_id", "ord", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    """(log_id, ord, value, reason) of lines that are not a tagged event, or whose JSON or plan cannot be decoded."""
+    found = decode_all(lines).filter(F.col("reason").isNotNull())
+    return found.select("log_id", "ord", "value", "reason")
 
 
 class EventTables:
@@ -122,7 +134,8 @@ class EventTables:
             raise ValueError("give lines or a saved table")
         self._lines = lines
         self._saved = saved
-        self._once: EventTables | None = None
+        self._once: dict[tuple[str, ...], EventTables] = {}
+        self._kept: dict[str, DataFrame] = {}
 
     @classmethod
     def from_lines(cls, lines: DataFrame) -> EventTables:
@@ -139,29 +152,44 @@ class EventTables:
         nothing = spark.createDataFrame([], "log_id STRING, ord DECIMAL(38,0), value STRING")
         return cls(saved=spark.createDataFrame([], decode_all(nothing).schema))
 
-    def save(self, path: str, kinds: list[str] | None = None) -> EventTables:
+    def save(self, path: str, kinds: list[str] | None = None, words: tuple[str, ...] = ()) -> EventTables:
         """Parse every line once, write the events partitioned by kind, and return the saved tables.
 
-        Nothing is shuffled: each task writes its own lines.
+        Nothing is shuffled: each task writes its own lines, plans with the same marks side by side in short pages, so that
+        a question that asks for a mark passes over the pages, and the nodes in them, that do not have it. ``words`` as in
+        :func:`decode_all`.
         """
         if self._lines is None or self._saved is not None:
             raise ValueError("these tables are saved already")
-        decode_all(self._lines, kinds).write.partitionBy("kind").parquet(path)
+        rows = decode_all(self._lines, kinds, words).sortWithinPartitions("kind", "marks")
+        rows.write.partitionBy("kind").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
         return EventTables.open(self._lines.sparkSession, path)
 
-    def once(self) -> EventTables:
+    def once(self, words: tuple[str, ...] = ()) -> EventTables:
         """These tables in a form that any number of questions can share without reading the text again.
 
         Text is parsed into the shared scratch folder the first time; the default event types are kept,
-        which leaves out the many task events; those are still read from the text when asked for.
+        which leaves out the many task events; those are still read from the text when asked for. Who asks only for plans
+        that contain certain ``words`` gets tables that hold, and have unfolded, no other plans.
         """
         if self._saved is not None:
             return self
-        if self._once is None:
+        if () in self._once:
+            return self._once[()]
+        if words not in self._once:
             kinds = [kind for kind, (tag, _) in KINDS.items() if tag in COMMON_EVENT_TYPES]
-            saved = self.save(scratch_path(self._lines.sparkSession, "events"), kinds)
-            self._once = EventTables(self._lines, saved._saved)
-        return self._once
+            saved = self.save(scratch_path(self._lines.sparkSession, "events"), kinds, words)
+            self._once[words] = EventTables(self._lines, saved._saved)
+        return self._once[words]
+
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from these, made by the first who asks for it."""
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
+
+    def kept(self, name: str) -> DataFrame | None:
+        return self._kept.get(name)
 
     def _is_saved(self, kinds: tuple[str, ...]) -> bool:
         if self._saved is None:
@@ -182,15 +210,24 @@ class EventTables:
         ]
         return self._saved.filter(F.col("kind").isin(*kinds)).select("log_id", "ord", "kind", *fields)
 
-    def plans(self, *kinds: str) -> DataFrame:
-        """(log_id, ord, executionId, sparkPlanInfo, nodes or value): events with a plan, unfolded if they are saved, else text."""
+    def plans(self, *kinds: str, words: tuple[str, ...] = ()) -> DataFrame:
+        """(log_id, ord, executionId, nodes, names, marks): events with a plan, unfolded. Malformed plans are left out.
+
+        ``words`` are texts that every plan asked for contains: on text, other lines are then not parsed.
+        """
         if not self._is_saved(kinds):
-            return decode(self._lines, *kinds, keep_line=True).select("log_id", "ord", "executionId", "sparkPlanInfo", "value")
-        fields = [F.coalesce(*[F.col(k)[field] for k in kinds]).alias(field) for field in ("executionId", "sparkPlanInfo")]
-        return self._saved.filter(F.col("kind").isin(*kinds)).select("log_id", "ord", *fields, "nodes")
+            lines = filter_event_types(self._lines, [KINDS[k][0] for k in kinds])
+            for word in words:
+                lines = lines.filter(F.col("value").contains(word))
+            flat = lines.select("log_id", "ord", flatten_plan("value").alias("flat")).filter(F.col("flat.problem").isNull())
+            return flat.select("log_id", "ord", F.col("flat.execution_id").alias("executionId"), "flat.nodes", "flat.names", "flat.marks")
+        execution = F.coalesce(*[F.col(k)["executionId"] for k in kinds]).alias("executionId")
+        rows = self._saved.filter(F.col("kind").isin(*kinds) & F.col("reason").isNull())
+        return rows.select("log_id", "ord", execution, "nodes", "names", "marks")
 
     def corrupt(self) -> DataFrame:
         """(log_id, ord, value, reason) of bad lines; of saved tables, those of the kinds saved and those without a tag."""
         if self._saved is None:
             return corrupt_lines(self._lines)
-        return self._saved.filter(F.col("kind") == "corrupt").select("log_id", "ord", "value", "reason")
+        listed = self._saved.filter(F.col("kind").isin("corrupt", *PLAN_KINDS) & F.col("reason").isNotNull())
+        return listed.select("log_id", "ord", "value", "reason")

@@ -171,12 +171,20 @@ def forest(spark):
 
 def test_flatten(forest):
     trees, _, models = forest
+    nodes = F.col("nodes")
+    with_path = trees.withColumn("nodes", F.transform(nodes, lambda n: n.withField("path", tree.path(nodes, n))))
     found = {
-        (r.execution_id, r.node_no): (tuple(r.path), r.node_name, r.simple_string, r.n_children, tuple(r.lineage)[-1:])
-        for r in tree.plan_nodes(trees).collect()
+        (r.execution_id, r.node_no): (tuple(r.path), r.depth, r.child_pos, r.node_name, r.simple_string, r.n_children, r.parent_no, r.last_below)
+        for r in tree.plan_nodes(with_path).collect()
     }
+
+    def last(n):
+        return last(n["kids"][-1]) if n["kids"] else n["no"]
+
     want = {
-        (i, n["no"]): (n["path"], n["name"], n["text"], len(n["kids"]), (n["parent"]["no"],) if n["parent"] else ())
+        (i, n["no"]): (
+            n["path"], len(n["path"]), n["path"][-1] if n["path"] else None, n["name"], n["text"], len(n["kids"]), n["parent"]["no"] if n["parent"] else None, last(n),
+        )
         for i, m in models.items() for n in m.nodes
     }
     assert found == want
@@ -245,7 +253,7 @@ def test_uneven_joins(forest):
 def test_cost_trees(forest, simplify):
     trees, metrics, models = forest
     reduced = (cost.simplified_cost if simplify else cost.plan_cost)(trees, metrics)
-    found = {(r.execution_id, r.node_no): (r.parent_no, r.node_name, r.rows) for r in reduced.collect()}
+    found = {(r.execution_id, r.node_no): (r.parent_no, r.node_name, r.rows) for r in cost.cost_nodes(reduced).collect()}
     priorities = {(r.execution_id, r.node_no): r.priority for r in cost.priorities(reduced).collect()}
     texts = {r.execution_id: r.text for r in cost.cost_text(reduced).collect()}
     for i, m in models.items():
@@ -294,7 +302,7 @@ def test_plan_without_tree_is_skipped(spark, log):
     assert [r.execution_id for r in tree.plan_nodes(tree.plan_trees(tree.plan_updates(tables))).collect()] == [2]
 
 
-@pytest.mark.parametrize("depth", [600, 2000])
+@pytest.mark.parametrize("depth", [600, 20_000])
 def test_deep_plans_are_whole_from_text_and_saved(spark, tmp_path, depth):
     def chain(n):
         # Written as text: the JSON writer is recursive, too.
@@ -307,7 +315,7 @@ def test_deep_plans_are_whole_from_text_and_saved(spark, tmp_path, depth):
     saved = text.save(str(tmp_path / "deep"))
     for tables in (text, saved):
         nodes = tree.plan_nodes(tree.plan_trees(tree.plan_updates(tables)))
-        found = nodes.agg(F.count("*").alias("n"), F.max(F.size("path")).alias("deepest"), F.max("execution_id").alias("x")).first()
+        found = nodes.agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.max("execution_id").alias("x")).first()
         assert (found.n, found.deepest, found.x) == (depth, depth - 1, 5)
         assert tables.corrupt().count() == 0
 
@@ -322,3 +330,87 @@ def test_json_beyond_the_parser_recursion():
     assert value == [1, 'x"}', {}, [], None, -2500.0]
     with pytest.raises(ValueError):
         _loads(text[:-1])
+
+
+def malformed(execution, change):
+    plan = node("Project", children=[node("Scan", rows=7)])
+    change(plan)
+    return update(execution, plan)
+
+
+MALFORMED = {
+    "null child": lambda p: p.update(children=[None]),
+    "children as text": lambda p: p.update(children="x"),
+    "metric id as text": lambda p: p["children"][0]["metrics"][0].update(accumulatorId="7"),
+    "name as number": lambda p: p["children"][0].update(nodeName=1),
+    "metric id too large": lambda p: p["children"][0]["metrics"][0].update(accumulatorId=1 << 70),
+    "metric that is no object": lambda p: p.update(metrics=[3]),
+    "metrics as object": lambda p: p.update(metrics={"a": 1}),
+}
+
+
+@pytest.mark.parametrize("form", ["text", "saved"])
+def test_malformed_plans_are_listed_and_do_not_stop_good_ones(log, tmp_path, form):
+    good = node("Join", children=[node("Scan", rows=1), node("Scan", "text", rows=2)])
+    bad = [malformed(100 + k, change) for k, change in enumerate(MALFORMED.values())]
+    not_a_plan = {**update(200, None), "sparkPlanInfo": "plan"}
+    begun = start(300, "select 1", plan=malformed(0, MALFORMED["null child"])["sparkPlanInfo"])
+    tables = log(a=[update(1, good), *bad, not_a_plan, update(2, good), begun, {**update(3, good), "executionId": "3"}])
+    if form == "saved":
+        tables = tables.save(str(tmp_path / "events"))
+    nodes = tree.plan_nodes(tree.plan_updates(tables, include_initial_plans=True)).orderBy("ord", "node_no").collect()
+    assert [(n.execution_id, n.node_no, n.node_name, n.simple_string) for n in nodes] == [
+        (k, *rest) for k in (1, 2) for rest in ((0, "Join", "Join"), (1, "Scan", "Scan"), (2, "Scan", "text"))
+    ]
+    listed = {int(r.ord): r.reason for r in tables.corrupt().collect()}
+    n = len(MALFORMED)
+    assert listed == {**{k: "broken plan" for k in range(1, n + 2)}, n + 3: "broken plan", n + 4: "broken json"}
+    # An execution whose initial plan is malformed has started all the same.
+    assert [(r.execution_id, r.sql) for r in context.sql_executions(tables).collect()] == [(300, "select 1")]
+
+
+def test_signature_of_a_plan(log):
+    plan = node("AdaptiveSparkPlan", children=[node("SortMergeJoin", "SortMergeJoin [a#1], [b#2], LeftOuter", [node("Sort"), node("Sort")]), node("X", "locate(a")])
+    signature = tree.plan_updates(log(a=[update(1, plan)])).select("names", "marks.*").first().asDict()
+    assert signature.pop("names") == ["AdaptiveSparkPlan", "Sort", "SortMergeJoin", "X"]
+    assert {m for m, has in signature.items() if has} == {"locate", "sort_merge", "left_outer"}
+
+
+def rows_scanned(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.length()))
+
+
+def test_saved_plans_without_the_mark_are_not_read(log, tmp_path):
+    from plansieve.operators.detectors import match_nodes
+
+    rare = node("Project", children=[node("SubqueryBroadcast", "SubqueryBroadcast dynamicpruning#7")])
+    tables = log(a=[update(k, rare if k % 40 == 0 else node("Project", children=[node("Scan")])) for k in range(16_000)]).save(str(tmp_path / "events"))
+    found = match_nodes(tables, F.col("node_name") == "SubqueryBroadcast", where=tree.has_mark("dynamic_pruning")).select("execution_id")
+    assert found.count() == 400
+    assert rows_scanned(found) < 16_000 / 2
+
+
+def test_texts_of_nodes_are_not_shuffled_for_cost_trees(forest, spark):
+    trees, metrics, _ = forest
+    for make in (cost.plan_cost, cost.simplified_cost):
+        costs = make(trees, metrics)
+        for df in (costs, cost.cost_text(costs), cost.small_side_joins(costs), cost.small_inputs(costs), cost.priorities(costs)):
+            assert "simple_string" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_plans_are_drawn_in_seconds(log):
+    import time
+
+    scans = [node("Scan", rows=k) for k in range(1, 20_001)]
+    wide = node("Union", children=scans)
+    for _ in range(14):
+        scans = [node("Join", children=scans[i : i + 2]) if len(scans) > 1 else scans[0] for i in range(0, len(scans), 2)]
+    tables = log(a=[update(1, wide), update(2, node("Root", children=scans)), driver(0, *[(k, k) for k in range(1, 20_001)])])
+    begun = time.time()
+    texts = {r.execution_id: r.text.split("\n") for r in cost.cost_text(cost.plan_cost(tree.plan_updates(tables), context.metrics(tables))).collect()}
+    assert time.time() - begun < 60
+    assert len(texts[1]) == 20_002 and texts[1][0] == "Union rows = 0 priority = 0.0" and texts[1][-2] == "+- Scan rows = 20000 "
+    assert sum("Scan rows" in line for line in texts[2]) == 20_000

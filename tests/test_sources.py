@@ -291,7 +291,7 @@ def test_log_written_by_spark_itself(spark, tmp_path, compress):
     updates = tree.plan_updates(tables).filter("is_final")
     trees = tree.plan_trees(updates)
     costs = cost.plan_cost(trees, metrics)
-    joins = {r.node_name: r.rows for r in costs.filter(F.col("node_name").endswith("Join")).collect()}
+    joins = {r.node_name: r.rows for r in cost.cost_nodes(costs).filter(F.col("node_name").endswith("Join")).collect()}
     assert joins["SortMergeJoin"] == 500
     assert tables.corrupt().count() == 0
     assert detectors.task_ends(tables).count() > 4
