@@ -2,24 +2,27 @@
 
 A page is stripped to lines: one per block element, with markup, scripts, styles, forms and what names itself as a menu,
 header, footer, sidebar, notice, advert or comment section leaving empty lines. Text lengths are summed over a
-sliding window of lines. Where the sum surges above the threshold a stretch of text begins, where it dives to nothing it
-ends: one or two empty lines do not end it. The stretch with the most text tells the main block, the element that holds it: every
-stretch above the threshold in that element is main text, and so are short lines between them. The main block of a
-stretch in a part of a text (a section, a list, one of several like elements that hold stretches) is the whole they are parts of.
+sliding window of lines. Where the sum surges above the threshold a stretch of text lies, from where the sum rises from nothing to
+where it dives to nothing: one or two empty lines do not end it. The stretch with the most text tells the main block, the element
+that holds it: all stretches above the threshold in that element are main text, and so are short lines between them. The main block
+of a stretch in a part of a text (a section, a list, one of several like elements that hold stretches) is the whole they are
+parts of. ``article`` and ``main`` elements can be a main block, as ``div`` can. Where most of the text that surges is in such elements, their
+edges end a stretch as a dive does; on a page where no sum surges, what they hold is the text, or everything if there are none.
 
-If at least half of this text lies in ``article`` or ``main`` elements, the edges of those elements are the exact surge and
-dive points: all they hold is kept, what stands outside is not (a short first or last paragraph is text, too). Elements
-within an element count as its text.
+An element named as something else is kept after all if it holds most of the page's text, no sum surges without it, and it does not
+name itself as comments.
 
 Defined results: a null or empty html, and one without text, give an empty text; an unclosed element ends where its
-parent ends; a page without any stretch above the threshold keeps its whole stripped text; repeated rows each get
-their own result; further columns are ignored.
+parent ends; a tag that is never closed is text; repeated rows each get their own result; further columns are ignored. The time
+taken is in proportion to the page, however it is nested or broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,23 +55,39 @@ NOT_TEXT_NAMES = frozenset(
     " sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 ABOUT_OTHERS = frozenset("with without has no is".split())
-COMMENT_NAMES = frozenset(["comment", "comments"])
+COMMENT_NAMES = frozenset("comment comments commentlist disqus".split())
 NOT_TEXT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>", re.S)
+# A tag up to its end, or as far as it goes: quoted values may hold any character.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)")
+# The same where quotes are unbalanced.
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)")
+LONG_TAG = 256  # characters that an attempt at a tag may run over before quotes are taken for unbalanced
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PART = re.compile(r"[a-z0-9]+")
 
 
-def is_named_not_text(attributes: str, names: frozenset[str] = NOT_TEXT_NAMES) -> bool:
-    """Whether a class, id or role says so; a name like ``with-sidebar`` tells of a neighbour, not of the element."""
-    for m in NAMED.finditer(attributes):
-        told = NOT_TEXT_ROLES if m[1].lower() == "role" else names
-        for name in (m[2] or m[3] or m[4] or "").lower().split():
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes by name, the first of each; empty values where there are none."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def is_named_not_text(attributes: dict[str, str], names: frozenset[str] = NOT_TEXT_NAMES) -> bool:
+    """Whether a class, id or role says so; a name like ``body-with-sidebar`` tells of a neighbour, not of the element."""
+    for attribute, told in (("class", names), ("id", names), ("role", NOT_TEXT_ROLES)):
+        for name in attributes.get(attribute, "").lower().split():
             parts = NAME_PART.findall(name)
-            if parts and parts[0] not in ABOUT_OTHERS and not told.isdisjoint(parts):
+            if any(part in told and (not k or parts[k - 1] not in ABOUT_OTHERS) for k, part in enumerate(parts)):
                 return True
-    return "hidden" in attributes.lower().split()
+    return "hidden" in attributes
+
+
+def is_named_comments(attributes: dict[str, str]) -> bool:
+    return is_named_not_text({k: v for k, v in attributes.items() if k != "hidden"}, COMMENT_NAMES)
 
 
 @dataclass
@@ -88,55 +107,100 @@ class Element:
     last: int = -1
 
 
-def lines_of(page: str) -> tuple[list[Line], list[Element]]:
-    """The page's blocks in order, and its elements, first the page itself; an empty line stands where something was stripped."""
+@dataclass
+class Open:
+    name: str
+    is_stripped: bool
+    by_name: bool  # stripped for its class, id or role, and not a comment section
+    container: int
+    element: int
+    n_before: int  # characters of text before it, stripped ones included
+
+
+def next_tag(page: str, at: int, bare: bool) -> tuple[re.Match | None, int, bool]:
+    """(tag, where the text before it ends, whether quotes are taken as they stand from here on)."""
+    while (begin := page.find("<", at)) >= 0:
+        m = (BARE_TAG if bare else TAG).match(page, begin)
+        if m:
+            if page.startswith(">", m.end()):
+                return m, begin, bare
+            bare = bare or m.end() - begin > LONG_TAG or page.startswith(('"', "'"), m.end())
+            m = BARE_TAG.match(page, begin)
+            if page.startswith(">", m.end()):
+                return m, begin, bare
+        elif m := COMMENT.match(page, begin):
+            return m, begin, bare
+        at = begin + 1
+    return None, len(page), bare
+
+
+def lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[Line], list[Element], frozenset[int]]:
+    """The page's blocks in order, and its elements, first the page itself; an empty line stands where something was stripped.
+
+    The last of the three are the elements named as something else that hold most of the page's text; ``spared`` are elements that
+    are not stripped for their names.
+    """
     lines: list[Line] = []
     elements = [Element(-1, ("html", ""))]
     parts: list[str] = []
     links: list[str] = []
-    opened: list[tuple[str, bool, int, int]] = []  # name, whether it is stripped, container, element
-    stripped, in_link, at = 0, 0, 0
+    opened: list[Open] = []
+    names: Counter[str] = Counter()
+    blocks: list[int] = []  # the places in ``opened`` of block elements
+    stripped = in_link = at = n_text = 0
+    bare = False
+    weights: dict[int, int] = {}
 
     def close_block() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            lines.append(Line(text, len(" ".join("".join(links).split())), *(opened[-1][2:] if opened else (0, 0))))
+            here = opened[-1] if opened else None
+            lines.append(Line(text, len(" ".join("".join(links).split())), here.container if here else 0, here.element if here else 0))
         parts.clear()
         links.clear()
 
     def close_to(depth: int) -> None:
         nonlocal stripped, in_link
         while len(opened) > depth:
-            name, skip, _, number = opened[-1]
-            if name in BLOCKS or skip:
+            last = opened[-1]
+            if last.name in BLOCKS or last.is_stripped:
                 close_block()
             opened.pop()
-            elements[number].last = len(elements) - 1
-            if skip:
+            names[last.name] -= 1
+            if blocks and blocks[-1] == len(opened):
+                blocks.pop()
+            elements[last.element].last = len(elements) - 1
+            if last.by_name:
+                weights[last.element] = n_text - last.n_before
+            if last.is_stripped:
                 stripped -= 1
                 if not stripped:
                     lines.append(Line("", 0, 0, 0))
-            in_link -= name == "a"
+            in_link -= last.name == "a"
 
     def add(text: str) -> None:
-        if not stripped and text:
+        nonlocal n_text
+        if not text:
+            return
+        n_text += len(text) if text.strip() else 0
+        if not stripped:
             parts.append(html.unescape(text))
             if in_link > 0:
                 links.append(parts[-1])
 
     while True:
-        m = TOKEN.search(page, at)
-        add(page[at : m.start() if m else len(page)])
+        m, end_of_text, bare = next_tag(page, at, bare)
+        add(page[at:end_of_text])
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        if m.re is COMMENT:
+            at = m.end()
             continue
+        at = m.end() + 1
         name = m[2].lower()
         if m[1]:
-            depth = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name), None)
-            if depth is not None:
-                close_to(depth)
+            if names[name]:
+                close_to(next(k for k in range(len(opened) - 1, -1, -1) if opened[k].name == name))
             elif name == "p":
                 close_block()
             continue
@@ -147,35 +211,39 @@ def lines_of(page: str) -> tuple[list[Line], list[Element]]:
             continue
         if name in BLOCKS:
             # A block ends an open paragraph, and a list item the one before it.
-            for k in range(len(opened) - 1, -1, -1):
-                other = opened[k][0]
+            if blocks:
+                other = opened[blocks[-1]].name
                 if other == "p" or other == name == "li" or other in ("dd", "dt") and name in ("dd", "dt"):
-                    close_to(k)
-                    break
-                if other in BLOCKS:
-                    break
+                    close_to(blocks[-1])
             close_block()
         elif name in CELLS:
             add(" ")
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
+        attributes = attributes_of(m[3]) if m[3] else {}
+        number = len(elements)
         # An article's classes name its topics, too: of containers only comments are told by name.
-        skip = name in NOT_TEXT or name not in ("html", "body") and is_named_not_text(m[3], COMMENT_NAMES if name in CONTAINERS else NOT_TEXT_NAMES)
+        named = name not in ("html", "body") and bool(attributes) and is_named_not_text(attributes, COMMENT_NAMES if name in CONTAINERS else NOT_TEXT_NAMES)
+        by_name = named and name not in NOT_TEXT and "hidden" not in attributes and not is_named_comments(attributes)
+        skip = name in NOT_TEXT or named and number not in spared
         if skip:
             close_block()
             stripped += 1
-        container, parent = opened[-1][2:] if opened else (0, 0)
-        number = len(elements)
-        classes = next((m2[2] or m2[3] or m2[4] or "" for m2 in NAMED.finditer(m[3]) if m2[1].lower() == "class"), "")
-        elements.append(Element(parent, (name, "" if name in CONTAINERS else " ".join(classes.split()))))
+        here = opened[-1] if opened else None
+        container, parent = (here.container, here.element) if here else (0, 0)
+        classes = " ".join(attributes.get("class", "").split())
+        elements.append(Element(parent, (name, "" if name in CONTAINERS else classes)))
         if name in CONTAINERS and not stripped and not container:
             container = number
         in_link += name == "a"
-        opened.append((name, skip, container, number))
+        if name in BLOCKS:
+            blocks.append(len(opened))
+        names[name] += 1
+        opened.append(Open(name, skip, by_name, container, number, n_text))
     close_to(0)
     close_block()
     elements[0].last = len(elements) - 1
-    return lines, elements
+    return lines, elements, frozenset(k for k, n in weights.items() if 2 * n > n_text)
 
 
 @dataclass
@@ -185,8 +253,15 @@ class Stretch:
     end: int  # exclusive
 
 
-def stretches(lengths: list[int]) -> list[Stretch]:
-    """Lines from a text line to where the sum over the window dives to nothing."""
+def stretches(lengths: list[int], parts: list[int] | None = None) -> list[Stretch]:
+    """Lines from a text line to where the sum over the window dives to nothing, or to where another of the ``parts`` begins."""
+    if parts is not None:
+        cuts = [k for k in range(1, len(parts)) if parts[k] != parts[k - 1] and lengths[k]]
+        found = []
+        for begin, end in zip([0, *cuts], [*cuts, len(lengths)]):
+            for s in stretches(lengths[begin:end]):
+                found.append(Stretch(s.begin + begin, None if s.surge is None else s.surge + begin, s.end + begin))
+        return found
     sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
     found, k = [], 0
     while k < len(lengths):
@@ -208,52 +283,60 @@ def main_block(best: list[int], others: list[int], elements: list[Element]) -> i
     def holds(a: int, x: int) -> bool:
         return a <= x <= elements[a].last
 
-    at = min(best)
-    while not holds(at, max(best)):
+    at, last = min(best), max(best)
+    while not holds(at, last):
         at = elements[at].parent
+    # An element holds a range of numbers, which grows on both sides on the way up: each other line is met once.
+    others = sorted(others)
+    below, above = bisect_left(others, at), bisect_right(others, elements[at].last)
+    seen: set[int] = set()
     while at:
         parent = elements[at].parent
-        if elements[at].kind[0] in HOLDERS:
-            like = False
-            for x in others:
-                if holds(parent, x) and not holds(at, x) and x != parent:
-                    while elements[x].parent != parent:
-                        x = elements[x].parent
-                    like = like or elements[x].kind == elements[at].kind
-            if not like:
-                break
-        at = parent
+        like = False
+        outer = bisect_left(others, parent), bisect_right(others, elements[parent].last)
+        for x in (*others[outer[0] : below], *others[above : outer[1]]):
+            # Paths that meet an earlier one end in a part that has been looked at.
+            while x != parent and elements[x].parent != parent and x not in seen:
+                seen.add(x)
+                x = elements[x].parent
+            like = like or x != parent and elements[x].parent == parent and elements[x].kind == elements[at].kind
+        if elements[at].kind[0] in HOLDERS and not like:
+            break
+        at, (below, above) = parent, outer
     return at
 
 
-def main_lines(lines: list[Line], lengths: list[int], elements: list[Element]) -> list[int]:
+def main_lines(lines: list[Line], lengths: list[int], elements: list[Element], found: list[Stretch]) -> list[int]:
     """The lines of the stretches above the threshold in the main block, and what text stands between them."""
-    found = stretches(lengths)
     high = [s for s in found if s.surge is not None]
     if not high:
-        return [*range(len(lines))]
+        held = [k for k, x in enumerate(lines) if x.text and x.container]
+        return held or [k for k, x in enumerate(lines) if x.text]
     best = max(high, key=lambda s: (sum(lengths[s.surge : s.end]), -s.begin))
+    surged = [lines[k].element for k in range(best.surge, best.end) if lines[k].text]
+    block = main_block(surged, [lines[s.surge].element for s in high if s is not best], elements)
+    inside = [k for k, x in enumerate(lines) if x.text and block <= x.element <= elements[block].last]
+    in_high = {k for s in high for k in range(s.begin, s.end)}
+    ends = [k for k in inside if k in in_high]
+    in_found = {k for s in found for k in range(s.begin, s.end)}
+    return [k for k in inside if ends[0] <= k <= ends[-1] and k in in_found]
 
-    def texts(s: Stretch) -> list[int]:
-        return [k for k in range(s.surge, s.end) if lines[k].text]
-
-    block = main_block([lines[k].element for k in texts(best)], [lines[s.surge].element for s in high if s is not best], elements)
 
-    def inside(k: int) -> bool:
-        return block <= lines[k].element <= elements[block].last
-
-    surged = [k for s in high for k in texts(s) if inside(k)]
-    return [k for s in found for k in range(max(s.begin, surged[0]), min(s.end, surged[-1] + 1)) if lines[k].text and inside(k)]
-
-
-def main_text(page: str) -> str:
-    lines, elements = lines_of(page)
+def main_text(page: str, spared: frozenset[int] = frozenset()) -> str:
+    lines, elements, heavy = lines_of(page, spared)
     lengths = [len(x.text) if x.n_link <= MAX_LINK_SHARE * len(x.text) else 0 for x in lines]
-    kept = main_lines(lines, lengths, elements)
-    containers = {lines[k].container for k in kept if lines[k].container}
-    if containers and 2 * sum(lengths[k] for k in kept if lines[k].container) >= sum(lengths[k] for k in kept):
-        kept = [k for k, x in enumerate(lines) if x.container in containers]
-    return "\n\n".join(lines[k].text for k in kept if lines[k].text)
+    found = stretches(lengths)
+    high = [k for s in found if s.surge is not None for k in range(s.begin, s.end)]
+    if 2 * sum(lengths[k] for k in high if lines[k].container) >= sum(lengths[k] for k in high) > 0:
+        # Stripped lines between two lines of a container are in it, too.
+        parts, last = [], 0
+        for x in lines:
+            last = x.container if x.text else last
+            parts.append(last)
+        found = stretches(lengths, parts)
+    if heavy and not spared and all(s.surge is None for s in found):
+        return main_text(page, heavy)
+    return "\n\n".join(lines[k].text for k in main_lines(lines, lengths, elements, found))
 
 
 def extract(pages: DataFrame) -> DataFrame:
