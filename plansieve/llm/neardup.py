@@ -269,7 +269,11 @@ def find_components(docs: DataFrame, nodes: DataFrame, kind: Similarity) -> Data
 
 
 def _groups(docs: DataFrame, kind: Similarity) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept of every row."""
+    """doc_id, text_hash, n_shingles, component_id, kept and group of every row.
+
+    Groups are numbered by one of their nodes: two groups of different texts may have the same smallest doc_id. A row without doc_id or
+    words has no group.
+    """
     docs = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), text_of(F.col("text")).alias("text"))
     members = stash(describe(docs, kind.width), "members")
     nodes = stash(
@@ -281,32 +285,41 @@ def _groups(docs: DataFrame, kind: Similarity) -> DataFrame:
     )
     found = stash(find_components(docs, nodes, kind).join(nodes.select("node", "doc_id"), "node"), "found")
     least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_node = found.join(least, "component").select("node", F.col("least").alias("component"))
+    of_node = found.join(least, "component").select("node", F.col("least").alias("component"), F.col("component").alias("group"))
     of_set = nodes.select(F.col("node").alias("set_hash"), "node", F.col("doc_id").alias("own")).join(of_node, "node", "left")
-    of_set = of_set.select("set_hash", F.coalesce("component", "own").alias("component"))
+    of_set = of_set.select("set_hash", F.coalesce("component", "own").alias("component"), F.coalesce("group", "node").alias("group"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return members.join(of_set, "set_hash", "left").select(
-        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"),
     )
 
 
 def group_documents(docs: DataFrame, kind: Similarity) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    return _groups(docs, kind).drop("text_hash")
+    return _groups(docs, kind).drop("text_hash", "group")
 
 
 def keep_one_of_each(docs: DataFrame, kind: Similarity) -> DataFrame:
-    """The documents with the smallest doc_id of their component, all columns as they were; a doc_id stays once."""
-    groups = stash(_groups(docs, kind), "groups")
-    gone = groups.where("not kept").select("doc_id", "text_hash").distinct()
+    """One document of each group, all columns as they were: of those with its smallest doc_id, the text with the smallest hash.
+
+    Rows of one doc_id whose texts are not linked are different documents and all stay. Of rows equal in doc_id and text one stays, that
+    with the smallest hash of all its columns. Rows without doc_id are linked with nothing and all stay.
+    """
+    key = ["doc_id", "text_hash"]
+    groups = stash(_groups(docs, kind).where("doc_id is not null"), "groups")
+    first = groups.where("kept and group is not null").groupBy("group").agg(F.min(F.struct(*key)).alias("row")).select("row.*")
+    stay = first.union(groups.where("group is null").select(*key).distinct())
     rows = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), F.struct("*").alias("row"))
-    # By shuffle at every size: the documents to go are a share of all, not a few.
-    kept = rows.join(gone.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_anti")
-    again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # By shuffle at every size: the documents that stay are a share of all, not a few.
+    kept = rows.where("doc_id is not null").join(stay.hint("shuffle_hash"), key, "left_semi")
+    without_id = rows.where("doc_id is null").select("row.*")
+    again = stash(groups.groupBy(*key).count().where("count > 1").select(*key), "again")
     if again.isEmpty():
-        return kept.select("row.*")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select("row.*").union(once.select("row.*"))
+        return kept.select("row.*").union(without_id)
+    # Repeated rows are reduced in each task before they are shuffled.
+    once = kept.join(again, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.join(again, key, "left_anti").select("row.*").union(once.select("row.*")).union(without_id)
 
 
 # --- query ---------------------------------------------------------------------------------------------

@@ -358,6 +358,47 @@ def test_main_text_drops_nothing_but_what_is_stripped(page, texts):
     assert mainhtml.main_text(page) == "\n\n".join(texts)
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        (f'<div class="content-with-sidebar"><p>{A}<p>{B}</div>', [A, B]),
+        (f'<div class="widget main-widget"><p>{A}<p>{B}</div><div class=footer>f</div>', [A, B]),
+        (f'<div><p>{A}<div class="comments"><p>{B}<p>{C}<p>{PROSE}</div></div>', [A]),
+        (f'<p title="a hidden gem">{A}</p><p hidden="">{B}</p><p hidden>{C}</p>', [A]),
+        (f"<p data-x='a > b' title=\"it's > that\">{A}</p><p>{B}", [A, B]),
+        (f"<p title='unbalanced>{A}</p><p>{B}</p><b title='>c</b>", ["c"]),
+        (f"<main><p>{A}<div class=ad>x</div><p>y</main><p>{B}", [A, "y"]),
+        (f"<h1>Short</h1><p>x</p><p>{A}</p><p>z</p>", ["Short", "x", A, "z"]),
+    ],
+)
+def test_names_attributes_and_edges(page, texts):
+    assert mainhtml.main_text(page) == "\n\n".join(texts)
+
+
+def test_the_distribution_finds_articles_that_no_tag_tells(spark):
+    import re
+
+    for sf_dir in (SF_DIR, "/root/testdata/sf0.01"):
+        for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+            renamed = re.sub(r"<article\b[^>]*>", '<div class="story">', p.html).replace("</article>", "</div>")
+            assert mainhtml.main_text(renamed) == brute.article_text(p.html) == mainhtml.main_text(p.html)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "<a '<a' " * 130_000, "<a '<a' '" * 130_000 + "'>", "<!" * 500_000, "<div>" * 50_000 + "</b>" * 50_000, "<div>" * 50_000 + "x</div>" * 50_000,
+        "<li>" + "<b>" * 50_000 + "<div>y</div>" * 50_000, "<p><b>" * 50_000, "<div class=ad>" * 20_000 + PROSE * 9, ("<div>" * 30 + f"<p>{PROSE}</p></div>") * 3000,
+    ],
+)
+def test_hostile_pages_take_time_in_proportion_to_their_length(page):
+    import time
+
+    begun = time.process_time()
+    mainhtml.main_text(page)
+    assert time.process_time() - begun < 4
+
+
 def test_pages_without_html(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<"), (2, "u", "<")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     assert got(mainhtml.extract(pages), "page_id", "url", "text", "n_chars") == sorted_rows([(1, None, "", 0), (None, "u", "", 0), (2, "u", "<", 1), (2, "u", "<", 1)])
@@ -438,9 +479,25 @@ def test_rows_of_one_id_send_one_text_a_set_to_the_cells(spark, monkeypatch):
     assert sorted_rows(neardup.group_documents(docs, neardup.QUERY_KIND).collect()) == sorted_rows(brute.near_groups(rows))
     assert sizes and all(n == n_nodes == 6 for n, n_nodes in sizes)
     kept = neardup.keep_one_of_each(docs, neardup.QUERY_KIND)
+    # Texts of one doc_id that are not linked are different documents; the near copies of the group of doc_id 0 go.
     assert got(kept, "doc_id", "text") == sorted_rows([(0, texts[2]), (7, OTHER)])
 
 
+def test_no_distinct_document_of_one_id_is_lost(spark):
+    a, b, c = copies(1, 100, 1, 6) + copies(1, 100, 1, 7) + copies(1, 100, 1, 8)
+    near = copies(2, 100, 1, 9)
+    rows = [(7, a), (7, b), (7, c), (8, a), (9, near[0]), (9, near[1]), (9, near[1]), (None, a), (None, a), (5, ""), (5, ""), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, `a b` long").repartition(5)
+    kept = [tuple(r) for r in neardup.keep_one_of_each(docs, neardup.QUERY_KIND).select("doc_id", "text", "a b").collect()]
+    assert len({(d, t) for d, t, _ in kept}) == len(kept) - 1  # the rows without doc_id
+    linked = [t for d, t, _ in kept if d == 9]
+    assert len(linked) == 1 and linked[0] in near
+    assert sorted_rows((d, t) for d, t, _ in kept if d != 9 and t and t != " ") == sorted_rows([(7, a), (7, b), (7, c), (None, a), (None, a)])
+    assert {d for d, t, _ in kept if not (t or "").strip()} == {5, 6}
+    again = [tuple(r) for r in neardup.keep_one_of_each(docs.repartition(2), neardup.QUERY_KIND).select("doc_id", "text", "a b").collect()]
+    assert sorted_rows(again) == sorted_rows(kept)
+
+
 def test_one_of_each_stays(odd, empty):
     kept = neardup.keep_one_of_each(odd, neardup.QUERY_KIND)
     assert kept.columns == odd.columns
@@ -483,3 +540,27 @@ def test_pipeline_against_plain_python(spark):
     clean = {i for i, t in left.items() if not brute.decontaminated(t, items)[1]}
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).collect()} == clean
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_on_odd_rows_and_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = copies(4, 120, 40, 11)
+    rows = [*ODD, (7, prose[0]), (7, prose[1]), (7, prose[2]), (7, prose[2]), (900, prose[3]), (901, prose[3]), (None, prose[3])]
+    for name, listed in (("odd", rows), ("empty", [])):
+        docs = spark.createDataFrame([(d, t, "en", None, None if t is None else len(t)) for d, t in listed], columns)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        left = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, apply in corpus_pipeline.STAGES[:-1]:
+            left = apply(spark, left, f"{tmp_path}/{name}")
+            assert left.columns == docs.columns, stage
+        found = {(r.doc_id, r.text) for r in left.collect()}
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {r.doc_id for r in packed.collect()} == {d for d, _ in found}
+        if name == "empty":
+            assert not found
+        else:
+            assert {t for d, t in found if d == 7} >= set(prose[:3]) and (900, prose[3]) in found and 901 not in {d for d, _ in found}
