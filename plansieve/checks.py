@@ -6,6 +6,7 @@ SQL side never sees the text. Thresholds are lowered to what the test tables can
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -246,6 +247,25 @@ def list_logs_by_day(spark: SparkSession, sf: str) -> DataFrame:
     return logs.select("name", "mtime_ms", *_long("day_before"))
 
 
+@query("""
+SELECT 'eventlog_v2_application=' || user_id AS name, CAST(ceil(count(*) / 50.0) AS BIGINT) AS n_files, CAST(sum(length('line ' || event_id) + 1) AS BIGINT) AS length,
+       CAST(0 AS BIGINT) AS day_before, count(*) AS n_lines
+FROM events GROUP BY user_id
+""")
+def list_log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """O1, O2: rolled logs written as files of at most 50 lines each, listed into a manifest, chosen and read by it."""
+    path, manifest = scratch_path(spark, "logs"), scratch_path(spark, "manifest")
+    events = samples.table(spark, sf, "events").select("user_id", F.concat(F.lit("line "), F.col("event_id")).alias("value"))
+    written = events.withColumnRenamed("user_id", "eventlog_v2_application").repartition("eventlog_v2_application")
+    written.write.partitionBy("eventlog_v2_application").option("maxRecordsPerFile", 50).text(path)
+    logs = lines.update_manifest(spark, path, manifest, file_glob="part-*")
+    # A second listing finds nothing new.
+    logs = lines.update_manifest(spark, path, manifest, file_glob="part-*")
+    chosen = lines.in_window(logs, now_ms=int(time.time() * 1000) + 60_000, days=1)
+    read = lines.read_logs(chosen, group=1000).groupBy("log_id").agg(F.count("*").alias("n_lines"))
+    return chosen.join(read, "log_id").select("name", *_long("n_files", "length", "day_before"), "n_lines")
+
+
 @query(METRICS + "SELECT log_id, accumulator_id, value FROM m")
 def read_rolled_logs(spark: SparkSession, sf: str) -> DataFrame:
     """O2, O3: lines written to files and read back; last-write-wins values show that line order survived.
@@ -850,6 +870,39 @@ def audit_table_storage(spark: SparkSession, sf: str) -> DataFrame:
     return table_audit.audit_tables(spark, [name]).select("table", "n_folders", "missing")
 
 
+@query("""
+WITH o AS (
+  SELECT CASE o_orderkey % 8 WHEN 0 THEN 'plain' WHEN 1 THEN 'outer' WHEN 2 THEN 'inner' WHEN 3 THEN 'away' WHEN 4 THEN 'parts' WHEN 5 THEN 'parts' END AS "table",
+         o_orderkey % 8 AS place, length(CAST(o_orderkey AS VARCHAR)) + 1 AS size FROM orders),
+f AS (SELECT "table", place, ceil(count(*) / 100.0) AS n_files, sum(size) AS bytes FROM o WHERE "table" IS NOT NULL GROUP BY ALL)
+SELECT "table", count(*) AS n_folders, CAST(sum(n_files) AS BIGINT) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes, true AS has_newest, false AS missing FROM f GROUP BY ALL
+UNION ALL SELECT 'bare', 0, 0, 0, false, false UNION ALL SELECT 'gone', 0, 0, 0, false, true
+""")
+def audit_table_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, bytes and times of a table of the default database, one in the folder of another, one outside of its database's
+    folder, one with a partition elsewhere, one with an empty folder and one with none."""
+    root = scratch_path(spark, "warehouse")
+    name = "audit_" + root[-8:]
+    places = {"plain": "plain", "outer": "db/outer", "inner": "db/outer/inner", "away": "away", "parts": "db/parts/p=0", "other": "elsewhere"}
+    orders = samples.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"))
+    for k, place in enumerate(places.values()):
+        orders.filter(F.col("value") % 8 == k).coalesce(1).write.option("maxRecordsPerFile", 100).text(f"{root}/{place}")
+    orders.limit(0).write.text(f"{root}/db/bare")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{root}/db'")
+    for table in ("outer", "inner", "away", "bare", "gone"):
+        spark.sql(f"CREATE TABLE {name}.{table} (value STRING) USING text LOCATION '{root}/{places.get(table, f'db/{table}')}'")
+    spark.sql(f"CREATE TABLE default.{name}_plain (value STRING) USING text LOCATION '{root}/plain'")
+    spark.sql(f"CREATE TABLE {name}.parts (value STRING, p INT) USING text PARTITIONED BY (p) LOCATION '{root}/db/parts'")
+    spark.sql(f"ALTER TABLE {name}.parts ADD PARTITION (p = 0) PARTITION (p = 1) LOCATION '{root}/elsewhere'")
+    found = table_audit.audit_tables(spark, ["default", name])
+    # What the audit gives is stored already.
+    spark.sql(f"DROP TABLE default.{name}_plain")
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+    plain = F.when(F.col("db") == "default", F.regexp_extract("table", f"^{name}_(.*)$", 1)).otherwise(F.col("table"))
+    shown = found.withColumn("table", plain).filter("table <> ''").withColumn("has_newest", F.col("newest").isNotNull())
+    return shown.select("table", *_long("n_folders", "n_files", "bytes"), "has_newest", "missing")
+
+
 # --- comparing runs ------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 OPTION_NAMES = {"driver": "driver", "url": "url", "username": "user", "password": "password"}
 
@@ -24,12 +26,59 @@ def jdbc_options(properties_path: str, sink_id: str) -> dict[str, str]:
     return options
 
 
-def write_jdbc(df: DataFrame, options: dict[str, str], table: str, batch_size: int = 1000, atomic: bool = False) -> None:
+def _connect(spark: SparkSession, options: dict[str, str]):
+    """A connection of the driver, for statements that move no rows through it."""
+    jvm = spark.sparkContext._jvm
+    if "driver" in options:
+        jvm.org.apache.spark.util.Utils.classForName(options["driver"], True, True)
+    given = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            given.setProperty(name, options[name])
+    return jvm.java.sql.DriverManager.getConnection(options["url"], given)
+
+
+def _run(connection, *statements: str) -> None:
+    """The statements in one transaction: all of them take effect, or none."""
+    connection.setAutoCommit(False)
+    statement = connection.createStatement()
+    try:
+        for sql in statements:
+            statement.executeUpdate(sql)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        statement.close()
+
+
+def write_jdbc(df: DataFrame, options: dict[str, str], table: str, batch_size: int = 1000, atomic: bool = False, connect=_connect) -> None:
     """Append ``df`` to a table.
 
-    Spark commits once per partition: in parallel, each partition in its own transaction. With ``atomic`` the
-    result is gathered into one partition by a shuffle (what produces it stays parallel) and arrives whole or
-    not at all.
+    Spark commits once per partition: in parallel, each partition in its own transaction. With ``atomic`` all tasks write to a
+    staging table in that way, and one statement of the database moves its rows in one transaction, so the result arrives whole or not
+    at all. The staging table, ``<table>_staging_<hex>``, is created by the write and dropped afterwards, also after a failure.
     """
-    out = df.repartition(1) if atomic else df
-    out.write.format("jdbc").options(**options, dbtable=table, batchsize=str(batch_size)).mode("append").save()
+
+    def append(target: str) -> None:
+        df.write.format("jdbc").options(**options, dbtable=target, batchsize=str(batch_size)).mode("append").save()
+
+    if not atomic:
+        append(table)
+        return
+    staging = f"{table}_staging_{uuid.uuid4().hex[:12]}"
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    try:
+        append(staging)
+        connection = connect(df.sparkSession, options)
+        try:
+            _run(connection, f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staging}")
+        finally:
+            connection.close()
+    finally:
+        connection = connect(df.sparkSession, options)
+        try:
+            _run(connection, f"DROP TABLE IF EXISTS {staging}")
+        finally:
+            connection.close()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ ROLLED_PART_NUMBER = r"/events_(\d+)_[^/]*$"
 LOG_FILE_NAME = r"/([^/]+)$"
 RUNNING_GLOB = "appstatus_*.inprogress"
 
+PATHS_AT_ONCE = 10_000
+
 # Written by Spark's own block codecs, which are not the codecs the text source knows by these names.
 UNREADABLE_SUFFIXES = (".lz4", ".lzf", ".snappy")
 
@@ -29,21 +32,6 @@ def day_before(mtime_ms: Column, now_ms: int) -> Column:
     return F.floor((F.lit(now_ms) - mtime_ms - 1) / F.lit(DAY_MS)).cast("int")
 
 
-def select_logs(
-    files: DataFrame,
-    now_ms: int,
-    days: int = 7,
-    prefix: str = "application_",
-    exclude_suffix: str = ".inprogress",
-) -> DataFrame:
-    """Keep finished application logs of the last ``days`` days from (name, mtime_ms, ...) rows."""
-    return (
-        files.filter(F.col("name").startswith(prefix) & ~F.col("name").endswith(exclude_suffix))
-        .withColumn("day_before", day_before(F.col("mtime_ms"), now_ms))
-        .filter(F.col("day_before").between(0, days - 1))
-    )
-
-
 def _log_of(path: Column) -> Column:
     """A log's identity: the path of its file, or of its folder if it is rolled, with one slash after the scheme."""
     path = F.regexp_replace(path, "^([a-z0-9]+:)/+", "$1/")
@@ -86,12 +74,45 @@ def finished_logs(files: DataFrame, now_ms: int | None = None, days: int = 7) ->
         .withColumn("name", F.regexp_extract("log_id", LOG_FILE_NAME, 1))
         .drop("is_open")
     )
+    return in_window(logs, now_ms, days)
+
+
+def in_window(logs: DataFrame, now_ms: int | None, days: int = 7) -> DataFrame:
+    """Logs of the last ``days`` days before ``now_ms``, with ``day_before``; all logs, and NULL, without ``now_ms``."""
     if now_ms is None:
         return logs.withColumn("day_before", F.lit(None).cast("int"))
     logs = logs.withColumn("day_before", day_before(F.col("mtime_ms"), now_ms))
     return logs.filter(F.col("day_before").between(0, days - 1))
 
 
+MANIFEST = "log_id STRING, name STRING, n_files BIGINT, length BIGINT, mtime_ms BIGINT, paths ARRAY<STRING>"
+
+
+def update_manifest(spark: SparkSession, log_dir: str | list[str], path: str, file_glob: str = LOG_FILE_GLOB) -> DataFrame:
+    """List the finished logs below ``log_dir`` once and keep what was found as a table at ``path``; gives that table.
+
+    Later calls append what they find new: logs that were not there and logs that have grown. A log's entry is its newest one.
+    """
+    listed = finished_logs(log_files(spark, log_dir, file_glob)).select(*[f.split()[0] for f in MANIFEST.split(", ")])
+    known = read_manifest(spark, path)
+    if known is not None:
+        listed = listed.join(known.select("log_id", "n_files", "length", "mtime_ms"), ["log_id", "n_files", "length", "mtime_ms"], "left_anti")
+    listed.select(*[f.split()[0] for f in MANIFEST.split(", ")]).write.mode("append").parquet(path)
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest entry of every log of the manifest; None if there is none yet."""
+    try:
+        entries = spark.read.schema(MANIFEST).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = entries.groupBy("log_id").agg(F.max_by(F.struct(*entries.columns), F.struct("mtime_ms", "length", "n_files")).alias("entry"))
+    return newest.select("entry.*")
+
+
 def list_logs(spark: SparkSession, log_dir: str, now_ms: int, days: int = 7) -> DataFrame:
     """(log_id, name, n_files, length, mtime_ms, day_before) of the finished logs in the window, oldest first.
 
@@ -128,20 +149,34 @@ def read_log_lines(
 
     ``log_id`` is the log's path, so logs of one name in two folders stay apart; ``log_name`` is its last
     segment. With ``now_ms`` only logs of the last ``days`` days are read, each with all its parts. One
-    listing decides what is read: it holds no more than the file index that any read makes. Plain files
+    listing decides what is read (:func:`update_manifest` keeps it for several reads). Plain files
     are split into blocks, so one huge log is read by many tasks; compressed ones are one task each, as
     their codec demands.
     """
-    chosen: dict[int | None, list[str]] = {}
-    for log in finished_logs(log_files(spark, paths, file_glob), now_ms, days).select("day_before", "paths").toLocalIterator():
-        chosen.setdefault(log.day_before, []).extend(log.paths)
-    # Only a file that would be read is refused, and before any task starts.
-    for path in (p for listed in chosen.values() for p in listed if p.endswith(UNREADABLE_SUFFIXES)):
-        raise ValueError(f"logs use a codec the text source cannot read, e.g. {path}")
-    found = None
-    for day, listed in sorted(chosen.items(), key=lambda c: -1 if c[0] is None else c[0]):
-        rows = _place_lines(spark.read.text(listed), day, log_id_pattern, part_pattern)
-        found = rows if found is None else found.unionByName(rows)
+    return read_logs(finished_logs(log_files(spark, paths, file_glob), now_ms, days), log_id_pattern, part_pattern)
+
+
+def read_logs(logs: DataFrame, log_id_pattern: str | None = None, part_pattern: str = ROLLED_PART_NUMBER, group: int = PATHS_AT_ONCE) -> DataFrame:
+    """The lines of chosen logs (day_before, paths); see :func:`read_log_lines`. A read names ``group`` files at most."""
+    spark = logs.sparkSession
+    found, chosen, at = None, [], None
+
+    def read(rows: DataFrame | None) -> DataFrame | None:
+        if not chosen:
+            return rows
+        placed = _place_lines(spark.read.text(chosen), at, log_id_pattern, part_pattern)
+        return placed if rows is None else rows.unionByName(placed)
+
+    # One file at a time comes to the driver, a day's after another's.
+    files = logs.select("day_before", F.explode("paths").alias("path")).sort(F.col("day_before").asc_nulls_first(), "path")
+    for f in files.toLocalIterator():
+        # Only a file that would be read is refused, and before any task starts.
+        if f.path.endswith(UNREADABLE_SUFFIXES):
+            raise ValueError(f"logs use a codec the text source cannot read, e.g. {f.path}")
+        if f.day_before != at or len(chosen) >= group:
+            found, chosen, at = read(found), [], f.day_before
+        chosen.append(f.path)
+    found = read(found)
     if found is None:
         nothing = "log_id STRING, log_name STRING, day_before INT, ord DECIMAL(38,0), value STRING"
         return spark.createDataFrame([], nothing)

@@ -37,9 +37,27 @@ def test_day_windows_are_half_open(spark):
     now = 100 * DAY
     times = {0: now, 1: now - 1, 2: now - DAY, 3: now - DAY - 1, 4: now - 7 * DAY, 5: now - 7 * DAY - 1, 6: now - 30 * DAY}
     files = spark.createDataFrame([(f"application_{i}", t) for i, t in times.items()], "name STRING, mtime_ms BIGINT")
-    found = {r.name[-1]: r.day_before for r in L.select_logs(files, now).collect()}
+    found = {r.name[-1]: r.day_before for r in L.in_window(files, now).collect()}
     assert found == {"1": 0, "2": 0, "3": 1, "4": 6}
-    assert L.select_logs(files, now, days=31).count() == 6
+    assert L.in_window(files, now, days=31).count() == 6
+    assert L.in_window(files, None).count() == 7
+
+
+def test_a_manifest_grows_by_what_is_new(spark, tmp_path):
+    d, m, now = str(tmp_path / "logs"), str(tmp_path / "manifest"), 1_700_000_000_000
+    write(f"{d}/application_1", ["a"], mtime_ms=now - 5 * DAY)
+    write(f"{d}/application_2", ["b"], mtime_ms=now - DAY)
+    write(f"{d}/application_3.inprogress", ["c"], mtime_ms=now - 5)
+    assert L.read_manifest(spark, m) is None
+    assert {(r.name, r.length) for r in L.update_manifest(spark, d, m).collect()} == {("application_1", 2), ("application_2", 2)}
+    write(f"{d}/application_2", ["b", "more"], mtime_ms=now - 7)
+    write(f"{d}/application_4", ["d"], mtime_ms=now - 6)
+    logs = L.update_manifest(spark, d, m)
+    assert {(r.name, r.length) for r in logs.collect()} == {("application_1", 2), ("application_2", 7), ("application_4", 2)}
+    assert spark.read.parquet(m).count() == 4  # the second listing added two entries
+    for group in (1, 100):
+        read = L.read_logs(L.in_window(logs, now, days=2), group=group)
+        assert sorted((r.log_name, r.day_before, r.value) for r in read.collect()) == [("application_2", 0, "b"), ("application_2", 0, "more"), ("application_4", 0, "d")]
 
 
 def test_listing_and_reading(spark, tmp_path):
@@ -215,9 +233,11 @@ def test_table_audit(spark, tmp_path):
     def on_disk(place):
         return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(place) for f in names if f.startswith("part-"))
 
-    for t in ("full", "full_too", "outer_t", "inner_t"):
+    for t in ("full", "full_too", "inner_t"):
         assert found[t].bytes == on_disk(places[t])
-    assert (found["outer_t"].n_files, found["inner_t"].n_files, found["lost"].missing) == (2, 1, True)
+    # A file counts for the table whose folder is nearest.
+    assert found["outer_t"].bytes == on_disk(places["outer_t"]) - on_disk(places["inner_t"])
+    assert (found["outer_t"].n_files, found["inner_t"].n_files, found["lost"].missing) == (1, 1, True)
 
 
 def test_default_and_nested_databases_count_each_file_once(spark):
@@ -241,19 +261,79 @@ def test_jdbc_options(tmp_path):
         jdbc_options(str(path), "none")
 
 
-def test_jdbc_write_gathers_only_when_asked(spark, monkeypatch):
-    """The writer is replaced: no database is started for this test."""
-    seen = []
+class FakeDatabase:
+    """Stands in for a connection: no database is started for these tests."""
+
+    def __init__(self, fails_on=None):
+        self.said, self.fails_on = [], fails_on
+
+    def connect(self, spark, options):
+        self.said.append(f"connect {options['url']}")
+        return self
+
+    def setAutoCommit(self, on):
+        assert on is False
+
+    def createStatement(self):
+        return self
+
+    def executeUpdate(self, sql):
+        self.said.append(sql)
+        if self.fails_on and sql.startswith(self.fails_on):
+            raise RuntimeError("refused")
+
+    def commit(self):
+        self.said.append("commit")
+
+    def rollback(self):
+        self.said.append("rollback")
+
+    def close(self):
+        pass
+
+
+@pytest.mark.parametrize("fails_on", [None, "INSERT", "save"])
+def test_jdbc_write_is_parallel_and_whole(spark, monkeypatch, fails_on):
+    seen, db = [], FakeDatabase(fails_on)
 
     def save(writer, *args, **kwargs):
         seen.append(writer._df.rdd.getNumPartitions())
+        if fails_on == "save":
+            raise RuntimeError("lost a task")
+
+    def options(writer, **given):
+        seen.append(given["dbtable"])
+        return writer
 
     monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.save", save)
-    for n in (10, 100_001):
-        df = spark.range(0, n, 1, 5)
-        write_jdbc(df, {"url": "jdbc:x"}, "t", atomic=True)
-        write_jdbc(df, {"url": "jdbc:x"}, "t")
-    assert seen == [1, 5, 1, 5]
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.options", options)
+    df = spark.range(0, 100, 1, 5).withColumn("a b", F.lit(1))
+    if fails_on is None:
+        write_jdbc(df, {"url": "jdbc:x"}, "t", connect=db.connect)
+        assert seen == ["t", 5] and not db.said
+        seen.clear()
+        write_jdbc(df, {"url": "jdbc:x"}, "t", atomic=True, connect=db.connect)
+    else:
+        with pytest.raises(RuntimeError):
+            write_jdbc(df, {"url": "jdbc:x"}, "t", atomic=True, connect=db.connect)
+    staging = seen[0]
+    assert staging.startswith("t_staging_") and seen[1] == 5
+    moved = ["connect jdbc:x", f'INSERT INTO t ("id", "a b") SELECT "id", "a b" FROM {staging}', "rollback" if fails_on else "commit"]
+    dropped = ["connect jdbc:x", f"DROP TABLE IF EXISTS {staging}", "commit"]
+    assert db.said == ([] if fails_on == "save" else moved) + dropped
+
+
+def test_options_of_the_job():
+    from plansieve.job import parse_options
+
+    given = ["node_name.node_name=Expand", "schedule_delay.threshold_ms=5", "uneven_shuffle.parents=SortMergeJoin,SortMergeJoin(skew=true)"]
+    assert parse_options(given) == {
+        "node_name": {"node_name": "Expand"}, "schedule_delay": {"threshold_ms": 5},
+        "uneven_shuffle": {"parents": ("SortMergeJoin", "SortMergeJoin(skew=true)")},
+    }
+    for wrong in ("node_name", "none.x=1", "node_name.child=1", "schedule_delay.threshold_ms=x"):
+        with pytest.raises(ValueError):
+            parse_options([wrong])
 
 
 OWN_APP = """
