@@ -3,8 +3,9 @@
 An archive is one row of a table (name, content): binary content of a bounded size, whether it comes from
 ``write_archives`` or from ``spark.read.format("binaryFile")`` over files that others wrote. The reader goes through
 an archive member by member: it decompresses in steps (never more than ``STEP`` bytes ahead), takes the block by the
-record's Content-Length, and checks the block's and the payload's SHA-1 against the digests in the header. A damaged member ends the reading of
-its archive with a record that says so; other archives are not touched.
+record's Content-Length, and checks the block and the payload against the digests in the header, by the algorithm that each names, in
+base32 or hex; digests of other algorithms are listed as unchecked. A damaged member gives a row that says so, and the reading goes on
+at the next member that begins with a record. An archive is a cell, so files of others are read up to 2 GB, the size of a cell.
 
 Records with equal payloads are stored once: the row with the largest page_id is the response, the others become
 revisit records that name it and keep only the HTTP head, whose Content-Length still tells the payload's size.
@@ -35,6 +36,9 @@ MIN_REVISIT_BYTES = 0
 
 # Fixed values of the record format.
 VERSION = b"WARC/1.1"
+RECORD_START = b"WARC/"
+MEMBER_START = b"\x1f\x8b\x08"
+DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha384": hashlib.sha384, "sha512": hashlib.sha512}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 
@@ -86,28 +90,44 @@ class DamagedRecord(ValueError):
     pass
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The decompressed gzip members of an archive, one after the other."""
-    view, at = memoryview(content), 0
-    while at < len(view):
-        inflater, parts = zlib.decompressobj(31), []
-        while not inflater.eof:
-            fed = view[at : at + STEP]
-            if not fed:
-                raise DamagedRecord("the archive ends inside a member")
-            try:
-                parts.append(inflater.decompress(fed))
-            except zlib.error as e:
-                raise DamagedRecord(str(e)) from e
-            at += len(fed) - len(inflater.unused_data)
-        yield b"".join(parts)
+def _member(view: memoryview, at: int) -> tuple[bytes, int]:
+    """The decompressed member that begins at a place, and where it ends."""
+    inflater, parts = zlib.decompressobj(31), []
+    while not inflater.eof:
+        fed = view[at : at + STEP]
+        if not fed:
+            raise DamagedRecord("the archive ends inside a member")
+        try:
+            parts.append(inflater.decompress(fed))
+        except zlib.error as e:
+            raise DamagedRecord(str(e)) from e
+        at += len(fed) - len(inflater.unused_data)
+    return b"".join(parts), at
+
+
+def members(content: bytes) -> Iterator[bytes | DamagedRecord]:
+    """The decompressed gzip members of an archive, one after the other; one error for each damaged stretch between them."""
+    view, at, is_lost = memoryview(content), 0, False
+    while 0 <= at < len(view):
+        try:
+            data, end = _member(view, at)
+            if is_lost and not data.startswith(RECORD_START):
+                raise DamagedRecord("no record")  # the mark stood inside of other data by chance
+        except DamagedRecord as e:
+            if not is_lost:
+                is_lost = True
+                yield e
+            at = content.find(MEMBER_START, at + 1)
+            continue
+        is_lost, at = False, end
+        yield data
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (names in lower case) and the block, framed by Content-Length."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.split(b"\r\n")
-    if not gap or not first.startswith(b"WARC/"):
+    if not gap or not first.startswith(RECORD_START):
         raise DamagedRecord("no record header")
     fields = {}
     for line in lines:
@@ -126,40 +146,56 @@ def _bare(digest: str | None) -> str | None:
     return digest.rpartition(":")[2] if digest else None
 
 
+def holds(label: str, data: bytes) -> bool | None:
+    """Whether ``data`` has the digest of a label ``algorithm:value``, in base32 or hex; None for an algorithm that is not known."""
+    algorithm, _, value = label.rpartition(":")
+    make = DIGESTS.get(algorithm.strip().lower().replace("-", ""))
+    if not make:
+        return None
+    found, value = make(data).digest(), value.strip()
+    return value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=") or value.lower() == found.hex()
+
+
+def read_record(data: bytes) -> dict:
+    fields, block = parse_record(data)
+    head, _, payload = block.partition(b"\r\n\r\n")
+    kind = fields.get("warc-type")
+    said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
+    labels = {"block": (fields.get("warc-block-digest"), block)}
+    # A revisit's payload is in the record that it refers to.
+    if kind == "response":
+        labels["payload"] = fields.get("warc-payload-digest"), payload
+    checks = {part: holds(label, held) for part, (label, held) in labels.items() if label}
+    return {
+        "page_id": _page_id(fields.get("warc-record-id")),
+        "url": fields.get("warc-target-uri"),
+        "record_type": kind,
+        "refers_to": _page_id(fields.get("warc-refers-to")),
+        "payload": None if kind == "revisit" else payload,
+        "payload_bytes": int(said[1]) if said else len(payload),
+        "payload_digest": _bare(fields.get("warc-payload-digest")),
+        "problem": next((f"{part} digest differs" for part, ok in checks.items() if ok is False), None),
+        "unchecked": ",".join(part for part, ok in checks.items() if ok is None) or None,
+    }
+
+
 def read_records(content: bytes) -> Iterator[dict]:
-    """Every record of an archive as a row; the last one has ``problem`` set if the archive is damaged there."""
-    try:
-        for data in members(content):
-            fields, block = parse_record(data)
-            head, _, payload = block.partition(b"\r\n\r\n")
-            kind = fields.get("warc-type")
-            said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
-            stored, claimed = _bare(fields.get("warc-block-digest")), _bare(fields.get("warc-payload-digest"))
-            problem = None
-            if stored and stored != sha1_base32(block):
-                problem = "block digest differs"
-            elif kind == "response" and claimed and claimed != sha1_base32(payload):
-                problem = "payload digest differs"
-            yield {
-                "page_id": _page_id(fields.get("warc-record-id")),
-                "url": fields.get("warc-target-uri"),
-                "record_type": kind,
-                "refers_to": _page_id(fields.get("warc-refers-to")),
-                "payload": None if kind == "revisit" else payload,
-                "payload_bytes": int(said[1]) if said else len(payload),
-                "payload_digest": claimed,
-                "problem": problem,
-            }
-    except DamagedRecord as e:
-        yield {"problem": str(e)}
+    """Every record of an archive as a row; a row with nothing but ``problem`` stands for each damaged record or stretch."""
+    for data in members(content):
+        try:
+            if isinstance(data, DamagedRecord):
+                raise data
+            yield read_record(data)
+        except DamagedRecord as e:
+            yield {"problem": str(e)}
 
 
 # --- tables --------------------------------------------------------------------------------------------
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, problem string"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, problem string, unchecked string"
 _RECORDS_ARROW = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
-     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string())]
+     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string()), ("unchecked", pa.string())]
 )
 _ARCHIVES_ARROW = pa.schema([("name", pa.string()), ("n_records", pa.int64()), ("content", pa.binary())])
 

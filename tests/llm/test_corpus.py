@@ -195,6 +195,29 @@ def test_warc_round_trip(spark):
     assert {bytes(r.payload).decode() for r in records if r.record_type == "response"} == {h or "" for _, _, h in PAGES}
 
 
+@pytest.mark.parametrize("algorithm", ["sha1", "SHA-256", "sha512", "md5", "crc32c"])
+@pytest.mark.parametrize("form", ["base32", "hex", "wrong"])
+def test_warc_digests_by_their_algorithm(algorithm, form):
+    import base64
+    import hashlib
+
+    def label(data):
+        known = algorithm.lower().replace("-", "")
+        found = hashlib.new(known if known in hashlib.algorithms_available else "sha1", data).digest()
+        return f"{algorithm}:{found.hex() if form == 'hex' else base64.b32encode(found).decode() if form == 'base32' else 'x' * 32}"
+
+    record = warc.record_bytes(1, "u", b"payload", None, False)
+    block = record.partition(b"\r\n\r\n")[2][:-4]
+    for held, name in ((b"payload", b"Payload"), (block, b"Block")):
+        record = record.replace(b"WARC-%s-Digest: sha1:%s" % (name, warc.sha1_base32(held).encode()), b"WARC-%s-Digest: %s" % (name, label(held).encode()))
+    row = warc.read_record(record)
+    assert row["payload"] == b"payload"
+    if algorithm == "crc32c":
+        assert (row["problem"], row["unchecked"]) == (None, "block,payload")
+    else:
+        assert (row["problem"], row["unchecked"]) == ("block digest differs" if form == "wrong" else None, None)
+
+
 def test_warc_damage_is_told(spark):
     good = [warc.gzip_member(warc.record_bytes(k, "u", b"payload %d" % k, None, False)) for k in range(3)]
     bent = warc.gzip_member(warc.record_bytes(9, "u", b"payload", None, False).replace(b"payload", b"pAyload"))
@@ -202,6 +225,11 @@ def test_warc_damage_is_told(spark):
         rows = list(warc.read_records(content))
         assert rows[0]["problem"] is None and problem in rows[-1]["problem"]
     assert list(warc.read_records(b"")) == []
+    # The reading goes on after the damage, once for each damaged stretch.
+    torn = good[1][:40] + warc.MEMBER_START + b"no member" + good[1][44:]
+    for middle in (bent, torn, b"junk", torn + torn, warc.gzip_member(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")):
+        rows = list(warc.read_records(good[0] + middle + good[2]))
+        assert [r.get("payload") for r in rows if not r["problem"]] == [b"payload 0", b"payload 2"] and len(rows) == 3
     assert [r["payload"] for r in warc.read_records(b"".join(good))] == [b"payload 0", b"payload 1", b"payload 2"]
 
 
