@@ -2,6 +2,10 @@
 
 Each stage works on all that the one before kept; all but the last return the columns of ``documents``. Between stages the
 rows are written to the shared scratch folder and read again, so a lost executor costs no earlier stage.
+
+Defined results: a null or empty text has no words and goes with the quality rules; a row without doc_id is nobody's near-duplicate and
+takes part in the other stages like any other; different texts of one doc_id are different documents; rows equal in doc_id and text
+leave one; columns besides doc_id, text and n_chars are carried along, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
