@@ -141,7 +141,12 @@ def test_decontamination_report_and_removal(spark, odd, empty):
 def test_lattice_scores(odd, frequent):
     rows = lattice.score_documents(odd, lattice.standard_pieces(), frequent).collect()
     assert sorted_rows((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows) == sorted_rows(brute.base_scores(ODD))
-    assert all(r.score < 0 for r in rows)
+    want = sorted(brute.lattice_scores(ODD, lattice.standard_pieces()), key=repr)
+    found = sorted(((r.doc_id, r.score) for r in rows), key=repr)
+    # Of rows of one doc_id the scores are compared in order.
+    assert [i for i, _ in found] == [i for i, _ in want]
+    order = lambda pairs: [s for _, s in sorted(pairs, key=lambda p: (repr(p[0]), p[1]))]
+    assert order(found) == pytest.approx(order(want), rel=1e-9, abs=1e-6)
 
 
 def test_lattice_sums_all_segmentations():
