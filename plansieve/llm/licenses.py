@@ -3,9 +3,9 @@
 The index holds the licence templates' words with their positions. How rare a word is, is counted over all documents
 (one small aggregate: only words of the index are counted). Of each template's mandatory key phrase the rarest word is its
 anchor: without the phrase the template is not accepted, so no match is missed, whatever other words are altered. An anchor at word p of the document that stands at word q
-of a template proposes that the template begins at p - q. A proposal counts the IDF weight of the template words that stand at
-their relative positions; it is accepted from ``MIN_SCORE`` on if the template's mandatory key phrase stands there word by word.
-The base phrases are templates of which every word is mandatory; they are found wherever they stand.
+of a template proposes that the template begins at p - q. A proposal is accepted if the key phrase stands there word by word and the IDF weight of the
+template words that stand at their relative positions, or within ``DRIFT`` words of them on the same side of the phrase (words may have been put in or left out), makes up
+``MIN_SCORE`` of the template's. The base phrases are templates of which every word is mandatory; they are found wherever they stand.
 
 Finding anchors is done on the word arrays in the JVM; only documents that hold an anchor hand their words to Python. Nothing is
 shuffled but the word counts.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from plansieve.llm.common import NOT_ALNUM, lower_ascii, split_words, table
 
 MIN_SCORE = 0.8
+DRIFT = 3
 
 # The base phrases, and the notices that licences ask to be placed in a work, as lower-case words.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -60,6 +61,31 @@ TEMPLATES = [
     _template("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     _template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
     _template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    _template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0 the license"),
+    _template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice"),
+    _template("bsd", "available under the terms of the bsd license", "the bsd license"),
+    _template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
+    _template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    _template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "subject to the terms of the mozilla public license"),
+    _template("epl-2.0", "made available under the terms of the eclipse public license 2 0", "the eclipse public license 2 0"),
+    _template("epl-2.0", "made available under the terms of the eclipse public license v 2 0", "the eclipse public license v 2 0"),
+    _template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "all copyright and related or neighboring rights"),
+    _template("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "the terms of the gnu free documentation license"),
+    *(
+        # Names by which a licence is told without a notice.
+        _template(label, name, name)
+        for label, name in [
+            ("bsd-3-clause", "bsd 3 clause license"), ("bsd-2-clause", "bsd 2 clause license"), ("boost-1.0", "boost software license version 1 0"),
+            ("artistic-2.0", "artistic license 2 0"), ("cddl-1.0", "common development and distribution license"), ("wtfpl", "do what the fuck you want to public license"),
+        ]
+    ),
+    *(
+        _template(label, f"spdx license identifier {words}", f"license identifier {words}")
+        for label, words in [
+            ("mit", "mit"), ("apache-2.0", "apache 2 0"), ("bsd-3-clause", "bsd 3 clause"), ("bsd-2-clause", "bsd 2 clause"), ("gpl-2.0", "gpl 2 0"),
+            ("gpl-3.0", "gpl 3 0"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("mpl-2.0", "mpl 2 0"), ("isc", "isc"), ("cc0-1.0", "cc0 1 0"), ("unlicense", "unlicense"),
+        ]
+    ),
     _template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
 
@@ -96,12 +122,23 @@ class Index:
         return sorted(self.proposals.keys() | self.phrases.keys())
 
     def _score(self, template: Template, words: list[str], start: int) -> float:
-        at = [(w, 0 <= start + q < len(words) and words[start + q] == w) for q, w in enumerate(template.words)]
-        whole = sum(self.idf[w] for w, _ in at)
-        share = sum(self.idf[w] for w, there in at if there) / whole if whole > 0 else float(all(x for _, x in at))
-        key = self._key_at(template)
-        there = start + key >= 0 and tuple(words[start + key : start + key + len(template.key)]) == template.key
-        return min(1.0, share) if there else 0.0
+        """The share of the template's weight that stands around its key phrase, 0 if the phrase does not stand in its place."""
+        key, n = self._key_at(template), len(template.key)
+        begin = start + key
+        if begin < 0 or tuple(words[begin : begin + n]) != template.key:
+            return 0.0
+        whole = found = 0.0
+        for q, w in enumerate(template.words):
+            low, high = start + q - DRIFT, start + q + DRIFT + 1
+            if q < key:
+                near = words[max(low, 0) : max(min(high, begin), 0)]
+            elif q < key + n:
+                near = (w,)
+            else:
+                near = words[max(low, begin + n) : high]
+            whole += self.idf[w]
+            found += self.idf[w] if w in near else 0.0
+        return min(1.0, found / whole) if whole > 0 else 1.0
 
     def scan(self, words: list[str], places: list[int]) -> tuple[list[int], set[str], set[str], float]:
         """Starts of base phrases, base labels, method labels, best score; ``places`` are those of the anchor words."""

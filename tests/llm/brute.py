@@ -161,3 +161,32 @@ def lattice_scores(rows, model_file):
 
     known = {w: log10_of(w) for _, words in docs for w in words}
     return [(i, sum(map(known.__getitem__, words)) + math.log10(end)) for i, words in docs]
+
+
+def licences(rows, templates, least, drift):
+    """(doc_id, labels, score) of every row: every template is tried at every place of every text."""
+    docs = [(i, alnum_words(t)) for i, t in rows]
+    counts = Counter(w for _, words in docs for w in set(words))
+    idf = {w: math.log((1 + len(docs)) / (1 + counts[w])) for t in templates for w in t.words}
+    out = []
+    for i, words in docs:
+        labels, best = {x for x in base_licences(" ".join(words))[-1].split(",") if x}, 0.0
+        for t in templates:
+            n = len(t.key)
+            key = next(q for q in range(len(t.words)) if t.words[q : q + n] == t.key)
+            for at in range(len(words) - n + 1):
+                if tuple(words[at : at + n]) != t.key:
+                    continue
+                stand = [
+                    key <= q < key + n or any(
+                        words[p] == w and (p < at if q < key else p >= at + n) for p in range(len(words)) if abs(p - (at - key + q)) <= drift
+                    )
+                    for q, w in enumerate(t.words)
+                ]
+                whole = sum(idf[w] for w in t.words)
+                score = min(1.0, sum(idf[w] for w, there in zip(t.words, stand) if there) / whole) if whole > 0 else 1.0
+                if score >= least:
+                    labels.add(t.label)
+                    best = max(best, score)
+        out.append((i, ",".join(sorted(labels)), best))
+    return out

@@ -449,6 +449,37 @@ def test_licences(odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("Released under MIT license.", "mit"), ("this code is released under the very permissive MIT License", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        ("available under the terms of the BSD 3-Clause License", "bsd-3-clause"), ("This is made available under terms of the Eclipse Public License 2.0", "epl-2.0"),
+        ("mit license plates are blue", ""), ("the terms of the agreement and the license", ""), ("free software released into the wild", ""),
+    ],
+)
+def test_notices_with_words_put_in_or_left_out(spark, text, label):
+    rows = [(k, f"word{k} under the of {k} and 2 0") for k in range(30)] + [(99, f"before it {text} after it")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 99").first()
+    assert found.labels == label
+
+
+def test_licences_against_plain_python(spark):
+    rng = np.random.default_rng(2)
+    filler = "a the of terms and software license public under free 2 0 to any".split()
+    rows = list(ODD)
+    for k in range(300):
+        t = licenses.TEMPLATES[int(rng.integers(len(licenses.TEMPLATES)))]
+        words = [w for w in t.words if rng.random() > 0.1]
+        for _ in range(int(rng.integers(0, 4))):
+            words.insert(int(rng.integers(len(words) + 1)), str(rng.choice(filler)))
+        before, after = ([str(w) for w in rng.choice(filler, int(rng.integers(0, 9)))] for _ in range(2))
+        rows.append((1000 + k, " ".join([*before, *words, *after]).upper()))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.licences(rows, licenses.TEMPLATES, licenses.MIN_SCORE, licenses.DRIFT)
+    assert sorted_rows((r.doc_id, r.labels, r.score) for r in got) == sorted_rows(want)
+    assert sum(bool(labels) for _, labels, _ in want) > 100
+
+
 def test_every_template_finds_itself_in_a_text_and_needs_its_key_phrase():
     index = licenses.Index(licenses.TEMPLATES, licenses.BASE_PHRASES, 1000, {"the": 900, "of": 900, "to": 900, "and": 900})
     for t in licenses.TEMPLATES:
