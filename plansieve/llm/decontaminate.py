@@ -40,6 +40,10 @@ def _window(words: Column, start: Column, width: int | Column) -> Column:
     return F.slice(words, start + 1, width)
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """window_hash, window (its words), item_ids: every distinct window with the items that hold it."""
     words = items.select(text_of(F.col("item_id").cast("string")).alias("item_id"), words_of(F.col("text")).alias("words"))
@@ -52,7 +56,7 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
         ).alias("window"),
     )
     return windows.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).select(
-        F.xxhash64("window").alias("window_hash"), "window", "item_ids"
+        F.xxhash64(word_hashes(F.col("window"))).alias("window_hash"), "window", "item_ids"
     )
 
 
@@ -66,13 +70,15 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broadca
     if not sizes:
         nothing = F.array().cast("array<struct<start:int,size:int>>").alias("hits")
         return docs.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), nothing, F.array().cast("array<string>").alias("item_ids"))
-    words = F.col("words")
+    # Each word is hashed once; a window's hash is that of its words' hashes.
+    docs = docs.withColumn("hashes", word_hashes(F.col("words")))
+    words, hashes = F.col("words"), F.col("hashes")
 
     def probes_of(size: int) -> Column:
         return F.transform(
-            _window_starts(words, size),
+            _window_starts(hashes, size),
             lambda i: F.struct(
-                i.alias("start"), F.lit(size).alias("size"), F.xxhash64(_window(words, i, size)).alias("window_hash")
+                i.alias("start"), F.lit(size).alias("size"), F.xxhash64(_window(hashes, i, size)).alias("window_hash")
             ),
         )
 
@@ -82,7 +88,9 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_broadca
     if windows.limit(max_broadcast_windows + 1).count() <= max_broadcast_windows:
         # Each document's first probe is its header: it meets no window and keeps the document, hit or not.
         probes = F.concat(F.array(header), *[probes_of(size) for size in sizes])
-        scanned = docs.select("doc_id", "text_hash", "words", F.explode(probes).alias("probe"))
+        # The list is a column of its own, so that unfolding it is compiled and does not copy the words for every window. It is never
+        # empty; the outer form keeps a test of that, which would cut the text up anew for every window, from being pushed down.
+        scanned = docs.withColumn("probes", probes).select("doc_id", "text_hash", "words", F.explode_outer("probes").alias("probe"))
         scanned = scanned.select("doc_id", "text_hash", "words", "probe.*", F.size("words").cast("long").alias("n_words"))
         met = scanned.join(F.broadcast(known), same_hash & (own == F.col("window")), "left").where((F.col("size") == 0) | F.col("window").isNotNull())
     else:
