@@ -16,7 +16,7 @@ from plansieve.events import PLAN_MARKS, POSITION_CALLS, SORT_MERGE_JOINS
 from plansieve.functions.links import DEFAULT_BASE_URL, execution_link, stage_link
 from plansieve.operators.context import applications, last_applications, metrics, sql_executions
 from plansieve.operators.findings import as_findings
-from plansieve.operators.narrow import keep_needed, stash
+from plansieve.operators.narrow import keep_needed, never_broadcast, stash
 from plansieve.plans import cost as costs
 from plansieve.plans import tree
 from plansieve.sources.decode import EventTables
@@ -71,8 +71,8 @@ def with_context(found: DataFrame, tables: EventTables, base_url: str = DEFAULT_
     needed = found.select("log_id", "execution_id")
     executions = keep_needed(tables.kept(EXECUTIONS), needed) if tables.kept(EXECUTIONS) else sql_executions(tables, needed=needed)
     return (
-        found.join(executions, ["log_id", "execution_id"], "left")
-        .join(apps, "log_id", "left")
+        found.join(never_broadcast(executions), ["log_id", "execution_id"], "left")
+        .join(never_broadcast(apps), "log_id", "left")
         .withColumn("url", execution_link(F.col("app_id"), F.col("attempt_id"), F.col("execution_id"), base_url))
         .drop("app_id", "attempt_id")
     )

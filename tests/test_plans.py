@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import LINES_SCHEMA, driver, final, node, start, update
 from plansieve import events as ev
-from plansieve.operators import context
+from plansieve.operators import context, narrow
+from plansieve.operators.narrow import stash
 from plansieve.plans import cost, tree
 from plansieve.sources.decode import EventTables
 
@@ -414,3 +415,23 @@ def test_large_plans_are_drawn_in_seconds(log):
     assert time.time() - begun < 60
     assert len(texts[1]) == 20_002 and texts[1][0] == "Union rows = 0 priority = 0.0" and texts[1][-2] == "+- Scan rows = 20000 "
     assert sum("Scan rows" in line for line in texts[2]) == 20_000
+
+
+def test_metrics_are_never_gathered_in_the_driver(log, monkeypatch):
+    plan = node("SortMergeJoin", "SortMergeJoin [a#1], [b#2], Inner", [node("Exchange"), node("Exchange")], rows=1)
+    tables = log(a=[start(1), update(1, plan), driver(1, [1, 5])])
+    trees = tree.plan_trees(tree.plan_updates(tables))
+    for found in (
+        cost.cost_nodes(cost.plan_cost(trees, context.metrics(tables))),
+        tree.first_shuffles(tree.shuffles_below_inputs(trees), context.metrics(tables)),
+    ):
+        assert found.count()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    # A few keys are sent to the rows, many meet them in a shuffle.
+    stored = stash(context.metrics(tables), "metrics")
+    few = context.metrics(tables, stored.select("log_id", "accumulator_id"))
+    monkeypatch.setattr(narrow, "FEW_KEYS", 0)
+    many = context.metrics(tables, stored.select("log_id", "accumulator_id"))
+    assert few.collect() == many.collect() == stored.collect()
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
