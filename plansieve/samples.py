@@ -27,10 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Use all cores where a table comes as fewer splits: rows grow manyfold when they become log text."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+# Text in a task, as a file's block would have it.
+BLOCK_BYTES = 64 << 20
+
+
+def _spread(rows: DataFrame, text_bytes: int) -> DataFrame:
+    """As many tasks as the log text would have blocks, and all cores at least: rows grow manyfold when they become text.
+
+    ``text_bytes`` is about what one row becomes.
+    """
+    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * text_bytes // BLOCK_BYTES))
+    return rows.repartition(blocks) if rows.rdd.getNumPartitions() < blocks else rows
 
 
 def _sql(template: str) -> Column:
@@ -106,7 +113,7 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = f"""CASE event_type WHEN 'signup' THEN {start} WHEN 'purchase' THEN {end} WHEN 'click' THEN {job}
         WHEN 'error' THEN {driver} WHEN 'view' THEN
         CASE k % 10 WHEN 0 THEN {stage_text} WHEN 1 THEN {stage_none} ELSE {stage_number} END END"""
-    lines = _spread(events).select(
+    lines = _spread(events, 300).select(
         F.concat(F.lit("application_"), F.col("user_id")).alias("log_id"),
         F.col("event_id").cast("decimal(38,0)").alias("ord"),
         _opaque(_sql(value)),
@@ -131,7 +138,7 @@ def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         done="launch + l_partkey * 100",
         got="CASE WHEN l_linenumber % 2 = 0 THEN launch + l_partkey * 100 - 50 ELSE 0 END",
     )
-    lines = _spread(tasks).select(
+    lines = _spread(tasks, 500).select(
         F.concat(F.lit("application_"), F.col("l_suppkey")).alias("log_id"),
         F.col("l_orderkey").cast("decimal(38,0)").alias("ord"),
         _opaque(_sql(value)),
@@ -281,7 +288,7 @@ def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             struct(5 AS step, CASE WHEN o_orderkey % 13 <> 0 THEN {end} END AS value)
         ), x -> x.value IS NOT NULL)"""
     )
-    logged = _spread(orders).select("o_orderkey", "o_custkey", F.inline(lines)).select(
+    logged = _spread(orders, 4000).select("o_orderkey", "o_custkey", F.inline(lines)).select(
         F.concat(F.lit("application_"), F.col("o_custkey")).alias("log_id"),
         (F.col("o_orderkey").cast("decimal(20,0)") * 10 + F.col("step")).cast("decimal(38,0)").alias("ord"),
         "value",
