@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import LINES_SCHEMA, driver, final, node, start, update
 from plansieve import events as ev
+from plansieve import samples
 from plansieve.operators import context, narrow
 from plansieve.operators.narrow import stash
 from plansieve.plans import cost, tree
@@ -435,3 +436,21 @@ def test_metrics_are_never_gathered_in_the_driver(log, monkeypatch):
     assert few.collect() == many.collect() == stored.collect()
     assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_comes_in_blocks(spark, tmp_path, monkeypatch):
+    orders = spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey", "1.5D AS o_totalprice", "timestamp_ntz'2020-01-01 00:00:00' AS o_orderdate")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(samples, "BLOCK_BYTES", 40_000)
+    # 4,000 bytes an order: 10 orders a block.
+    tasks = samples.plan_lines(spark, str(tmp_path)).filter("ord >= 0").groupBy(F.spark_partition_id()).agg(F.count_distinct("ord").alias("n"))
+    assert tasks.agg(F.max("n"), F.sum("n")).first()["max(n)"] <= 80
+
+
+def test_paths_and_lineages_without_climbing(forest):
+    trees, _, _ = forest
+    plan = trees.select(tree.node_paths(F.col("nodes")))._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" not in plan
+    nodes = F.col("nodes")
+    climbed = F.transform(nodes, lambda n: F.array_join(tree.path(nodes, n).cast("array<string>"), "."))
+    assert trees.filter(~tree.node_paths(nodes).eqNullSafe(climbed)).count() == 0

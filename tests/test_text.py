@@ -108,3 +108,13 @@ def test_links(spark):
     assert urls == ["http://b/app_1/SQL/execution/?id=3", "http://b/app_1/2/SQL/execution/?id=3", "http://b/app_1/SQL/execution/?id=3", None]
     url = df.select(stage_link(F.col("a"), F.col("e"), F.lit(1), "http://b").alias("u")).first().u
     assert url == "http://b/app_1/stages/stage/?id=3&attempt=1"
+
+
+@pytest.mark.parametrize(
+    "value, count",
+    [("f(a, 12)", 12), ("f(a, 12) x", 12), (")", 0), ("x)", 0), ("(7)", 7), ("77)", 7), (",5)", 5), ("a,\n 6)\n", 6), ("a, 1), 2)", 2), ("ü9)", 9), ("", 0), ("a, 3", 0)],
+)
+def test_hash_partition_count_without_patterns(spark, value, count):
+    assert one(spark, text.hash_partition_count, value) == count
+    plan = spark.createDataFrame([("",)], "s STRING").select(text.hash_partition_count(F.col("s")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp" not in plan
