@@ -27,3 +27,10 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["list_log_files", "read_rolled_logs"])
+def test_many_small_files_are_written_by_many_tasks(spark, name, tmp_path, monkeypatch):
+    monkeypatch.setattr(checks, "scratch_path", lambda _, name: str(tmp_path / name))
+    assert entry.queries()[name](spark, SF_DIR).count()
+    assert len({p.name.split("-")[1] for p in tmp_path.glob("logs/*/part-*")}) > 1
