@@ -142,3 +142,13 @@ def test_saved_tables_of_no_lines_open_again(spark, log, tmp_path):
     EventTables.from_lines(spark.createDataFrame([], LINES_SCHEMA)).save(path)
     opened = EventTables.open(spark, path)
     assert opened.of("plan", "sql_start").count() == 0 and opened.plans("plan").count() == 0 and opened.corrupt().count() == 0
+
+
+def test_few_executions_are_picked_before_they_are_gathered(spark, log):
+    tables = log(a=[app(), start(1, "one", 1000), job(1, "g"), end(1, 1500), start(2, "two", 1000), end(2, 2500), end(3, 9)])
+    needed = spark.createDataFrame([("a", 2), ("a", 3), ("b", 1)], "log_id STRING, execution_id BIGINT")
+    found = context.sql_executions(tables, needed)
+    assert [(r.execution_id, r.sql, r.duration_ms) for r in found.collect()] == [(2, "two", 1500)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # An operator's inputs are printed below it.
+    assert plan.index("Aggregate [log_id") < plan.index("Join LeftSemi")

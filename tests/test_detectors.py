@@ -150,6 +150,30 @@ def test_costly_small_side_join(log):
     assert d.costly_small_side_join(tables, **{**limits, "big_rows": 200}).count() == 0
 
 
+def test_only_final_plans_are_unfolded_for_costly_joins(log):
+    join = node("SortMergeJoin", "SortMergeJoin [a#1], [b#2], Inner", [node("Scan", rows=3), node("Scan", rows=4)], rows=2)
+    running = node("AdaptiveSparkPlan", "AdaptiveSparkPlan isFinalPlan=false", [join])
+    tables = log(a=[app(), start(1, "q", 1000), update(1, running), final(1, join), driver(1, (2, 50), (3, 200), (4, 50)), end(1, 1031)])
+    found = d.costly_small_side_joins(tables, big_rows=100, small_rows=100, agg_input_rows=1000)
+    assert [(r.execution_id, r.rows, r.left_rows, r.right_rows) for r in found.collect()] == [(1, 50, 200, 50)]
+    assert [saved.of("plan").count() for saved in tables._once.values()] == [1]
+
+
+def test_costly_joins_with_a_count_of_nothing_and_unknown_counts(log):
+    def plan(left, right, rows):
+        return final(1, node("SortMergeJoin", "SortMergeJoin [a#1], [b#2], Inner", [node("Scan", rows=left), node("Scan", rows=right)], rows=rows))
+
+    # Metrics 8 and 9 were never written and count -1, which is above -2 but never above 0.
+    tables = log(a=[app(), start(1, "q", 1000), plan(8, 9, 9), plan(3, 4, 4), driver(1, (3, 200), (4, 50)), end(1, 1031)])
+
+    def rows(big_rows):
+        found = d.costly_small_side_joins(tables, big_rows=big_rows, small_rows=100, agg_input_rows=1000)
+        return sorted((r.rows, r.left_rows, r.right_rows) for r in found.collect())
+
+    assert rows(0) == [(50, 200, 50)]
+    assert rows(-2) == [(-1, -1, -1), (50, 200, 50)]
+
+
 def test_registry_runs_custom_detectors(log):
     @d.detector("mine")
     def mine(tables, word="Scan"):

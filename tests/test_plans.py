@@ -447,6 +447,15 @@ def test_text_comes_in_blocks(spark, tmp_path, monkeypatch):
     assert tasks.agg(F.max("n"), F.sum("n")).first()["max(n)"] <= 80
 
 
+def test_plans_without_a_large_count_are_left_out(forest):
+    trees, metrics, *_ = forest
+    whole = {tuple(r[k] for k in tree.PLAN_KEY): r.tree for r in cost.simplified_cost(trees, metrics).collect()}
+    bound = 500
+    some = {tuple(r[k] for k in tree.PLAN_KEY): r.tree for r in cost.simplified_cost(trees, metrics, some_above=bound).collect()}
+    assert some == {k: t for k, t in whole.items() if max(n.rows for n in t) > bound}
+    assert 0 < len(some) < len(whole)
+
+
 def test_paths_and_lineages_without_climbing(forest):
     trees, _, _ = forest
     plan = trees.select(tree.node_paths(F.col("nodes")))._jdf.queryExecution().analyzed().toString()
