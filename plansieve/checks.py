@@ -17,6 +17,8 @@ from plansieve.events import COMMON_EVENT_TYPES, JOB_START, PLAN_UPDATE, STAGE_C
 from plansieve.functions import text
 from plansieve.functions.links import execution_link, stage_link
 from plansieve.operators import compare, context, detectors, findings, tables as table_audit
+from plansieve.operators.narrow import stash
+from plansieve.operators.ordered import running
 from plansieve.plans import cost, tree
 from plansieve.session import scratch_path
 from plansieve.sinks.files import read_findings, save_findings
@@ -62,6 +64,14 @@ def _writers(spark: SparkSession) -> int:
     return 4 * spark.sparkContext.defaultParallelism
 
 
+def _write_files(rows: DataFrame, path: str, size: int) -> None:
+    """Text files of exactly ``size`` rows and one of what is left, written by many tasks; rows are numbered ``no`` from 1."""
+    # A range of file numbers is whole files. Tasks move their own files: at the end, one thread of the driver would move all.
+    dealt = rows.repartitionByRange(_writers(rows.sparkSession), F.expr(f"(no - 1) DIV {size}")).select("value")
+    writer = dealt.write.option("maxRecordsPerFile", size).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    writer.text(path)
+
+
 def _event_id(df: DataFrame) -> DataFrame:
     return df.withColumn("event_id", F.col("ord").cast("bigint")).drop("ord")
 
@@ -888,10 +898,12 @@ def audit_table_files(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "warehouse")
     name = "audit_" + root[-8:]
     places = {"plain": "plain", "outer": "db/outer", "inner": "db/outer/inner", "away": "away", "parts": "db/parts/p=0", "other": "elsewhere"}
-    orders = samples.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"))
+    orders = samples.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).alias("place"))
+    numbered = running(orders.filter(F.col("place") < len(places)), "place", "o_orderkey", total={"no": F.lit(1)})
+    numbered = stash(numbered.select("place", "no", F.col("o_orderkey").cast("string").alias("value")), "numbered")
     for k, place in enumerate(places.values()):
-        orders.filter(F.col("value") % 8 == k).coalesce(1).write.option("maxRecordsPerFile", 100).text(f"{root}/{place}")
-    orders.limit(0).write.text(f"{root}/db/bare")
+        _write_files(numbered.filter(F.col("place") == k), f"{root}/{place}", 100)
+    numbered.select("value").limit(0).write.text(f"{root}/db/bare")
     spark.sql(f"CREATE DATABASE {name} LOCATION '{root}/db'")
     for table in ("outer", "inner", "away", "bare", "gone"):
         spark.sql(f"CREATE TABLE {name}.{table} (value STRING) USING text LOCATION '{root}/{places.get(table, f'db/{table}')}'")
