@@ -9,7 +9,7 @@ from conftest import LINES_SCHEMA, app, driver, end, job, node, stage, start, ta
 from plansieve import events as ev
 from plansieve.operators import context
 from plansieve.operators.ordered import running
-from plansieve.sources.decode import EventTables, corrupt_lines
+from plansieve.sources.decode import EventTables, corrupt_lines, decode_all
 from plansieve.sources.lines import filter_event_types, search_lines
 
 
@@ -152,3 +152,29 @@ def test_few_executions_are_picked_before_they_are_gathered(spark, log):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # An operator's inputs are printed below it.
     assert plan.index("Aggregate [log_id") < plan.index("Join LeftSemi")
+
+
+def test_metrics_of_saved_tables_are_those_of_the_text(log):
+    def acc(number, value):
+        return {"ID": number, "Name": "n"} | ({} if value is None else {"Value": value})
+
+    lists = [
+        [acc(1, "1"), acc(2, "2")],
+        [acc(1, "3"), acc(1, "4"), acc(2, None)],
+        [acc(5, "6"), acc(5, None)],
+        [acc(7, "x"), acc(8, " 9")],
+        [],
+    ]
+    tables = log(a=[app(), *[stage(*a) for a in lists], driver(1, (9, 1), (9, 2), (10, 3)), driver(1, (1, 8)), driver(1)], b=[app(), stage(*lists[0])])
+    rows = sorted(context.metrics(tables).collect())
+    assert rows == sorted(context.metrics(tables.once()).collect())
+    assert {(r.accumulator_id, r.value) for r in rows if r.log_id == "a"} == {(1, 8), (2, 2), (5, 6), (7, 0), (8, 0), (9, 2), (10, 3)}
+
+
+def test_lines_of_tables_for_words(spark):
+    lines = [None, "no tag", '{"Event":"SparkListenerApplicationStartX","App ID":"x"}', '{"Event":"SparkListenerApplicationStart","App ID":"x"}', '{"Event":"SparkListenerApplicationStart']
+    rows = spark.createDataFrame([("a", Decimal(i), x) for i, x in enumerate(lines)], LINES_SCHEMA)
+    found = decode_all(rows, ["app", "plan"], ("Join",)).select("ord", "kind", "reason").collect()
+    assert sorted((int(r.ord), r.kind, r.reason) for r in found) == [
+        (0, "corrupt", "no event tag"), (1, "corrupt", "no event tag"), (3, "app", None), (4, "corrupt", "no event tag")
+    ]

@@ -6,7 +6,9 @@ from plansieve import events as ev
 from plansieve.operators import detectors as d
 from plansieve.operators.findings import as_findings
 from plansieve.plans.tree import shuffles_below_inputs, plan_trees, plan_updates, uneven_joins
-from plansieve.operators.context import metrics
+from plansieve.operators.context import metrics, sql_executions
+from plansieve.operators.narrow import stash
+from plansieve.plans import cost as costs
 
 
 def smj(left, right, text="SortMergeJoin [a#1], [b#2], Inner", name="SortMergeJoin"):
@@ -190,3 +192,46 @@ def test_registry_runs_custom_detectors(log):
 
 def test_all_detectors_run_together(log):
     assert d.run_detectors(log(a=[app(), start(1), update(1, node("Scan")), task()])).count() == 0
+
+
+LIMITS = {"big_rows": 100, "small_rows": 100, "agg_input_rows": 1000}
+
+
+def test_costly_joins_store_only_what_they_ask(log):
+    join = node("SortMergeJoin", "SortMergeJoin [a#1], [b#2], Inner", [node("Scan", rows=3), node("Scan", rows=4)], rows=2)
+    first = [start(1, "q", 1000), job(1, "g"), final(1, join), driver(1, (2, 50), (3, 200), (4, 50)), end(1, 1031)]
+    broken = '{"Event":"%s","executionId":2,"sparkPlanInfo":{"children":[{],"metadata":{}},"time":5}' % first[0]["Event"]
+    tables = log(a=[app(), *first, broken])
+    assert [(r.execution_id, r.sql) for r in d.costly_small_side_join(tables, **LIMITS).collect()] == [(1, "q")]
+    (saved,) = tables._once.values()
+    assert "job" not in saved._saved.columns
+    # The initial plan holds no join: it is read, so that a broken line is known, but not unfolded.
+    assert saved._saved.filter("kind = 'sql_start' AND nodes IS NULL").count() == saved.of("sql_start").count() == 1
+    assert [r.reason for r in saved._saved.filter("kind = 'corrupt'").collect()] == ["broken json"]
+
+
+def test_only_plans_with_a_big_and_a_small_count_are_gathered(log):
+    def plan(execution, left, right, rows):
+        inputs = [node("Scan", **({} if i is None else {"rows": i})) for i in (left, right)]
+        return final(execution, node("SortMergeJoin", "SortMergeJoin [a#1], [b#2], Inner", inputs, **({} if rows is None else {"rows": rows})))
+
+    values = [(3, 200), (4, 50), (5, 900)]
+    # Written small, never written, no metric; then two big ones and two small ones.
+    plans = [plan(1, 3, 4, 4), plan(2, 3, 9, 9), plan(3, None, 3, None), plan(4, 3, 5, 3), plan(5, 4, 4, 4)]
+    tables = log(a=[app(), *[start(i, "q", 1000) for i in range(1, 6)], *plans, driver(1, *values), *[end(i, 2000) for i in range(1, 6)]])
+    outlined = stash(d.final_outlines(tables), "outlines")
+    likely = costs.with_big_and_small(outlined, metrics(tables), LIMITS["big_rows"], LIMITS["small_rows"])
+    assert sorted(r.execution_id for r in likely.collect()) == [1, 2, 3]
+    found = sorted((r.execution_id, r.rows, r.left_rows, r.right_rows) for r in d.costly_small_side_joins(tables, **LIMITS).collect())
+    assert found == [(1, 50, 200, 50), (2, -1, 200, -1), (3, 0, 0, 200)]
+    simplified = costs.simplified_cost(d.final_outlines(tables), metrics(tables))
+    whole = costs.small_side_joins(simplified, **LIMITS).collect()
+    assert sorted((r.execution_id, r.rows, r.left_rows, r.right_rows) for r in whole) == found
+
+
+def test_executions_of_costly_joins_are_gathered_once(log, monkeypatch):
+    asked = []
+    monkeypatch.setattr(d, "sql_executions", lambda *a, **k: asked.append(a) or sql_executions(*a, **k))
+    join = node("SortMergeJoin", "SortMergeJoin [a#1], [b#2], Inner", [node("Scan", rows=3), node("Scan", rows=4)], rows=2)
+    tables = log(a=[app(), start(1, "q", 1000), final(1, join), driver(1, (2, 50), (3, 200), (4, 50)), end(1, 1031)])
+    assert d.costly_small_side_join(tables, **LIMITS).count() == 1 and len(asked) == 1
