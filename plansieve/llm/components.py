@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plansieve.operators.narrow import stash
 
-HELD_NODES = 500_000  # a task hands on what it has joined when it holds so many nodes
+HELD_NODES = 200_000  # a task hands on what it has joined when it holds so many nodes
 
 _ROOTS_ARROW = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 

@@ -213,7 +213,8 @@ def compare_cells(cells: DataFrame, texts: DataFrame, kind: Similarity) -> DataF
     """
 
     def run(group: pa.Table) -> pa.Table:
-        sets = shingle_sets([lowered_words_of(t) for t in group.column("text").to_pylist()], kind.width)
+        # Text by text: the words of a whole cell of long texts would take many times the memory of its sets.
+        sets = [shingle_sets([lowered_words_of(t.as_py())], kind.width)[0] for t in group.column("text")]
         label = group.column("label").to_pylist()
         heads = connected(sets, label, kind)
         cluster = [group.column("cluster")[0].as_py()] * len(heads)
@@ -231,6 +232,74 @@ def _n_parts(size: Column) -> Column:
     return F.ceil(size / (CELL // 2)).cast("int")
 
 
+_SHINGLES_ARROW = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+
+
+def shared_rare(left: DataFrame, texts: DataFrame, kind: Similarity) -> DataFrame:
+    """cluster, node, label, list, m: each list are the ``m`` nodes of a cluster that share one of their rarest shingles.
+
+    Linked sets have at least ``percent`` of either one in common. Of a set of n shingles, listed by their number of nodes in the cluster, the
+    first n - ceil(percent * n / 100) + 1 therefore hold one that is among the first of the other set as well: every
+    linked pair stands in a list. A text that clusters share word by word is in many nodes and so not among the rarest. Lists of one
+    label tell nothing new, and lists of the same nodes count once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in word_slices(batches, lowered_words_of):
+            sets = shingle_sets(words, kind.width)
+            sizes = np.array([*map(len, sets)])
+            keys = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("cluster", "node", "label")]
+            columns = [*keys, np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_SHINGLES_ARROW)
+
+    named = left.select("cluster", "node", "label").hint("shuffle_hash").join(texts, "node").select("cluster", "node", "label", "text")
+    shingles = stash(named.mapInArrow(run, "cluster long, node long, label long, n long, shingle long"), "shingles")
+    counts = shingles.groupBy("cluster", "shingle").agg(F.count("*").alias("n_nodes")).hint("merge")
+    rank = F.row_number().over(Window.partitionBy("cluster", "node").orderBy("n_nodes", "shingle"))
+    rarest = F.col("rank") <= F.col("n") - F.expr(f"({kind.percent} * n + 99) DIV 100") + 1
+    rare = stash(
+        shingles.join(counts, ["cluster", "shingle"]).withColumn("rank", rank).where(rarest & (F.col("n_nodes") > 1)).select("cluster", "node", "label", "shingle"),
+        "rare",
+    )
+    # The same nodes, by their number and 128 bits of hash.
+    members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
+    lists = rare.groupBy("cluster", "shingle").agg(*members, (F.min("label") < F.max("label")).alias("crosses")).where("crosses")
+    lists = lists.groupBy("cluster", "m", "h1", "h2").agg(F.min("shingle").alias("shingle")).select("cluster", "shingle", "m")
+    return rare.join(lists.hint("merge"), ["cluster", "shingle"]).withColumnRenamed("shingle", "list")
+
+
+def rest_cells(left: DataFrame, lists: DataFrame) -> DataFrame:
+    """cell, cluster, node, label: the nodes of ``left`` in cells of bounded size, where every linked pair that is not connected meets.
+
+    A cluster is dealt out by its lists (:func:`shared_rare`), long ones in pairs of parts, or, where that makes fewer rows, as a whole: what
+    is not connected to its largest component meets every part.
+    """
+    n_parts = F.when(F.col("m") > CELL, _n_parts(F.col("m"))).otherwise(F.lit(1))
+    others = F.greatest(n_parts - 1, F.lit(1))
+    by_list = lists.groupBy("cluster").agg(F.sum(others).alias("by_list"))
+    whole = left.groupBy("cluster").agg(F.first("size").alias("size"), F.first("n_rest").alias("n_rest"))
+    by_whole = F.col("size") * _n_parts(F.col("n_rest")) + F.col("n_rest") * _n_parts(F.col("size"))
+    way = whole.join(by_list, "cluster", "left").select("cluster", (F.coalesce("by_list", F.lit(0)) <= by_whole).alias("is_listed"))
+    way = stash(way, "way")
+
+    at = F.pmod(F.xxhash64("node"), n_parts).cast("int")
+    meets = F.when(n_parts == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), n_parts - 1), lambda k: k != F.col("at")))
+    listed = lists.join(way.where("is_listed").select("cluster"), "cluster", "left_semi").withColumn("at", at)
+    listed = listed.select("cluster", "node", "label", "list", "at", F.explode(meets).alias("with")).select(
+        F.struct("cluster", "list", F.least("at", "with").alias("one"), F.greatest("at", "with").alias("other")).alias("cell"), "cluster", "node", "label"
+    )
+
+    left = left.join(way.where("not is_listed").select("cluster"), "cluster", "left_semi")
+    rest = left.where("label <> main").select(
+        "node", "label", "cluster", _part(F.col("node"), F.col("n_rest")).alias("rest_part"), F.explode(F.sequence(F.lit(0), _n_parts(F.col("size")) - 1)).alias("part")
+    )
+    others = left.select(
+        "node", "label", "cluster", F.explode(F.sequence(F.lit(0), _n_parts(F.col("n_rest")) - 1)).alias("rest_part"), "part"
+    )
+    cell = F.struct("cluster", F.lit(None).cast("long").alias("list"), F.col("rest_part").alias("one"), F.col("part").alias("other"))
+    return listed.union(rest.union(others).distinct().select(cell.alias("cell"), "cluster", "node", "label"))
+
+
 def find_components(docs: DataFrame, nodes: DataFrame, kind: Similarity) -> DataFrame:
     """node, component of every node that is a candidate of another one."""
     clusters = components(forest_links(nodes)).withColumnRenamed("component", "cluster")
@@ -254,15 +323,10 @@ def find_components(docs: DataFrame, nodes: DataFrame, kind: Similarity) -> Data
     large = stash(large.join(hub, "node").select("node", "cluster", "size", "part", F.col("component").alias("label")), "large")
     counted = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     main = counted.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("whole"), F.max("n").alias("most"))
-    # Whatever is not connected to the cluster's largest component meets every part.
+    # What is not connected to the cluster's largest component is compared with all that it may be linked to.
     left = large.join(main.select("cluster", "main", (F.col("whole") - F.col("most")).alias("n_rest")).where("n_rest > 0"), "cluster")
-    rest = left.where("label <> main").select(
-        "node", "label", "cluster", _part(F.col("node"), F.col("n_rest")).alias("rest_part"), F.explode(F.sequence(F.lit(0), _n_parts(F.col("size")) - 1)).alias("part")
-    )
-    others = left.select(
-        "node", "label", "cluster", F.explode(F.sequence(F.lit(0), _n_parts(F.col("n_rest")) - 1)).alias("rest_part"), "part"
-    )
-    cells = rest.union(others).distinct().withColumn("cell", F.struct("cluster", "rest_part", "part")).select("cell", "cluster", "node", "label")
+    left = stash(left.select("node", "label", "cluster", "size", "part", "main", "n_rest"), "left")
+    cells = rest_cells(left, stash(shared_rare(left, texts, kind), "lists"))
     more = components(compare_cells(cells, texts, kind).select(F.col("label").alias("a"), F.col("head").alias("b")))
     later = more.select(F.col("node").alias("label"), "component")
     return settled.union(large.join(later, "label", "left").select("node", F.coalesce("component", "label")))

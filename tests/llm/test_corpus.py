@@ -528,6 +528,26 @@ def test_near_groups(spark, odd, monkeypatch, cell):
     assert sorted_rows(neardup.group_documents(docs, neardup.QUERY_KIND).collect()) == sorted_rows(brute.near_groups(rows))
 
 
+def test_texts_that_share_a_passage_are_not_all_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 8)
+    monkeypatch.setattr(neardup, "MIN_DEPTH", 1)
+    rng = np.random.default_rng(6)
+    passage = " ".join(f"p{k}" for k in range(40))
+    alone = [f"{passage} " + " ".join(f"u{k}" for k in rng.integers(0, 10**6, 14)) for _ in range(150)]
+    rows = list(enumerate(alone + [t + " end" for t in alone[:5]] + copies(30, 100, 6, 4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, whole = [], neardup.compare_cells
+
+    def counted(cells, found, kind):
+        sizes.append((cells.count(), cells.groupBy("cell").count().agg(F.max("count")).first()[0]))
+        return whole(cells, found, kind)
+
+    monkeypatch.setattr(neardup, "compare_cells", counted)
+    assert sorted_rows(neardup.group_documents(docs, neardup.QUERY_KIND).collect()) == sorted_rows(brute.near_groups(rows))
+    # The second round: of 150 texts in one cluster few rows are compared, in cells of bounded size.
+    assert len(sizes) == 2 and sizes[1][0] < 500 and sizes[1][1] <= 24
+
+
 def test_rows_of_one_id_send_one_text_a_set_to_the_cells(spark, monkeypatch):
     texts = copies(6, 100, 1, 5)
     rows = [(7, texts[0])] * 30 + [(7, texts[1].upper())] * 5 + [(7, OTHER)] * 4 + [(k, t) for k, t in enumerate(texts[2:])]
