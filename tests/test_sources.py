@@ -60,6 +60,45 @@ def test_a_manifest_grows_by_what_is_new(spark, tmp_path):
         assert sorted((r.log_name, r.day_before, r.value) for r in read.collect()) == [("application_2", 0, "b"), ("application_2", 0, "more"), ("application_4", 0, "d")]
 
 
+def test_lines_of_many_files_are_stored_some_files_at_a_time(spark, tmp_path, monkeypatch):
+    d = str(tmp_path / "logs")
+    for i in range(23):
+        write(f"{d}/application_{i}", [f"{i} a", f"{i} b"])
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")}
+    # The listing is a stored table, and what is read later no longer names the logs.
+    assert not any(d in f for f in L.log_files(spark, d).inputFiles())
+    rows = {}
+    for unread in (5, 100):
+        monkeypatch.setattr(L, "FILES_UNREAD", unread)
+        read = L.read_logs(L.finished_logs(L.log_files(spark, d)), group=3)
+        rows[unread] = sorted((r.log_name, r.ord, r.value) for r in read.collect())
+        assert any(d in f for f in read.inputFiles()) == (unread == 100)
+    first, whole = ([(name, value) for name, _, value in rows[k]] for k in (5, 100))
+    assert first == whole and len(whole) == 46
+    assert all(a[2].endswith("a") and a[1] < b[1] for r in rows.values() for a, b in zip(r[::2], r[1::2]))
+    assert conf == {k: spark.conf.get(k) for k in conf}
+    # A codec that cannot be read is refused before any line is read, however late it comes.
+    monkeypatch.setattr(L, "FILES_UNREAD", 5)
+    write(f"{d}/application_9.lz4", ["x"])
+    monkeypatch.setattr(L, "scratch_path", lambda _, name: str(tmp_path / name))
+    with pytest.raises(ValueError, match="lz4"):
+        L.read_logs(L.finished_logs(L.log_files(spark, d)), group=3)
+    assert not (tmp_path / "lines").exists()
+
+
+def test_a_scan_of_many_small_files_has_few_tasks(spark, tmp_path):
+    for i in range(300):
+        write(str(tmp_path / f"logs/application_{i}"), ["x"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        stored = L.log_files(spark, str(tmp_path / "logs"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # A stored file for each task that listed some; two files at most a task of 16 MB would be 150 and more at Spark's 4 MB a file.
+    assert stored.count() == 300 and len(stored.inputFiles()) <= 32
+
+
 def test_listing_and_reading(spark, tmp_path):
     d, now = str(tmp_path / "logs"), 1_700_000_000_000
     write(f"{d}/application_2", [app("x2"), start(1, "plain")], mtime_ms=now - 1000)
